@@ -20,6 +20,7 @@ _ASCII_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F ]+"
 _NON_ASCII = "[^\\x00-\\x7F]"
 # Word characters of Python's (?u)\w: letters, numbers, underscore.
 _NON_WORD = "[^\\p{L}\\p{N}_]+"
+_SEP = "\x01"  # ASCII control character; never part of an expansion
 _SENTINEL = "\ue000"  # private use; marks a character with a multi-letter ASCII form
 
 
@@ -36,6 +37,8 @@ def _nfkd_ascii_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
+        if not unicodedata.decomposition(ch):   # no decomposition: not ASCII, dropped
+            continue
         out = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
         if len(out) == 1:
             src.append(ch)
@@ -59,7 +62,10 @@ def normalize_text(c: Column) -> Column:
     if multi:
         msrc = "".join(ch for ch, _ in multi)
         marked = F.translate(c, src + msrc, dst + _SENTINEL * len(msrc))
-        pairs = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(b).alias("v")) for a, b in multi])
+        # two constant arrays from two literals (folded once by the optimizer)
+        keys = F.split(F.lit(_SEP.join(a for a, _ in multi)), _SEP)
+        vals = F.split(F.lit(_SEP.join(b for _, b in multi)), _SEP)
+        pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
         expanded = F.aggregate(pairs, s, lambda acc, e: F.replace(acc, e["k"], e["v"]))
         s = F.when(F.instr(marked, _SENTINEL) > 0, expanded).otherwise(marked)
     s = F.regexp_replace(s, _NON_ASCII, "")
