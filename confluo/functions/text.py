@@ -74,6 +74,12 @@ def normalize_text(c: Column) -> Column:
     return F.trim(s)
 
 
+def split_words(c: Column, lowercase: bool = True) -> Column:
+    """The value lower-cased and split at every run of non-word characters
+    (pieces may be empty or one character long)."""
+    return F.split(F.lower(c) if lowercase else c, _NON_WORD)
+
+
 def word_tokens(c: Column, lowercase: bool = True) -> Column:
     """Runs of two or more word characters, as an array (scikit-learn's default
     token pattern ``(?u)\\b\\w\\w+\\b`` after lower-casing)."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.nulls import as_double, col_ref
-from confluo.session import reliable_checkpoint
+from confluo.session import reliable_checkpoint, spread
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,7 +36,7 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     cells = F.array(*[F.struct(F.lit(c).alias("column"),
                                as_double(col_ref(c), dtypes[c]).alias("v")) for c in columns])
-    return (df.select(F.inline(cells))
+    return (spread(df.select(*[col_ref(c) for c in columns])).select(F.inline(cells))
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 

@@ -9,9 +9,10 @@ for a token only one has, so with raw term counts ``tf`` and ``w = (ln 1.5 + 1)
     sim = dot / (√(sa + w·(ssa − sa)) · √(sb + w·(ssb − sb)))
 
 Plan: explode tokens → ``(table, column, token) → tf`` (map-side combined, so a
-frequent token is one row per column) → equi-join on ``token`` across tables
-(at most columns-per-side rows per token: no data skew) → one ``groupBy``
-per column pair.  Null cells are ignored.
+frequent token is one row per column), checkpointed once → equi-join on
+``token`` across tables (at most one row per column per token on each side:
+no data skew)
+→ one ``groupBy`` per column pair.  Null cells are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confluo.functions.nulls import col_ref
-from confluo.functions.text import normalize_text, word_tokens
+from confluo.functions.text import normalize_text, split_words
+from confluo.session import reliable_checkpoint, spread
 
 IDF_ONLY_ONE = math.log(1.5) + 1.0
 W = IDF_ONLY_ONE ** 2
@@ -44,11 +46,15 @@ def column_terms(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str
             continue
         cells = F.array(*[F.struct(F.lit(c).alias("column"), col_ref(c).cast("string").alias("value"))
                           for c in cols])
-        long = df.select(F.lit(name).alias("table"), F.lit(tidx).alias("tidx"), F.inline(cells))
+        long = spread(df.select(*[col_ref(c) for c in cols])).select(
+            F.lit(name).alias("table"), F.lit(tidx).alias("tidx"), F.inline(cells))
         v = F.col("value")
         if normalize:
             v = normalize_text(F.coalesce(v, F.lit("")))
-        parts.append(long.select("table", "tidx", "column", F.explode(word_tokens(v)).alias("token")))
+        # explode the split, then a plain (codegen'd) WHERE on the token length:
+        # cheaper than a lambda filter inside the array
+        toks = long.select("table", "tidx", "column", F.explode(split_words(v)).alias("token"))
+        parts.append(toks.where(F.length("token") >= 2))
     if not parts:
         raise ValueError("no text columns to compare")
     terms = parts[0]
@@ -63,7 +69,9 @@ def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, lis
     pair of columns from two different tables (earlier table on the left)
     whose similarity is above ``threshold`` (strict; ``None`` keeps all pairs
     that share a token)."""
-    tf = column_terms(tables, columns, normalize)
+    # Tokenise once: the join sides and the totals all read this checkpoint
+    # (it also cuts the lineage of the expensive explode).
+    tf = reliable_checkpoint(column_terms(tables, columns, normalize))
     tot = tf.groupBy("table", "column").agg(F.sum(F.col("tf") * F.col("tf")).cast("double").alias("ss"))
     a = tf.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name"),
                   F.col("column").alias("column_df1"), "token", F.col("tf").alias("tfa"))

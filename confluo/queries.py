@@ -14,8 +14,7 @@ from confluo.operators.profile import pattern_conformance, value_shapes, dominan
 from confluo.operators.sampling import bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
-from confluo.functions.shapes import value_shape
-from confluo.session import scratch_path
+from confluo.session import scratch_path, spread
 from confluo.sources.catalogue import header_catalogue
 from confluo.sources.csv import read_csv
 from confluo.sources.sinks import preview, write_csv
@@ -148,12 +147,12 @@ def q_similar_name_groups(spark, sf_dir):
 
 
 def q_normalize_text(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", normalize_text(F.col("text")).alias("text_norm"))
 
 
 def q_normalize_pages(spark, sf_dir):
-    p = load(spark, sf_dir, "pages")
+    p = spread(load(spark, sf_dir, "pages").select("page_id", "html"))
     return p.select("page_id", normalize_text(F.col("html")).alias("html_norm"))
 
 
@@ -202,11 +201,6 @@ def q_preview(spark, sf_dir):
     return preview(load(spark, sf_dir, "customer"), 10, ["c_custkey"])
 
 
-def q_value_shape_rows(spark, sf_dir):
-    p = load(spark, sf_dir, "pages")
-    return p.select("page_id", value_shape(F.col("url")).alias("shape"))
-
-
 QUERIES = {
     "align_union": q_align_union,
     "homogenize": q_homogenize,

@@ -62,3 +62,34 @@ def reliable_checkpoint(df):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def _bytes(text: str) -> int:
+    import re
+    m = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", str(text))
+    if not m:
+        return 128 << 20
+    return int(m.group(1)) * _UNITS.get(m.group(2).lower() or "b", 1)
+
+
+def spread(df):
+    """Round-robin repartition a *small* input so CPU-heavy per-row work uses
+    every core.
+
+    Only when the optimizer's size estimate says the scan yields fewer
+    splits than the cluster has cores (size < cores × maxPartitionBytes).
+    On large inputs the file splits already give the parallelism and this is
+    a no-op, so it never adds a shuffle of big data.  No job is run.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(size if isinstance(size, int) else size.toString())
+    except Exception:  # no estimate: leave the plan alone
+        return df
+    return df.repartition(cores) if size < cores * split else df
