@@ -279,4 +279,8 @@ ORACLE = {
                       "CAST(c_nationkey AS VARCHAR) || '\",\"' || CAST(c_acctbal AS VARCHAR) || '\",\"' || "
                       "c_mktsegment || '\"' AS line FROM customer"),
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
+    "distinct_headers": f"SELECT DISTINCT column_name FROM ({catalogue_sql()})",
+    "csv_multiline_documents": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
+    "csv_single_line": ("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) "
+                        "AS s_nationkey, CAST(s_acctbal AS VARCHAR) AS s_acctbal FROM supplier"),
 }

@@ -10,9 +10,14 @@ from confluo.sources.sinks import write_csv, write_parquet
 
 
 def homogenize_session(spark: SparkSession, session_dir: str, mapping, out_path: str,
-                       fmt: str = "parquet", multi_line: bool = True,
+                       fmt: str = "parquet", multi_line: bool = False,
                        single_file: bool = False, source_col: str | None = None) -> str:
-    """Read only the files the mapping names, merge, write; nothing is collected."""
+    """Read only the files the mapping names, merge, write; nothing is collected.
+
+    Files are read single-line (splittable, parallel within a file — a file
+    holding a third of the data must not become one task); pass
+    ``multi_line=True`` for files with quoted newlines.
+    """
     rows = mapping_rows(mapping)
     paths = dict(session_files(spark, session_dir))
     tables = {}

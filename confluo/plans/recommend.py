@@ -11,20 +11,22 @@ from confluo.sources.catalogue import header_catalogue
 from confluo.sources.csv import read_session
 
 
-def recommend_names(spark: SparkSession, session_dir: str, threshold: int = 90) -> DataFrame:
+def recommend_names(spark: SparkSession, session_dir: str, threshold: int = 90,
+                    multi_line: bool = False) -> DataFrame:
     """Name-based recommendations; only headers are read (no data scan)."""
-    tables = read_session(spark, session_dir)
+    tables = read_session(spark, session_dir, multi_line)
     return name_recommendations(header_catalogue(spark, tables), threshold)
 
 
 def recommend_values(spark: SparkSession, session_dir: str, threshold: float = 0.8,
                      sample_fraction: float | None = DEFAULT_FRACTION, seed: int = DEFAULT_SEED,
-                     normalize: bool = False) -> DataFrame:
+                     normalize: bool = False, multi_line: bool = False) -> DataFrame:
     """Value-based recommendations over all column pairs of different files.
 
     ``sample_fraction`` keeps the reference's 5 % sample (``None``: all rows).
+    Files are read single-line (splittable) unless ``multi_line``.
     """
-    tables = read_session(spark, session_dir)
+    tables = read_session(spark, session_dir, multi_line)
     if sample_fraction is not None:
         tables = {f: bernoulli_sample(df, sample_fraction, seed) for f, df in tables.items()}
     return column_similarity(tables, None, threshold, normalize)

@@ -197,6 +197,23 @@ def q_csv_quote_all(spark, sf_dir):
     return lines.where(~F.col("value").startswith('"c_custkey"')).select(F.col("value").alias("line"))
 
 
+def q_distinct_headers(spark, sf_dir):
+    from confluo.sources.catalogue import distinct_headers
+    return distinct_headers(_catalogue(spark, sf_dir))
+
+
+def q_csv_multiline_documents(spark, sf_dir):
+    """Whole document texts (with newlines and quotes) through CSV and back."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    path = write_csv(docs, scratch_path(spark, "documents-csv"))
+    return read_csv(spark, path, multi_line=True, escape='"')
+
+
+def q_csv_single_line(spark, sf_dir):
+    path = write_csv(load(spark, sf_dir, "supplier"), scratch_path(spark, "supplier-csv"))
+    return read_csv(spark, path, multi_line=False)
+
+
 def q_preview(spark, sf_dir):
     return preview(load(spark, sf_dir, "customer"), 10, ["c_custkey"])
 
@@ -230,4 +247,7 @@ QUERIES = {
     "csv_round_trip": q_csv_round_trip,
     "csv_quote_all": q_csv_quote_all,
     "preview": q_preview,
+    "distinct_headers": q_distinct_headers,
+    "csv_multiline_documents": q_csv_multiline_documents,
+    "csv_single_line": q_csv_single_line,
 }

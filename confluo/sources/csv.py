@@ -14,7 +14,12 @@ from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionErro
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
-    """A1/A2: header row, all columns ``string``, PERMISSIVE (ragged rows pad/truncate)."""
+    """A1/A2: header row, all columns ``string``, PERMISSIVE (ragged rows pad/truncate).
+
+    Quotes inside quoted fields are doubled (RFC 4180, as our writer does);
+    pass ``escape='\\'`` for backslash-escaped files.
+    """
+    options.setdefault("escape", '"')
     r = spark.read.option("header", "true").option("multiLine", str(bool(multi_line)).lower())
     for k, v in options.items():
         r = r.option(k, v)

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, single_file: bool = False,
               mode: str = "overwrite") -> str:
-    """B1/B2: header row; ``quote_all`` quotes every field (null and ``''`` → ``""``)."""
+    """B1/B2: header row; ``quote_all`` quotes every field (null and ``''`` → ``""``).
+
+    A quote inside a field is doubled (RFC 4180), so text with quotes,
+    backslashes and newlines survives a multi-line read with ``escape='"'``.
+    """
     out = df.coalesce(1) if single_file else df
-    w = out.write.mode(mode).option("header", "true")
+    w = out.write.mode(mode).option("header", "true").option("escape", '"')
     if quote_all:
         w = w.option("quoteAll", "true")
     w.csv(path)

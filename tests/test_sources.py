@@ -79,3 +79,11 @@ def test_quote_all_and_round_trip(spark, tmpdir_csv):
     assert sorted(map(tuple, back.collect()), key=str) == sorted([("a", None), (None, "b,c")], key=str)
     recs = [r.record for r in preview_records(df, 1, ["y"]).collect()]
     assert recs == ['{"x":"a"}']
+
+
+def test_rfc4180_quotes_round_trip(spark, tmpdir_csv):
+    p = write(os.path.join(tmpdir_csv, "q.csv"), 'a,b\n"say ""hi""\nthere",x\\y\n')
+    rows = [tuple(r) for r in read_csv(spark, p).collect()]
+    assert rows == [('say "hi"\nthere', "x\\y")]
+    out = write_csv(read_csv(spark, p), os.path.join(tmpdir_csv, "q_out"))
+    assert [tuple(r) for r in read_csv(spark, out).collect()] == rows
