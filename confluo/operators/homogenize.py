@@ -10,6 +10,7 @@ union of narrow projections — no shuffle, no driver round trip.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +123,5 @@ def homogenize(tables: Mapping[str, DataFrame], mapping, fill: str | None = "",
             from confluo.errors import FileNotFound
             raise FileNotFound(f"file {f} not in the session")
         parts.append(project_file(tables[f], f, rows, mains, fill, sep, source_col, row_id_col))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # every part has the same columns in the same order: a positional union
+    return reduce(DataFrame.union, parts)

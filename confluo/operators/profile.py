@@ -34,18 +34,22 @@ def dominant_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def pattern_conformance(df: DataFrame, patterns: dict[str, str] | None = None,
                         columns: list[str] | None = None) -> DataFrame:
-    """``(column, pattern, n_values, n_match, match_rate)``.
+    """``(column, shape, pattern, n_values, n_match, match_rate)``.
 
     ``patterns`` maps a column to a Java regex (search semantics, as
-    ``re.search``); without it each column's dominant shape becomes an
-    anchored regex (metacharacters quoted).  One wide pass over the data.
+    ``re.search``; ``shape`` is then null); without it each column's dominant
+    shape becomes an anchored regex (metacharacters quoted).  The dominant
+    shapes are one row per column; then one wide pass over the data.
     """
     spark = df.sparkSession
+    shapes: dict[str, str] = {}
     if patterns is None:
         cols = columns or df.columns
-        patterns = {r.column: shape_to_regex(r.shape) for r in dominant_shapes(df, cols).collect()}
+        shapes = {r.column: r.shape for r in dominant_shapes(df, cols).collect()}
+        patterns = {c: shape_to_regex(s) for c, s in shapes.items()}
     names = [c for c in (columns or df.columns) if c in patterns]
-    schema = "column string, pattern string, n_values bigint, n_match bigint, match_rate double"
+    schema = ("column string, shape string, pattern string, n_values bigint, n_match bigint, "
+              "match_rate double")
     if not names:
         return spark.createDataFrame([], schema)
     aggs = []
@@ -53,7 +57,8 @@ def pattern_conformance(df: DataFrame, patterns: dict[str, str] | None = None,
         v = col_ref(c).cast("string")
         aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(patterns[c])).alias(f"m{i}")]
     wide = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(patterns[c]).alias("pattern"),
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(shapes.get(c)).cast("string").alias("shape"),
+                               F.lit(patterns[c]).alias("pattern"),
                                F.col(f"n{i}").alias("n_values"), F.col(f"m{i}").alias("n_match"))
                       for i, c in enumerate(names)])
     return wide.select(F.inline(cells)).withColumn(

@@ -59,13 +59,14 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
                        num_partitions: int | None = None) -> DataFrame:
     """``(column, p, value)`` with ``percentile_disc`` semantics, distributed."""
-    spark = df.sparkSession
     probs = [float(p) for p in probs]
     counts = long_values(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(
-        counts.repartitionByRange(n_parts, "column", "v").sortWithinPartitions("column", "v")
-              .withColumn("pid", F.spark_partition_id()))
+    # without a count AQE sizes the ranges (adjacent ranges may be merged,
+    # which keeps them ordered); the checkpoint then fixes partition ids
+    ranged = counts.repartitionByRange(num_partitions, "column", "v") if num_partitions \
+        else counts.repartitionByRange("column", "v")
+    ranged = reliable_checkpoint(ranged.sortWithinPartitions("column", "v")
+                                       .withColumn("pid", F.spark_partition_id()))
     totals = (ranged.groupBy("pid", "column").agg(F.sum("n").alias("n")).collect())
     per_col: dict[str, list[tuple[int, int]]] = {}
     for r in totals:

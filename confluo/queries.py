@@ -10,7 +10,7 @@ from confluo.operators.align import align_union
 from confluo.operators.homogenize import homogenize
 from confluo.operators.names import name_pairs, name_recommendations, similar_name_groups
 from confluo.operators.pca import pca_variance
-from confluo.operators.profile import pattern_conformance, value_shapes, dominant_shapes
+from confluo.operators.profile import pattern_conformance, value_shapes
 from confluo.operators.sampling import bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
@@ -162,11 +162,8 @@ def q_value_shapes(spark, sf_dir):
 
 def q_pattern_conformance(spark, sf_dir):
     def conf(df, cols):
-        dom = dominant_shapes(df, cols).select("column", "shape")
-        pc = pattern_conformance(df, None, cols)
-        return (pc.join(dom, "column")
-                  .select("column", "shape", "n_values", "n_match",
-                          F.round("match_rate", 6).alias("match_rate")))
+        return pattern_conformance(df, None, cols).select(
+            "column", "shape", "n_values", "n_match", F.round("match_rate", 6).alias("match_rate"))
     return _per_table(spark, sf_dir, SHAPE_TARGETS, conf)
 
 
