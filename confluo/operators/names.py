@@ -51,7 +51,8 @@ def name_pairs(cat: DataFrame, threshold: int = 80) -> DataFrame:
     ``eid_l < eid_r``; equal names in different files are included (score 100).
     """
     theta = (threshold - 0.5) / 100.0
-    k = _keyed(cat)
+    # the keyed catalogue feeds five branches below: compute it once
+    k = reliable_checkpoint(_keyed(cat))
     side = ["eid", "file", "file_idx", "ordinal", "column_name", "key", "klen"]
     a = k.select(*[F.col(c).alias(c + "_l") for c in side])
     b = k.select(*[F.col(c).alias(c + "_r") for c in side])
@@ -96,7 +97,9 @@ def name_recommendations(cat: DataFrame, threshold: int = 90) -> DataFrame:
     name pair was emitted before; ``file_left`` gets ``_`` appended when k = j
     or for ``equal``.  Files are indexed by ``file_idx`` (ascending).
     """
-    d = _directed(name_pairs(cat, threshold)).where(F.col("file_idx_x") >= F.col("file_idx_y"))
+    # both directions and the emission rules read the pairs: compute them once
+    pairs = reliable_checkpoint(name_pairs(cat, threshold))
+    d = _directed(pairs).where(F.col("file_idx_x") >= F.col("file_idx_y"))
     grp = ["file_x", "file_idx_x", "ordinal_x", "column_x", "file_y", "file_idx_y"]
     diff = d.where(F.col("column_x") != F.col("column_y"))
     rank_w = Window.partitionBy(*grp).orderBy(F.desc("score"), "ordinal_y")
