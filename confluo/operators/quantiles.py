@@ -10,21 +10,20 @@ in one task, so at scale we rank instead:
 
 1. ``(column, value) → count`` with map-side combine (a hot value collapses to
    one row, so skew in values cannot overload a task);
-2. range-partition those counts by ``(column, value)``, sort within partitions
-   and reliably checkpoint (fixes the partitioning for the next two passes);
-3. per-(partition, column) totals → prefix offsets (partitions × columns
-   numbers, collected);
-4. one ``mapInPandas`` pass walks each partition with a running sum and emits
-   the value where the running count crosses each target rank.
+2. range-partition those counts by ``(column, value)`` and reliably
+   checkpoint (fixes the partitioning for the next two passes);
+3. per-(partition, column) totals (partitions × columns numbers, collected)
+   tell which partition holds each target rank ⌈p·N⌉ and its rank there;
+4. only those partitions are joined with the (broadcast, request-sized)
+   target list and ranked by a running-sum window whose groups are one
+   column within one range partition — bounded, JVM-side, no Python.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.nulls import as_double, col_ref
@@ -59,46 +58,43 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
                        num_partitions: int | None = None) -> DataFrame:
     """``(column, p, value)`` with ``percentile_disc`` semantics, distributed."""
+    spark = df.sparkSession
     probs = [float(p) for p in probs]
     counts = long_values(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     # without a count AQE sizes the ranges (adjacent ranges may be merged,
     # which keeps them ordered); the checkpoint then fixes partition ids
     ranged = counts.repartitionByRange(num_partitions, "column", "v") if num_partitions \
         else counts.repartitionByRange("column", "v")
-    ranged = reliable_checkpoint(ranged.sortWithinPartitions("column", "v")
-                                       .withColumn("pid", F.spark_partition_id()))
-    totals = (ranged.groupBy("pid", "column").agg(F.sum("n").alias("n")).collect())
+    ranged = reliable_checkpoint(ranged.withColumn("pid", F.spark_partition_id()))
+    # partitions × columns totals → which partition holds each target rank
+    totals = ranged.groupBy("pid", "column").agg(F.sum("n").alias("n")).collect()
     per_col: dict[str, list[tuple[int, int]]] = {}
     for r in totals:
         per_col.setdefault(r.column, []).append((r.pid, int(r.n)))
-    offsets: dict[tuple[int, str], int] = {}
-    targets: dict[str, list[tuple[float, int]]] = {}
+    targets = []
     for c, parts in per_col.items():
-        acc = 0
-        for pid, n in sorted(parts):
-            offsets[(pid, c)] = acc
-            acc += n
-        targets[c] = [(p, max(1, math.ceil(p * acc))) for p in probs]
-
-    def walk(batches):
-        run: dict[str, int] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["pid"].iloc[0])
-            out = []
-            for c, g in pdf.groupby("column", sort=False):
-                base = run.get(c, offsets.get((pid, c), 0))
-                cum = base + np.cumsum(g["n"].to_numpy(dtype=np.int64))
-                for p, r in targets.get(c, []):
-                    if base < r <= cum[-1]:
-                        k = int(np.searchsorted(cum, r, side="left"))
-                        out.append((c, p, float(g["v"].iloc[k])))
-                run[c] = int(cum[-1])
-            if out:
-                yield pd.DataFrame(out, columns=["column", "p", "value"])
-
-    return ranged.mapInPandas(walk, "column string, p double, value double")
+        parts.sort()
+        total = sum(n for _, n in parts)
+        for p in probs:
+            rank, acc = max(1, math.ceil(p * total)), 0
+            for pid, n in parts:
+                if acc < rank <= acc + n:
+                    targets.append((pid, c, p, rank - acc))
+                    break
+                acc += n
+    schema = "pid int, column string, p double, local_rank bigint"
+    if not targets:
+        return spark.createDataFrame([], "column string, p double, value double")
+    # one row per (column, p): a size bounded by the request, safe to broadcast
+    want = F.broadcast(spark.createDataFrame(targets, schema))
+    # only the partitions holding a target are ranked; a window group is one
+    # column within one range partition, so it is bounded by the partition size
+    w = Window.partitionBy("pid", "column", "p").orderBy("v") \
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = (ranged.join(want, ["pid", "column"])
+                 .withColumn("cum", F.sum("n").over(w))
+                 .where((F.col("cum") >= F.col("local_rank")) & (F.col("cum") - F.col("n") < F.col("local_rank"))))
+    return hit.select("column", "p", F.col("v").alias("value"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float] | None]:

@@ -45,6 +45,8 @@ def work_dir(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder shared by the cluster")
         key = id(sc._jsc)
         if key not in _local_default:
             _local_default[key] = tempfile.mkdtemp(prefix="confluo-ckpt-")
