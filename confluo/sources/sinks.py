@@ -31,12 +31,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
-    """B3/B4: the first ``n`` rows (in ``order_by`` order when given)."""
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+def preview(df: DataFrame, n: int | None = 10, order_by: list[str] | None = None) -> DataFrame:
+    """B3/B4: the first ``n`` rows (in ``order_by`` order when given); ``None``: all."""
+    out = df.orderBy(*order_by) if order_by else df
+    return out.limit(n) if n is not None else out
 
 
-def preview_records(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+def preview_records(df: DataFrame, n: int | None = 10, order_by: list[str] | None = None) -> DataFrame:
     """B3 as JSON records, one string per row."""
     return preview(df, n, order_by).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
                                            .alias("record"))

@@ -44,3 +44,22 @@ def test_recommend_homogenize_report(spark, tmpdir_csv):
     assert out_rows == {"amount": 2}   # 1000 and the NaN cell
     hist = rep["histogram"].collect()
     assert sum(r.n for r in hist if r.series == "all") == 6
+
+
+def test_service_tasks(spark, tmpdir_csv):
+    from confluo.plans.session import (compare_inline, export_quote_all, preview_file, report_for_file,
+                                       search_files, session_columns)
+    d = _session(tmpdir_csv)
+    assert session_columns(spark, d) == {"crm.csv": ["cust name", "cust_city", "amount"],
+                                         "erp.csv": ["name cust", "city", "amount", "note"]}
+    assert sorted(r.file for r in search_files(spark, d).collect()) == ["crm.csv", "erp.csv"]
+    recs = [r.record for r in preview_file(spark, os.path.join(d, "crm.csv")).collect()]
+    assert len(recs) == 4 and '"cust name":"Ann Lee"' in recs[0]
+    out = export_quote_all(spark, d, "erp.csv", os.path.join(d, "export"))
+    assert '"Ed Fox","Oslo","12",""' in [r.value for r in spark.read.text(out).collect()]
+    left = {"name": "a", "columns": [{"column_name": "c", "data": ["red fox", "blue fox"]}]}
+    right = {"name": "b", "columns": [{"column_name": "d", "data": ["fox red", "fox blue"]}]}
+    sims = compare_inline(spark, left, right).collect()
+    assert [(r.column_df1, r.column_df2, round(r.similarity, 9)) for r in sims] == [("c", "d", 1.0)]
+    rep = report_for_file(spark, os.path.join(d, "crm.csv"), exact=True)
+    assert {r.column: r.n_outliers for r in rep["outliers"].collect()} == {"amount": 1}   # 1000 > 20 + 1.5·10
