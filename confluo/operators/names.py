@@ -200,3 +200,23 @@ def table_pairs(files: list[str]) -> list[tuple[str, str]]:
         for j in range(0, n):
             out.append((files[j], files[n]))
     return out
+
+
+def recommendations_dict(recs: DataFrame) -> dict[str, dict]:
+    """The reference's response shape: ``{"Recommendation<n>": {left_file: column,
+    right_file: [similar, …]}}`` (collected: one row per recommended column
+    pair, bounded by the schema)."""
+    out: dict[str, dict] = {}
+    for r in recs.orderBy("rec_no", "rank").collect():
+        rec = out.setdefault(f"Recommendation{r.rec_no}", {})
+        rec[r.file_left] = r.column
+        rec.setdefault(r.file_right, []).append(r.similar)
+    return out
+
+
+def groups_dict(groups: DataFrame) -> dict[str, list[str]]:
+    """``{leader: [members…, leader]}`` (collected; bounded by the column list)."""
+    out: dict[str, list[str]] = {}
+    for r in groups.orderBy("leader", "member_rank").collect():
+        out.setdefault(r.leader, []).append(r.member)
+    return out

@@ -24,3 +24,18 @@ def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = F
         else outlier_report(df, num.columns, exact=exact, only_null_columns=True),
         "histogram": histogram(num, exact=exact),
     }
+
+
+def report_dict(report: dict[str, DataFrame]) -> dict[str, dict]:
+    """``{column: {"nulls": n, "outliers": {...}, "histogram": {...}}}`` — the
+    reference's response shape with the plot replaced by its bin counts
+    (collected: a few rows per column)."""
+    out: dict[str, dict] = {}
+    for r in report["nulls"].collect():
+        out.setdefault(r.column, {})["nulls"] = int(r.nulls)
+    for r in report["outliers"].collect():
+        out.setdefault(r.column, {})["outliers"] = {k: r[k] for k in ("q1", "q3", "lower", "upper", "n_outliers")}
+    for r in report["histogram"].collect():
+        h = out.setdefault(r.column, {}).setdefault("histogram", {})
+        h.setdefault(r.series, {})[int(r.bin)] = int(r.n)
+    return out

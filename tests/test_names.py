@@ -148,3 +148,15 @@ def test_groups_match_greedy_loop(spark):
 
 def test_table_pairs():
     assert table_pairs(["a", "b", "c"]) == [("a", "c"), ("b", "c"), ("a", "b")]
+
+
+def test_reference_shapes(spark):
+    from confluo.operators.names import groups_dict, recommendations_dict
+    files = {"a.csv": ["order date", "qty"], "b.csv": ["date order", "qty", "quantity"]}
+    cat = header_catalogue(spark, {f: spark.createDataFrame([], ", ".join(f"`{c}` string" for c in cols))
+                                   for f, cols in files.items()})
+    d = recommendations_dict(name_recommendations(cat, 90))
+    assert d == {"Recommendation0": {"b.csv": "date order", "a.csv": ["order date"]},
+                 "Recommendation1": {"b.csv_": "qty", "a.csv": ["qty"]}}
+    g = groups_dict(similar_name_groups(catalogue_from_names(spark, ["order date", "date order", "qty"]), 80))
+    assert g == {"order date": ["date order", "order date"]}

@@ -63,3 +63,12 @@ def test_service_tasks(spark, tmpdir_csv):
     assert [(r.column_df1, r.column_df2, round(r.similarity, 9)) for r in sims] == [("c", "d", 1.0)]
     rep = report_for_file(spark, os.path.join(d, "crm.csv"), exact=True)
     assert {r.column: r.n_outliers for r in rep["outliers"].collect()} == {"amount": 1}   # 1000 > 20 + 1.5·10
+
+
+def test_report_dict(spark, tmpdir_csv):
+    from confluo.plans.report import report_dict
+    d = _session(tmpdir_csv)
+    rep = report_dict(final_report(read_csv(spark, os.path.join(d, "erp.csv")), exact=True))
+    assert rep["amount"]["nulls"] == 1 and rep["note"]["nulls"] == 2
+    assert rep["amount"]["outliers"]["n_outliers"] == 1          # the NaN cell
+    assert sum(rep["amount"]["histogram"]["all"].values()) == 2
