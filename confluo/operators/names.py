@@ -139,7 +139,7 @@ def recommendations_nested(recs: DataFrame) -> DataFrame:
                         F.col("s.similar").alias("similar"), "kind"))
 
 
-def similar_name_groups(cat: DataFrame, threshold: int = 80, max_rounds: int = 1000) -> DataFrame:
+def similar_name_groups(cat: DataFrame, threshold: int = 80) -> DataFrame:
     """Greedy groups of similar names, decided by rounds (no sequential loop).
 
     Names in catalogue order ``(file_idx, ordinal)``.  Walking that order, a
@@ -166,10 +166,16 @@ def similar_name_groups(cat: DataFrame, threshold: int = 80, max_rounds: int = 1
     status = nodes.join(earlier.select("x").distinct().withColumn("has", F.lit(1)), "x", "left") \
                   .select("x", F.when(F.col("has").isNull(), 1).otherwise(0).alias("st"))
     status = reliable_checkpoint(status)
-    for _ in range(max_rounds):
+    last = None
+    while True:
+        # the earliest undecided name is always decided in the next round,
+        # so this terminates after at most one round per name
         undecided = status.where(F.col("st") == 0).count()
         if undecided == 0:
             break
+        if last is not None and undecided >= last:
+            raise RuntimeError("name groups made no progress")   # cannot happen by construction
+        last = undecided
         ev = (earlier.join(status.select(F.col("x").alias("e"), F.col("st").alias("st_e")), "e")
                      .groupBy("x").agg(F.max(F.when(F.col("st_e") == 1, 1).otherwise(0)).alias("any_leader"),
                                        F.min(F.when(F.col("st_e") == 0, 0).otherwise(1)).alias("all_decided")))

@@ -122,14 +122,17 @@ def iqr_outliers(df: DataFrame, column: str, exact: bool = False,
 
 
 def outlier_report(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
-                   relative_error: float = 0.05, only_null_columns: bool = False) -> DataFrame:
+                   relative_error: float = 0.05, only_null_columns: bool = False,
+                   stats: dict[str, tuple] | None = None) -> DataFrame:
     """``(column, q1, q3, lower, upper, n_outliers)`` for every numeric column.
 
     ``only_null_columns=True`` keeps the reference's rule: report only columns
-    that also have nulls.
+    that also have nulls.  ``stats`` (from :func:`fence_stats`) skips the
+    quartile pass when the caller already has the fences.
     """
     spark = df.sparkSession
-    stats = fence_stats(df, columns, exact, relative_error)
+    if stats is None:
+        stats = fence_stats(df, columns, exact, relative_error)
     if only_null_columns:
         with_nulls = {r.column for r in null_profile(df).collect()}
         stats = {c: s for c, s in stats.items() if c in with_nulls}
@@ -168,7 +171,8 @@ def bin_index(v: Column, lo: float, hi: float, bins: int = N_BINS) -> Column:
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
-              relative_error: float = 0.05, bins: int = N_BINS) -> DataFrame:
+              relative_error: float = 0.05, bins: int = N_BINS,
+              stats: dict[str, tuple] | None = None) -> DataFrame:
     """``(column, series, bin, n)``: 30 equal-width bins of all values and of
     the outliers, each over its own min–max (null and NaN left out).
 
@@ -177,7 +181,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = Fal
     map-side before the shuffle.
     """
     spark = df.sparkSession
-    stats = fence_stats(df, columns, exact, relative_error)
+    if stats is None:
+        stats = fence_stats(df, columns, exact, relative_error)
     schema = "column string, series string, bin int, n bigint"
     if not stats:
         return spark.createDataFrame([], schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from confluo.operators.quality import histogram, null_profile, numeric_columns, outlier_report
+from confluo.operators.quality import fence_stats, histogram, null_profile, numeric_columns, outlier_report
 
 
 def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = False,
@@ -12,17 +12,20 @@ def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = F
     """``{"nulls", "outliers", "histogram"}`` DataFrames.
 
     The numeric projection is persisted between the passes (the reference
-    re-scanned the file for every column and action).
+    re-scanned the file for every column and action) and the fences are
+    computed once for both the outlier report and the histograms.
     """
     nulls = null_profile(df)
     num = numeric_columns(df)
     if persist:
         num = num.persist()
+    stats = fence_stats(num, num.columns, exact)
     return {
         "nulls": nulls,
-        "outliers": outlier_report(num, exact=exact, only_null_columns=False) if not only_null_columns
-        else outlier_report(df, num.columns, exact=exact, only_null_columns=True),
-        "histogram": histogram(num, exact=exact),
+        "outliers": outlier_report(num, exact=exact, only_null_columns=only_null_columns, stats=stats)
+        if not only_null_columns else
+        outlier_report(df, num.columns, exact=exact, only_null_columns=True, stats=stats),
+        "histogram": histogram(num, exact=exact, stats=stats),
     }
 
 
