@@ -149,7 +149,6 @@ def similar_name_groups(cat: DataFrame, threshold: int = 80) -> DataFrame:
     whose earlier similar names are all covered leads.  Returns
     ``(leader, member_rank, member)``, leader last.
     """
-    spark = cat.sparkSession
     pos = cat.select("column_name", (F.shiftleft(F.col("file_idx").cast("bigint"), 32)
                                      + F.col("ordinal")).alias("pos"))
     first = pos.groupBy("column_name").agg(F.min("pos").alias("pos"))
@@ -194,7 +193,6 @@ def similar_name_groups(cat: DataFrame, threshold: int = 80) -> DataFrame:
     ranked = members.withColumn("member_rank", (F.row_number().over(w) - 1).cast("int"))
     last = ranked.groupBy("leader").agg(F.count(F.lit(1)).cast("int").alias("member_rank")) \
                  .withColumn("member", F.col("leader"))
-    _ = spark
     return ranked.select("leader", "member_rank", F.col("member_name").alias("member")) \
                  .unionByName(last.select("leader", "member_rank", "member"))
 

@@ -12,8 +12,9 @@ in one task, so at scale we rank instead:
    one row, so skew in values cannot overload a task);
 2. range-partition those counts by ``(column, value)`` and reliably
    checkpoint (fixes the partitioning for the next two passes);
-3. per-(partition, column) totals (partitions × columns numbers, collected)
-   tell which partition holds each target rank ⌈p·N⌉ and its rank there;
+3. per-(partition, column) totals with a per-column prefix sum (a window
+   over one row per partition) tell which partition holds each target rank
+   ⌈p·N⌉ and its rank there — nothing is collected;
 4. only those partitions are joined with the (broadcast, request-sized)
    target list and ranked by a running-sum window whose groups are one
    column within one range partition — bounded, JVM-side, no Python.
@@ -21,8 +22,6 @@ in one task, so at scale we rank instead:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +57,6 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
                        num_partitions: int | None = None) -> DataFrame:
     """``(column, p, value)`` with ``percentile_disc`` semantics, distributed."""
-    spark = df.sparkSession
     probs = [float(p) for p in probs]
     counts = long_values(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     # without a count AQE sizes the ranges (adjacent ranges may be merged,
@@ -66,27 +64,21 @@ def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
     ranged = counts.repartitionByRange(num_partitions, "column", "v") if num_partitions \
         else counts.repartitionByRange("column", "v")
     ranged = reliable_checkpoint(ranged.withColumn("pid", F.spark_partition_id()))
-    # partitions × columns totals → which partition holds each target rank
-    totals = ranged.groupBy("pid", "column").agg(F.sum("n").alias("n")).collect()
-    per_col: dict[str, list[tuple[int, int]]] = {}
-    for r in totals:
-        per_col.setdefault(r.column, []).append((r.pid, int(r.n)))
-    targets = []
-    for c, parts in per_col.items():
-        parts.sort()
-        total = sum(n for _, n in parts)
-        for p in probs:
-            rank, acc = max(1, math.ceil(p * total)), 0
-            for pid, n in parts:
-                if acc < rank <= acc + n:
-                    targets.append((pid, c, p, rank - acc))
-                    break
-                acc += n
-    schema = "pid int, column string, p double, local_rank bigint"
-    if not targets:
-        return spark.createDataFrame([], "column string, p double, value double")
+    # partition × column totals → exclusive prefix per column (a window over
+    # one row per partition) → the one partition holding each target rank
+    tot = ranged.groupBy("pid", "column").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("column").orderBy("pid") \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    tot = (tot.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .withColumn("total", F.sum("n").over(Window.partitionBy("column"))))
+    per_p = F.inline(F.array(*[F.struct(F.lit(p).alias("p")) for p in probs]))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("total")))
+    want = (tot.select("pid", "column", "n", "before", "total", per_p)
+               .withColumn("rank", rank)
+               .where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+               .select("pid", "column", "p", (F.col("rank") - F.col("before")).alias("local_rank")))
     # one row per (column, p): a size bounded by the request, safe to broadcast
-    want = F.broadcast(spark.createDataFrame(targets, schema))
+    want = F.broadcast(want)
     # only the partitions holding a target are ranked; a window group is one
     # column within one range partition, so it is bounded by the partition size
     w = Window.partitionBy("pid", "column", "p").orderBy("v") \

@@ -1,5 +1,4 @@
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 import pytest
 
@@ -77,4 +76,3 @@ def test_align_union_pads_with_null(spark):
     u = align_union({"a": a, "b": b}, source_col="src")
     assert u.columns == ["a", "b", "c", "src"]
     assert sorted(map(tuple, u.collect()), key=str) == sorted([("1", "2", None, "a"), (None, "3", "4", "b")], key=str)
-    _ = F
