@@ -48,3 +48,16 @@ def pca_variance(df: DataFrame, columns: list[str] | None = None, vector_col: st
         acc += e
         rows.append((k, e, acc))
     return spark.createDataFrame(rows, "k int, explained_variance double, cumulative_variance double")
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_a, column_b, corr)`` for every pair a < b (in ``columns``
+    order): one wide aggregate of Pearson correlations — the matrix whose
+    eigenvalue shares are the standardised PCA curve."""
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    v = {c: as_double(col_ref(c), dtypes[c]) for c in columns}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    wide = df.agg(*[F.corr(v[a], v[b]).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+                               F.col(f"r{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
+    return wide.select(F.inline(cells))

@@ -7,8 +7,8 @@ views.  Doubles are rounded only where the Spark query rounds too.
 from __future__ import annotations
 
 from confluo.operators.values import W
-from confluo.queries import (FENCE_TARGETS, HISTOGRAM_TARGETS, NORMALIZED_TEXT_COLUMNS, SHAPE_TARGETS,
-                             TABLES, TEXT_COLUMNS)
+from confluo.queries import (FENCE_TARGETS, HISTOGRAM_TARGETS, NORMALIZED_TEXT_COLUMNS, PCA_LINEITEM,
+                             SHAPE_TARGETS, TABLES, TEXT_COLUMNS)
 
 # Column types of the driver tables used by the type-dependent oracles.
 TYPES = {
@@ -247,6 +247,13 @@ FROM d JOIN tot ON d."table" = tot."table" AND d."column" = tot."column"
 """
 
 
+def correlation_sql(table: str, cols: list[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    return " UNION ALL ".join(
+        f"SELECT {_q(a)} AS column_a, {_q(b)} AS column_b, "
+        f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 9) AS corr FROM {table}" for a, b in pairs)
+
+
 ORACLE = {
     "align_union": ALIGN_SQL,
     "homogenize": HOMOGENIZE_SQL,
@@ -279,6 +286,7 @@ ORACLE = {
                       "CAST(c_nationkey AS VARCHAR) || '\",\"' || CAST(c_acctbal AS VARCHAR) || '\",\"' || "
                       "c_mktsegment || '\"' AS line FROM customer"),
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
+    "pca_correlation": correlation_sql("lineitem", PCA_LINEITEM),
     "distinct_headers": f"SELECT DISTINCT column_name FROM ({catalogue_sql()})",
     "csv_multiline_documents": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
     "csv_single_line": ("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) "

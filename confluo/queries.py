@@ -179,6 +179,12 @@ def q_pca_variance(spark, sf_dir):
     return pca_variance(load(spark, sf_dir, "lineitem"), PCA_LINEITEM, standardize=True)
 
 
+def q_pca_correlation(spark, sf_dir):
+    from confluo.operators.pca import correlation_matrix
+    corr = correlation_matrix(load(spark, sf_dir, "lineitem"), PCA_LINEITEM)
+    return corr.withColumn("corr", F.round("corr", 9))
+
+
 def q_pca_variance_embeddings(spark, sf_dir):
     return pca_variance(load(spark, sf_dir, "embeddings"), vector_col="embedding", standardize=False)
 
@@ -241,6 +247,7 @@ QUERIES = {
     "sample_bernoulli": q_sample_bernoulli,
     "pca_variance": q_pca_variance,
     "pca_variance_embeddings": q_pca_variance_embeddings,
+    "pca_correlation": q_pca_correlation,
     "csv_round_trip": q_csv_round_trip,
     "csv_quote_all": q_csv_quote_all,
     "preview": q_preview,

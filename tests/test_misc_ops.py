@@ -35,3 +35,15 @@ def test_pca_on_embedding_arrays(spark):
     x = np.array([r.embedding for r in emb.collect()], dtype=float)
     ev = np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1]
     assert np.allclose([r.explained_variance for r in got], ev / ev.sum(), atol=1e-8)
+
+
+def test_correlation_matrix_matches_numpy(spark):
+    from confluo.operators.pca import correlation_matrix
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    got = {(r.column_a, r.column_b): r.corr for r in correlation_matrix(li, cols).collect()}
+    x = np.array([[r[c] for c in cols] for r in li.select(*cols).collect()])
+    c = np.corrcoef(x, rowvar=False)
+    assert len(got) == 6
+    for (a, b), r in got.items():
+        assert abs(r - c[cols.index(a), cols.index(b)]) < 1e-9

@@ -103,3 +103,19 @@ def test_outlier_report_only_null_columns(spark):
     df = spark.createDataFrame([("1", "1"), ("2", None), ("50", "3")], "a string, b string")
     cols = [r.column for r in Q.outlier_report(df, exact=True, only_null_columns=True).collect()]
     assert cols == ["b"]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=60),
+       st.integers(1, 5))
+def test_exact_quantiles_property(spark, vals, parts):
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(parts)
+    got = exact_quantiles(df, ["v"], [0.25, 0.75])["v"]
+    present = [v for v in vals if v is not None]
+    if not present:
+        assert got is None
+    else:
+        assert got == [_disc(vals, 0.25), _disc(vals, 0.75)]
