@@ -170,10 +170,47 @@ def catalogue_sql() -> str:
             f"FROM information_schema.columns WHERE table_name IN ({names}))")
 
 
+def _score(a: str, b: str) -> str:
+    return (f"CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+            f"ELSE CAST(round_even(CAST(100 AS DOUBLE) * (CAST(2 * {_lcs(a, b)} AS DOUBLE) / "
+            f"(length({a}) + length({b}))), 0) AS INTEGER) END")
+
+
+def groups_sql(threshold: int = 80) -> str:
+    """Greedy groups as a sequential walk: a recursive CTE carries the used names."""
+    return f"""
+WITH RECURSIVE
+cat AS ({catalogue_sql()}),
+pos AS (SELECT column_name AS name, CAST(file_idx AS BIGINT) * 4294967296 + ordinal AS pos FROM cat),
+firsts AS (SELECT name, min(pos) AS pos FROM pos GROUP BY name),
+keyed AS (SELECT name, pos, {_key('name')} AS key FROM firsts),
+sim AS (SELECT * FROM (SELECT l.name AS a, r.name AS b, {_score('l.key', 'r.key')} AS score
+                       FROM keyed l JOIN keyed r ON l.name <> r.name) WHERE score >= {threshold}),
+ordered AS (SELECT name, row_number() OVER (ORDER BY pos) AS i FROM firsts),
+nbrs AS (SELECT o.i, o.name, coalesce(list(s.b) FILTER (WHERE s.b IS NOT NULL), []) AS sims
+         FROM ordered o LEFT JOIN sim s ON s.a = o.name GROUP BY o.i, o.name),
+walk(i, used, leaders) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+    UNION ALL
+    SELECT n.i,
+           CASE WHEN list_contains(w.used, n.name) OR len(n.sims) = 0 THEN w.used
+                ELSE list_concat(w.used, n.sims, [n.name]) END,
+           CASE WHEN list_contains(w.used, n.name) OR len(n.sims) = 0 THEN w.leaders
+                ELSE list_append(w.leaders, n.name) END
+    FROM walk w JOIN nbrs n ON n.i = w.i + 1),
+leaders AS (SELECT unnest(leaders) AS leader FROM (SELECT leaders FROM walk ORDER BY i DESC LIMIT 1)),
+members AS (SELECT l.leader, p.name AS member, s.score, p.pos
+            FROM leaders l JOIN sim s ON s.a = l.leader JOIN pos p ON p.name = s.b)
+SELECT leader, CAST(row_number() OVER (PARTITION BY leader ORDER BY score DESC, pos) - 1 AS INTEGER) AS member_rank,
+       member FROM members
+UNION ALL
+SELECT l.leader, CAST(count(m.member) AS INTEGER), l.leader FROM leaders l LEFT JOIN members m ON m.leader = l.leader
+GROUP BY l.leader
+"""
+
+
 def _pairs_cte(threshold: int) -> str:
-    score = (f"CASE WHEN l.key = r.key THEN 100 WHEN length(l.key) = 0 OR length(r.key) = 0 THEN 0 "
-             f"ELSE CAST(round_even(CAST(100 AS DOUBLE) * (CAST(2 * {_lcs('l.key', 'r.key')} AS DOUBLE) / "
-             f"(length(l.key) + length(r.key))), 0) AS INTEGER) END")
+    score = _score("l.key", "r.key")
     return f"""
 cat AS ({catalogue_sql()}),
 keyed AS (SELECT *, {_key('column_name')} AS key FROM cat),
@@ -274,6 +311,7 @@ ORACLE = {
     "column_tfidf_normalized": tfidf_sql(NORMALIZED_TEXT_COLUMNS, True),
     "name_pairs": name_pairs_sql(),
     "name_recommendations": name_recommendations_sql(),
+    "similar_name_groups": groups_sql(80),
     "normalize_text": f"SELECT doc_id, {NORMALIZE_KEEP_NULL.format(x='text')} AS text_norm FROM documents",
     "normalize_pages": f"SELECT page_id, {NORMALIZE_KEEP_NULL.format(x='html')} AS html_norm FROM pages",
     "value_shapes": shapes_sql(),
