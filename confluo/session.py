@@ -37,13 +37,19 @@ def work_dir(spark: SparkSession) -> str:
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system), read
     from the session.  Only where it is unset (local tests) do we make one.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no JVM handle (remote session): the server's setting applies
+        return spark.conf.get(_CKPT_KEY, None) or ""
     d = sc.getConf().get(_CKPT_KEY, None)
     if not d:
         try:
             d = spark.conf.get(_CKPT_KEY, None)
         except Exception:
             d = None
+    if not d and sc.getCheckpointDir():
+        # set through sc.setCheckpointDir(dir): Spark appends a per-app subfolder
+        d = sc.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder shared by the cluster")
@@ -88,9 +94,9 @@ def spread(df):
     a no-op, so it never adds a shuffle of big data.  No job is run.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
     try:
+        cores = spark.sparkContext.defaultParallelism
+        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         size = int(size if isinstance(size, int) else size.toString())
     except Exception:  # no estimate: leave the plan alone
