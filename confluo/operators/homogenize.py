@@ -71,7 +71,8 @@ def _as_text(c: Column, df: DataFrame, name: str) -> Column:
 
 def project_file(df: DataFrame, file: str, rows: MappingRows, mains: list[str],
                  fill: str | None = "", sep: str = " ",
-                 source_col: str | None = None, row_id_col: str | None = None) -> DataFrame:
+                 source_col: str | None = None, row_id_col: str | None = None,
+                 extra: list[str] | None = None) -> DataFrame:
     """One simultaneous select for one file: every main column in mapping order.
 
     A single source is renamed; several are merged with ``concat_ws`` (nulls
@@ -100,6 +101,7 @@ def project_file(df: DataFrame, file: str, rows: MappingRows, mains: list[str],
         exprs.append(F.lit(file).alias(source_col))
     if row_id_col:
         exprs.append(F.monotonically_increasing_id().alias(row_id_col))
+    exprs += [col_ref(c) for c in extra or []]
     return df.select(*exprs)
 
 

@@ -2,13 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
 
-from confluo.operators.homogenize import files_in_order, homogenize, mapping_rows
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from confluo.errors import FileNotFound
+from confluo.operators.homogenize import (check_columns, files_in_order, main_columns, mapping_rows,
+                                          project_file)
 from confluo.sources.csv import read_csv, session_files
 from confluo.sources.sinks import write_csv, write_parquet
 
 
+def _signature(rows, file: str, mains: list[str]) -> tuple:
+    by_main: dict[str, list[str]] = {}
+    for main, f, _, src in sorted(rows, key=lambda r: r[2]):
+        if f == file:
+            by_main.setdefault(main, []).append(src)
+    return tuple((m, tuple(by_main.get(m, ()))) for m in mains)
+
+
+def combine_session(spark: SparkSession, session_dir: str, mapping, multi_line: bool = False,
+                    fill: str | None = "", source_col: str | None = None) -> DataFrame:
+    """The combined table of a session, lazily.
+
+    Files with the same header and the same projection are read by **one**
+    multi-path scan (the source file comes from ``_metadata.file_name``), so
+    the plan grows with the number of distinct file layouts, not files.
+    Headers are read per file (the first line only) and checked before any
+    data is read.
+    """
+    rows = mapping_rows(mapping)
+    mains = main_columns(rows)
+    paths = dict(session_files(spark, session_dir))
+    groups: dict[tuple, list[str]] = {}
+    for f in files_in_order(rows):
+        if f not in paths:
+            raise FileNotFound(f"{f} in {session_dir}")
+        header = tuple(read_csv(spark, paths[f], multi_line).columns)
+        groups.setdefault((header, _signature(rows, f, mains)), []).append(f)
+    parts = []
+    for _layout, files in groups.items():
+        df = read_csv(spark, [paths[f] for f in files], multi_line)
+        check_columns(df, files[0], [s for _, srcs in _signature(rows, files[0], mains) for s in srcs])
+        if source_col:
+            src = df.select("*", F.col("_metadata.file_name").alias("__source_file"))
+            part = project_file(src, files[0], rows, mains, fill, extra=["__source_file"]) \
+                .withColumnRenamed("__source_file", source_col)
+        else:
+            part = project_file(df, files[0], rows, mains, fill)
+        parts.append(part)
+    return reduce(DataFrame.union, parts)
+
+
 def homogenize_session(spark: SparkSession, session_dir: str, mapping, out_path: str,
                        fmt: str = "parquet", multi_line: bool = False,
                        single_file: bool = False, source_col: str | None = None) -> str:
@@ -18,15 +64,7 @@ def homogenize_session(spark: SparkSession, session_dir: str, mapping, out_path:
     holding a third of the data must not become one task); pass
     ``multi_line=True`` for files with quoted newlines.
     """
-    rows = mapping_rows(mapping)
-    paths = dict(session_files(spark, session_dir))
-    tables = {}
-    for f in files_in_order(rows):
-        if f not in paths:
-            from confluo.errors import FileNotFound
-            raise FileNotFound(f"{f} in {session_dir}")
-        tables[f] = read_csv(spark, paths[f], multi_line)
-    combined = homogenize(tables, rows, fill="", source_col=source_col)
+    combined = combine_session(spark, session_dir, mapping, multi_line, "", source_col)
     if fmt == "csv":
         return write_csv(combined, out_path, single_file=single_file)
     return write_parquet(combined, out_path, partition_by=[source_col] if source_col else None)

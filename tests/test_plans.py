@@ -72,3 +72,18 @@ def test_report_dict(spark, tmpdir_csv):
     assert rep["amount"]["nulls"] == 1 and rep["note"]["nulls"] == 2
     assert rep["amount"]["outliers"]["n_outliers"] == 1          # the NaN cell
     assert sum(rep["amount"]["histogram"]["all"].values()) == 2
+
+
+def test_same_layout_files_share_one_scan(spark, tmpdir_csv):
+    from confluo.plans.homogenize import combine_session
+    for day in range(3):
+        write(os.path.join(tmpdir_csv, f"day{day}.csv"), f"id,amt\n{day}1,1\n{day}2,2\n")
+    write(os.path.join(tmpdir_csv, "other.csv"), "key,value\n9,9\n")
+    mapping = {"id": {f"day{d}.csv": ["id"] for d in range(3)} | {"other.csv": ["key"]},
+               "amount": {f"day{d}.csv": ["amt"] for d in range(3)} | {"other.csv": ["value"]}}
+    df = combine_session(spark, tmpdir_csv, mapping, source_col="source")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted([(f"{d}{i}", str(i), f"day{d}.csv") for d in range(3) for i in (1, 2)]
+                         + [("9", "9", "other.csv")])
