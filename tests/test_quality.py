@@ -119,3 +119,16 @@ def test_exact_quantiles_property(spark, vals, parts):
         assert got is None
     else:
         assert got == [_disc(vals, 0.25), _disc(vals, 0.75)]
+
+
+@pytest.mark.parametrize("parts", [5, 13])
+def test_exact_quantiles_across_many_range_partitions(spark, parts):
+    from confluo.operators.quantiles import exact_quantiles_df
+    rnd = random.Random(parts)
+    a = [float(rnd.randint(0, 400)) for _ in range(4000)]
+    b = [rnd.random() * 1000 for _ in range(4000)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = {(r.column, r.p): r.value for r in exact_quantiles_df(df, ["a", "b"], probs, num_partitions=parts).collect()}
+    for name, vals in (("a", a), ("b", b)):
+        assert [got[(name, p)] for p in probs] == [_disc(vals, p) for p in probs]
