@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,26 +63,8 @@ def column_terms(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str
     return terms.groupBy("table", "tidx", "column", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None,
-                      threshold: float | None = 0.8, normalize: bool = False) -> DataFrame:
-    """``(df1_name, column_df1, df2_name, column_df2, similarity)`` for every
-    pair of columns from two different tables (earlier table on the left)
-    whose similarity is above ``threshold`` (strict; ``None`` keeps all pairs
-    that share a token)."""
-    # Tokenise once: the join sides and the totals all read this checkpoint
-    # (it also cuts the lineage of the expensive explode).
-    tf = reliable_checkpoint(column_terms(tables, columns, normalize))
-    tot = tf.groupBy("table", "column").agg(F.sum(F.col("tf") * F.col("tf")).cast("double").alias("ss"))
-    a = tf.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name"),
-                  F.col("column").alias("column_df1"), "token", F.col("tf").alias("tfa"))
-    b = tf.select(F.col("tidx").alias("tb"), F.col("table").alias("df2_name"),
-                  F.col("column").alias("column_df2"), "token", F.col("tf").alias("tfb"))
-    g = (a.join(b, "token").where(F.col("ta") < F.col("tb"))
-          .groupBy("df1_name", "column_df1", "df2_name", "column_df2")
-          .agg(F.sum(F.col("tfa") * F.col("tfb")).cast("double").alias("dot"),
-               F.sum(F.col("tfa") * F.col("tfa")).cast("double").alias("sa"),
-               F.sum(F.col("tfb") * F.col("tfb")).cast("double").alias("sb")))
-    # one row per column: bounded by the schema width
+def _pair_scores(g: DataFrame, tot: DataFrame) -> DataFrame:
+    """Similarity from per-pair sums ``dot, sa, sb`` and per-column totals."""
     ta = F.broadcast(tot.select(F.col("table").alias("df1_name"), F.col("column").alias("column_df1"),
                                 F.col("ss").alias("ssa")))
     tb = F.broadcast(tot.select(F.col("table").alias("df2_name"), F.col("column").alias("column_df2"),
@@ -90,8 +72,102 @@ def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, lis
     g = g.join(ta, ["df1_name", "column_df1"]).join(tb, ["df2_name", "column_df2"])
     na = F.sqrt(F.col("sa") + F.lit(W) * (F.col("ssa") - F.col("sa")))
     nb = F.sqrt(F.col("sb") + F.lit(W) * (F.col("ssb") - F.col("sb")))
-    out = g.select("column_df1", "column_df2", (F.col("dot") / (na * nb)).alias("similarity"),
-                   "df1_name", "df2_name")
+    return g.select("column_df1", "column_df2", (F.col("dot") / (na * nb)).alias("similarity"),
+                    "df1_name", "df2_name")
+
+
+def _sums(joined: DataFrame) -> DataFrame:
+    return (joined.groupBy("df1_name", "column_df1", "df2_name", "column_df2")
+                  .agg(F.sum(F.col("tfa") * F.col("tfb")).cast("double").alias("dot"),
+                       F.sum(F.col("tfa") * F.col("tfa")).cast("double").alias("sa"),
+                       F.sum(F.col("tfb") * F.col("tfb")).cast("double").alias("sb")))
+
+
+def _sides(tf: DataFrame):
+    a = tf.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name"),
+                  F.col("column").alias("column_df1"), "token", F.col("tf").alias("tfa"))
+    b = tf.select(F.col("tidx").alias("tb"), F.col("table").alias("df2_name"),
+                  F.col("column").alias("column_df2"), "token", F.col("tf").alias("tfb"))
+    return a, b
+
+
+def _candidates(tf: DataFrame, tot: DataFrame, threshold: float) -> DataFrame:
+    """Column pairs that can exceed ``threshold`` — an exact superset.
+
+    The pair-dependent IDF only shrinks a score (unshared tokens weigh
+    ``W > 1`` in the norms), so similarity > t implies cosine > t of the raw
+    term counts.  Order tokens by how many columns hold them (rarest first):
+    two columns with cosine > t share a token before which each has less
+    than ``1 − t²`` of its squared, normalised mass (all-pairs prefix
+    filtering, Bayardo et al. 2007).  Tokens are taken a whole frequency
+    class at a time, so the per-column running sum is a window over at most
+    one row per class (bounded by the number of columns), and the prefix
+    equi-join on ``token`` touches mostly rare tokens.
+    """
+    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
+    ss = F.broadcast(tot.select("table", "column", "ss"))
+    tu = (tf.join(dfreq, "token").join(ss, ["table", "column"])
+            .withColumn("u2", F.col("tf") * F.col("tf") / F.col("ss")))
+    mass = tu.groupBy("tidx", "column", "dfreq").agg(F.sum("u2").alias("m"))
+    w = Window.partitionBy("tidx", "column").orderBy("dfreq") \
+              .rowsBetween(Window.unboundedPreceding, -1)
+    keep = (mass.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0.0)))
+                .where(F.col("before") < F.lit(1.0 - threshold * threshold + 1e-9))
+                .select("tidx", "column", "dfreq"))
+    prefix = tu.where(F.col("dfreq") > 1).join(keep, ["tidx", "column", "dfreq"]) \
+               .select("tidx", "column", "token")
+    pa = prefix.select(F.col("tidx").alias("ta"), F.col("column").alias("ca"), "token")
+    pb = prefix.select(F.col("tidx").alias("tb"), F.col("column").alias("cb"), "token")
+    return (pa.join(pb, "token").where(F.col("ta") < F.col("tb"))
+              .select("ta", "ca", "tb", "cb").distinct())
+
+
+def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None,
+                      threshold: float | None = 0.8, normalize: bool = False,
+                      method: str = "auto", wide: int = 32) -> DataFrame:
+    """``(df1_name, column_df1, df2_name, column_df2, similarity)`` for every
+    pair of columns from two different tables (earlier table on the left)
+    whose similarity is above ``threshold`` (strict; ``None`` keeps all pairs
+    that share a token).
+
+    ``method="join"`` joins every shared token: at most one row per column
+    on each side of a token, so it emits at most columns²/2 pairs per token —
+    cheap while the columns are few.  ``method="prefix"`` (with a threshold)
+    verifies only candidate pairs from the prefix filter, which keeps wide
+    sessions from emitting pairs for every common token.  ``"auto"`` takes
+    the prefix filter above ``wide`` compared columns.  Both are exact and
+    give the same rows.
+    """
+    if method == "auto":
+        n_cols = sum(len(columns[t]) if columns and t in columns else len(_string_columns(df))
+                     for t, df in tables.items())
+        method = "prefix" if n_cols > wide else "join"
+    # Tokenise once: every branch below reads this checkpoint (it also cuts
+    # the lineage of the expensive explode).
+    tf = reliable_checkpoint(column_terms(tables, columns, normalize))
+    tot = tf.groupBy("table", "column").agg(F.sum(F.col("tf") * F.col("tf")).cast("double").alias("ss"),
+                                            F.count(F.lit(1)).alias("vocab"))
+    a, b = _sides(tf)
+    if threshold is None or method == "join":
+        joined = a.join(b, "token").where(F.col("ta") < F.col("tb"))
+    else:
+        cand = _candidates(tf, tot, threshold)
+        # walk the smaller vocabulary of each candidate pair against the other
+        va = tot.select(F.col("table").alias("df1_name"), F.col("column").alias("ca"), F.col("vocab").alias("va"))
+        vb = tot.select(F.col("table").alias("df2_name"), F.col("column").alias("cb"), F.col("vocab").alias("vb"))
+        names = tf.select(F.col("tidx"), F.col("table")).distinct()
+        cand = (cand.join(names.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name")), "ta")
+                    .join(names.select(F.col("tidx").alias("tb"), F.col("table").alias("df2_name")), "tb")
+                    .join(F.broadcast(va), ["df1_name", "ca"]).join(F.broadcast(vb), ["df2_name", "cb"]))
+        small_left = cand.where(F.col("va") <= F.col("vb"))
+        small_right = cand.where(F.col("va") > F.col("vb"))
+        left = (small_left.select(F.col("ta"), F.col("ca").alias("column_df1"), "tb", F.col("cb").alias("column_df2"))
+                          .join(a, ["ta", "column_df1"]).join(b, ["tb", "column_df2", "token"]))
+        right = (small_right.select("ta", F.col("ca").alias("column_df1"), "tb", F.col("cb").alias("column_df2"))
+                            .join(b, ["tb", "column_df2"]).join(a, ["ta", "column_df1", "token"]))
+        cols = ["df1_name", "column_df1", "df2_name", "column_df2", "tfa", "tfb"]
+        joined = left.select(*cols).unionByName(right.select(*cols))
+    out = _pair_scores(_sums(joined), tot)
     return out.where(F.col("similarity") > threshold) if threshold is not None else out
 
 

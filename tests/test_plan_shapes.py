@@ -38,7 +38,8 @@ def test_null_profile_is_one_aggregate(spark):
 def test_similarity_and_name_pairs_use_equi_joins(spark):
     names = ["part", "customer", "documents"]
     tables = {t: load(spark, t) for t in names}
-    assert not any(b in plan(column_similarity(tables, threshold=0.8)) for b in BAD_JOINS)
+    for method in ("join", "prefix"):
+        assert not any(b in plan(column_similarity(tables, threshold=0.8, method=method)) for b in BAD_JOINS)
     from confluo.queries import TABLES
     cat = header_catalogue(spark, {t: load(spark, t) for t in TABLES})
     assert not any(b in plan(name_pairs(cat, 80)) for b in BAD_JOINS)

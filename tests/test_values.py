@@ -54,3 +54,24 @@ def test_normalized_variant_folds_accents(spark):
     norm = similarity_two(a, b, "a", "b", threshold=None, normalize=True).collect()
     assert not raw or raw[0].similarity < 0.5
     assert abs(norm[0].similarity - 1.0) < 1e-12
+
+
+def test_prefix_filter_equals_full_join(spark):
+    import random
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    tables = {}
+    for t in range(4):
+        rows = []
+        for _ in range(30):
+            base = rnd.sample(words[:12], 3) if t % 2 else rnd.sample(words, 3)
+            rows.append((" ".join(base), " ".join(rnd.sample(words[:6], 2)), rnd.choice(["a b", "zz yy", None])))
+        tables[f"t{t}"] = spark.createDataFrame(rows, "x string, y string, z string")
+    for thr in (0.3, 0.6, 0.8, 0.95):
+        full = {(r.df1_name, r.column_df1, r.df2_name, r.column_df2): r.similarity
+                for r in column_similarity(tables, threshold=thr, method="join").collect()}
+        pref = {(r.df1_name, r.column_df1, r.df2_name, r.column_df2): r.similarity
+                for r in column_similarity(tables, threshold=thr, method="prefix").collect()}
+        assert pref.keys() == full.keys(), thr
+        assert all(abs(pref[k] - full[k]) < 1e-12 for k in full)
+    assert full  # the fixture does produce matches
