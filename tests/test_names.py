@@ -68,16 +68,19 @@ def recs_brute(files, t=90):
 
 
 def groups_brute(columns, t=80):
-    used, out = set(), []
-    for name in columns:
-        if name in used:
-            continue
+    """Greedy grouping, written as a fold over the names: the state is the set
+    of names already placed and the groups found so far."""
+    def step(state, name):
+        placed, found = state
+        if name in placed:
+            return state
         sim = [c for c, _ in ranked(name, list(enumerate(columns)), t) if c != name]
-        if sim:
-            members = sim + [name]
-            out += [(name, r, m) for r, m in enumerate(members)]
-            used.update(members)
-    return out
+        if not sim:
+            return state
+        members = sim + [name]
+        return placed | set(members), found + [(name, r, m) for r, m in enumerate(members)]
+    from functools import reduce
+    return reduce(step, columns, (frozenset(), []))[1]
 
 
 @settings(max_examples=40, deadline=None)

@@ -16,17 +16,22 @@ def py_norm(t):
 
 
 def py_shape(text):
-    out, alpha, num = "", False, False
-    for ch in text:
-        if ch.isalpha():
-            if not alpha:
-                out, alpha, num = out + "[a-zA-Z]", True, False
-        elif ch.isnumeric():
-            if not num:
-                out, alpha, num = out + "[0-9]", False, True
+    """Shape by grouping characters into classes: letter runs, numeric runs,
+    and every other character on its own."""
+    from itertools import groupby
+
+    def cls(ch):
+        return "L" if ch.isalpha() else ("N" if ch.isnumeric() else None)
+
+    out = []
+    for key, run in groupby(text, key=cls):
+        if key == "L":
+            out.append("[a-zA-Z]")
+        elif key == "N":
+            out.append("[0-9]")
         else:
-            out, alpha, num = out + ch, False, False
-    return out
+            out.extend(run)
+    return "".join(out)
 
 
 FIXTURES = ["ﬁ", "½ cup", "Straße", "Ñandú", "été", "tab\there", "a\x1cb", "  x  y ", "Ⅻ…", "", "𝐀1"]
