@@ -23,9 +23,11 @@ def hash_threshold(fraction: float) -> str:
     return format(min(int(round(fraction * 16 ** 8)), 16 ** 8 - 1), "08x")
 
 
-def hash_sample(df: DataFrame, keys: list[str], fraction: float = DEFAULT_FRACTION,
+def hash_sample(df: DataFrame, keys: list[str] | None = None, fraction: float = DEFAULT_FRACTION,
                 seed: int = DEFAULT_SEED) -> DataFrame:
     """Keep a row iff ``md5(seed|key…)`` falls below ``fraction`` — the same rows
-    on any partitioning, any engine and any re-run (a pushed-down filter)."""
+    on any partitioning, any engine and any re-run (a pushed-down filter).
+    Without ``keys`` the whole row is the key (equal rows share a fate)."""
+    keys = list(keys) if keys else list(df.columns)
     key = F.concat_ws("|", F.lit(str(seed)), *[col_ref(k).cast("string") for k in keys])
     return df.where(F.substring(F.md5(key), 1, 8) < F.lit(hash_threshold(fraction)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from confluo.operators.names import name_recommendations
-from confluo.operators.sampling import DEFAULT_FRACTION, DEFAULT_SEED, bernoulli_sample
+from confluo.operators.sampling import DEFAULT_FRACTION, DEFAULT_SEED, bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.sources.catalogue import header_catalogue
 from confluo.sources.csv import read_session
@@ -20,13 +20,17 @@ def recommend_names(spark: SparkSession, session_dir: str, threshold: int = 90,
 
 def recommend_values(spark: SparkSession, session_dir: str, threshold: float = 0.8,
                      sample_fraction: float | None = DEFAULT_FRACTION, seed: int = DEFAULT_SEED,
-                     normalize: bool = False, multi_line: bool = False) -> DataFrame:
+                     normalize: bool = False, multi_line: bool = False,
+                     reproducible: bool = False) -> DataFrame:
     """Value-based recommendations over all column pairs of different files.
 
-    ``sample_fraction`` keeps the reference's 5 % sample (``None``: all rows).
-    Files are read single-line (splittable) unless ``multi_line``.
+    ``sample_fraction`` keeps the reference's 5 % sample (``None``: all rows);
+    ``reproducible=True`` samples by row hash instead (same rows on every run
+    and partitioning).  Files are read single-line (splittable) unless
+    ``multi_line``.
     """
     tables = read_session(spark, session_dir, multi_line)
     if sample_fraction is not None:
-        tables = {f: bernoulli_sample(df, sample_fraction, seed) for f, df in tables.items()}
+        pick = hash_sample if reproducible else (lambda d, _k, f, s: bernoulli_sample(d, f, s))
+        tables = {f: pick(df, None, sample_fraction, seed) for f, df in tables.items()}
     return column_similarity(tables, None, threshold, normalize)

@@ -47,3 +47,10 @@ def test_correlation_matrix_matches_numpy(spark):
     assert len(got) == 6
     for (a, b), r in got.items():
         assert abs(r - c[cols.index(a), cols.index(b)]) < 1e-9
+
+
+def test_hash_sample_without_keys_uses_whole_row(spark):
+    df = spark.createDataFrame([(str(i), "x") for i in range(2000)], "a string, b string")
+    a = {r.a for r in hash_sample(df, None, 0.2).collect()}
+    b = {r.a for r in hash_sample(df.repartition(3), ["a", "b"], 0.2).collect()}
+    assert a == b and 300 < len(a) < 500
