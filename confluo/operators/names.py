@@ -20,6 +20,11 @@ from confluo.functions.fuzzy import name_key, name_ratio
 from confluo.session import reliable_checkpoint
 
 
+# A name recommendation needs a score of 90, a name group 80.
+RECOMMEND_THRESHOLD = 90
+GROUP_THRESHOLD = 80
+
+
 def _keyed(cat: DataFrame) -> DataFrame:
     return (cat.withColumn("eid", F.shiftleft(F.col("file_idx").cast("bigint"), 32) + F.col("ordinal"))
                .withColumn("key", name_key(F.col("column_name")))
@@ -44,7 +49,7 @@ def _prefix_elements(k: DataFrame, theta: float) -> DataFrame:
                  .select("eid", "ch", "occ"))
 
 
-def name_pairs(cat: DataFrame, threshold: int = 80) -> DataFrame:
+def name_pairs(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
     """Unordered pairs of catalogue entries scoring ≥ threshold.
 
     ``(eid_l, file_l, file_idx_l, ordinal_l, column_l, eid_r, …, score)`` with
@@ -87,7 +92,7 @@ def _directed(pairs: DataFrame) -> DataFrame:
     return fwd.unionByName(bwd)
 
 
-def name_recommendations(cat: DataFrame, threshold: int = 90) -> DataFrame:
+def name_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -> DataFrame:
     """Recommendation rows in emission order, one row per recommended column.
 
     ``(rec_no, file_left, column, file_right, kind, rank, similar, score)``;
@@ -139,7 +144,7 @@ def recommendations_nested(recs: DataFrame) -> DataFrame:
                         F.col("s.similar").alias("similar"), "kind"))
 
 
-def similar_name_groups(cat: DataFrame, threshold: int = 80) -> DataFrame:
+def similar_name_groups(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
     """Greedy groups of similar names, decided by rounds (no sequential loop).
 
     Names in catalogue order ``(file_idx, ordinal)``.  Walking that order, a

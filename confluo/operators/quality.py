@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 from confluo.functions.nulls import as_double, col_ref, null_or_nan
 from confluo.operators.quantiles import approx_quantiles, exact_quantiles
 
+# Fences at 1.5 interquartile ranges, 30 histogram bins,
+# quartile relative error 0.05.
 IQR_FACTOR = 1.5
 N_BINS = 30
+RELATIVE_ERROR = 0.05
 
 
 def _long(pairs: list[tuple[str, Column]], name: str, value_type: str) -> Column:
@@ -72,7 +75,7 @@ def categorical_columns(df: DataFrame) -> DataFrame:
 # --- F3, F4 -------------------------------------------------------------------
 
 def iqr_fences(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
-               relative_error: float = 0.05, factor: float = IQR_FACTOR) -> DataFrame:
+               relative_error: float = RELATIVE_ERROR, factor: float = IQR_FACTOR) -> DataFrame:
     """``(column, q1, q3, lower, upper)`` per numeric column.
 
     ``exact=False`` is the reference's ``approxQuantile(…, 0.05)``;
@@ -86,7 +89,7 @@ def iqr_fences(df: DataFrame, columns: list[str] | None = None, exact: bool = Fa
 
 
 def fence_stats(df: DataFrame, columns: list[str] | None, exact: bool,
-                relative_error: float = 0.05, factor: float = IQR_FACTOR) -> dict[str, tuple]:
+                relative_error: float = RELATIVE_ERROR, factor: float = IQR_FACTOR) -> dict[str, tuple]:
     cols = columns if columns is not None else numeric_column_names(df)
     q = exact_quantiles(df, cols, [0.25, 0.75]) if exact else \
         approx_quantiles(df, cols, [0.25, 0.75], relative_error)
@@ -112,7 +115,7 @@ def outlier_predicate(v: Column, lower: float, upper: float) -> Column:
 
 
 def iqr_outliers(df: DataFrame, column: str, exact: bool = False,
-                 relative_error: float = 0.05) -> DataFrame:
+                 relative_error: float = RELATIVE_ERROR) -> DataFrame:
     """The whole rows whose ``column`` lies outside the IQR fences."""
     stats = fence_stats(df, [column], exact, relative_error)
     if column not in stats:
@@ -122,7 +125,7 @@ def iqr_outliers(df: DataFrame, column: str, exact: bool = False,
 
 
 def outlier_report(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
-                   relative_error: float = 0.05, only_null_columns: bool = False,
+                   relative_error: float = RELATIVE_ERROR, only_null_columns: bool = False,
                    stats: dict[str, tuple] | None = None) -> DataFrame:
     """``(column, q1, q3, lower, upper, n_outliers)`` for every numeric column.
 
@@ -171,7 +174,7 @@ def bin_index(v: Column, lo: float, hi: float, bins: int = N_BINS) -> Column:
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
-              relative_error: float = 0.05, bins: int = N_BINS,
+              relative_error: float = RELATIVE_ERROR, bins: int = N_BINS,
               stats: dict[str, tuple] | None = None) -> DataFrame:
     """``(column, series, bin, n)``: 30 equal-width bins of all values and of
     the outliers, each over its own min–max (null and NaN left out).

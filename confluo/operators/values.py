@@ -28,7 +28,10 @@ from confluo.functions.nulls import col_ref
 from confluo.functions.text import normalize_text, split_words
 from confluo.session import reliable_checkpoint, spread
 
+# Two documents per comparison with smooth IDF, so a token in
+# only one of them weighs ln(3/2) + 1; a column pair is reported above 0.8.
 IDF_ONLY_ONE = math.log(1.5) + 1.0
+SIMILARITY_THRESHOLD = 0.8
 W = IDF_ONLY_ONE ** 2
 
 
@@ -123,7 +126,7 @@ def _candidates(tf: DataFrame, tot: DataFrame, threshold: float) -> DataFrame:
 
 
 def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None,
-                      threshold: float | None = 0.8, normalize: bool = False,
+                      threshold: float | None = SIMILARITY_THRESHOLD, normalize: bool = False,
                       method: str = "auto", wide: int = 32) -> DataFrame:
     """``(df1_name, column_df1, df2_name, column_df2, similarity)`` for every
     pair of columns from two different tables (earlier table on the left)
@@ -172,7 +175,7 @@ def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, lis
 
 
 def similarity_two(df1: DataFrame, df2: DataFrame, df1_name: str, df2_name: str,
-                   threshold: float = 0.8, normalize: bool = False) -> DataFrame:
+                   threshold: float = SIMILARITY_THRESHOLD, normalize: bool = False) -> DataFrame:
     """Every column of ``df1`` against every column of ``df2`` (the reference's
     per-request comparison), as one job."""
     if df1_name == df2_name:

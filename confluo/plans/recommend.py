@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.operators.names import name_recommendations
+from confluo.operators.names import RECOMMEND_THRESHOLD, name_recommendations
 from confluo.operators.sampling import DEFAULT_FRACTION, DEFAULT_SEED, bernoulli_sample, hash_sample
-from confluo.operators.values import column_similarity
+from confluo.operators.values import SIMILARITY_THRESHOLD, column_similarity
 from confluo.sources.catalogue import header_catalogue
 from confluo.sources.csv import read_session
 
 
-def recommend_names(spark: SparkSession, session_dir: str, threshold: int = 90,
+def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECOMMEND_THRESHOLD,
                     multi_line: bool = False) -> DataFrame:
     """Name-based recommendations; only headers are read (no data scan)."""
     tables = read_session(spark, session_dir, multi_line)
     return name_recommendations(header_catalogue(spark, tables), threshold)
 
 
-def recommend_values(spark: SparkSession, session_dir: str, threshold: float = 0.8,
+def recommend_values(spark: SparkSession, session_dir: str, threshold: float = SIMILARITY_THRESHOLD,
                      sample_fraction: float | None = DEFAULT_FRACTION, seed: int = DEFAULT_SEED,
                      normalize: bool = False, multi_line: bool = False,
                      reproducible: bool = False) -> DataFrame:
