@@ -55,6 +55,21 @@ def castable_counts(df: DataFrame) -> DataFrame:
     return out.withColumn("is_numeric", F.col("n_castable") > 0)
 
 
+def column_profile(df: DataFrame, empty_as_null: bool = True) -> DataFrame:
+    """``(column, nulls, n_castable)`` — the null profile and the numeric test
+    of every column in **one** pass (one wide aggregate)."""
+    fields = df.schema.fields
+    aggs = []
+    for i, f in enumerate(fields):
+        c = col_ref(f.name)
+        aggs += [F.count_if(null_or_nan(c, f.dataType, empty_as_null)).alias(f"n{i}"),
+                 F.count(as_double(c, f.dataType)).alias(f"k{i}")]
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"n{i}").cast("bigint").alias("nulls"),
+                               F.col(f"k{i}").cast("bigint").alias("n_castable"))
+                      for i, f in enumerate(fields)])
+    return df.agg(*aggs).select(F.inline(cells))
+
+
 def numeric_column_names(df: DataFrame) -> list[str]:
     rows = castable_counts(df).collect()   # one row per column: schema-bounded
     return [r.column for r in rows if r.is_numeric]
@@ -114,6 +129,26 @@ def outlier_predicate(v: Column, lower: float, upper: float) -> Column:
     return (v < F.lit(lower)) | (v > F.lit(upper))
 
 
+def outlier_summary(df: DataFrame, stats: dict[str, tuple]) -> dict[str, dict]:
+    """One pass for every column with fences: the outlier count (NaN counts,
+    null does not) and the min/max of all values and of the outliers (null
+    and NaN left out) that the histograms need."""
+    names = list(stats)
+    if not names:
+        return {}
+    aggs = []
+    for i, c in enumerate(names):
+        v = _value(df, c)
+        good = v.isNotNull() & ~F.isnan(v)
+        pred = outlier_predicate(v, stats[c][2], stats[c][3])
+        aggs += [F.count_if(pred).alias(f"o{i}"),
+                 F.min(F.when(good, v)).alias(f"a{i}"), F.max(F.when(good, v)).alias(f"b{i}"),
+                 F.min(F.when(good & pred, v)).alias(f"c{i}"), F.max(F.when(good & pred, v)).alias(f"d{i}")]
+    r = df.agg(*aggs).collect()[0]
+    return {c: {"n_outliers": int(r[f"o{i}"]), "all": (r[f"a{i}"], r[f"b{i}"]), "outliers": (r[f"c{i}"], r[f"d{i}"])}
+            for i, c in enumerate(names)}
+
+
 def iqr_outliers(df: DataFrame, column: str, exact: bool = False,
                  relative_error: float = RELATIVE_ERROR) -> DataFrame:
     """The whole rows whose ``column`` lies outside the IQR fences."""
@@ -126,12 +161,13 @@ def iqr_outliers(df: DataFrame, column: str, exact: bool = False,
 
 def outlier_report(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
                    relative_error: float = RELATIVE_ERROR, only_null_columns: bool = False,
-                   stats: dict[str, tuple] | None = None) -> DataFrame:
+                   stats: dict[str, tuple] | None = None, summary: dict[str, dict] | None = None) -> DataFrame:
     """``(column, q1, q3, lower, upper, n_outliers)`` for every numeric column.
 
     ``only_null_columns=True`` keeps the reference's rule: report only columns
-    that also have nulls.  ``stats`` (from :func:`fence_stats`) skips the
-    quartile pass when the caller already has the fences.
+    that also have nulls.  ``stats`` (from :func:`fence_stats`) and
+    ``summary`` (from :func:`outlier_summary`) skip passes the caller has
+    already made.
     """
     spark = df.sparkSession
     if stats is None:
@@ -142,12 +178,9 @@ def outlier_report(df: DataFrame, columns: list[str] | None = None, exact: bool
     schema = "column string, q1 double, q3 double, lower double, upper double, n_outliers bigint"
     if not stats:
         return spark.createDataFrame([], schema)
-    names = list(stats)
-    aggs = [F.count_if(outlier_predicate(_value(df, c), stats[c][2], stats[c][3])).alias(f"o{i}")
-            for i, c in enumerate(names)]
-    counts = df.agg(*aggs).collect()[0]
-    return spark.createDataFrame(
-        [(c, *stats[c], int(counts[f"o{i}"])) for i, c in enumerate(names)], schema)
+    if summary is None:
+        summary = outlier_summary(df, stats)
+    return spark.createDataFrame([(c, *stats[c], summary[c]["n_outliers"]) for c in stats], schema)
 
 
 # --- F6 -----------------------------------------------------------------------
@@ -175,13 +208,13 @@ def bin_index(v: Column, lo: float, hi: float, bins: int = N_BINS) -> Column:
 
 def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = False,
               relative_error: float = RELATIVE_ERROR, bins: int = N_BINS,
-              stats: dict[str, tuple] | None = None) -> DataFrame:
+              stats: dict[str, tuple] | None = None, summary: dict[str, dict] | None = None) -> DataFrame:
     """``(column, series, bin, n)``: 30 equal-width bins of all values and of
     the outliers, each over its own min–max (null and NaN left out).
 
-    Three wide passes (fences, min/max, bins); the last is one ``groupBy``
-    on ``(column, series, bin)`` — at most columns × 2 × 30 groups, combined
-    map-side before the shuffle.
+    Three wide passes (fences, min/max, bins; the first two can be passed
+    in); the last is one ``groupBy`` on ``(column, series, bin)`` — at most
+    columns × 2 × 30 groups, combined map-side before the shuffle.
     """
     spark = df.sparkSession
     if stats is None:
@@ -190,23 +223,18 @@ def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = Fal
     if not stats:
         return spark.createDataFrame([], schema)
     names = list(stats)
+    if summary is None:
+        summary = outlier_summary(df, stats)
     vals = {c: _value(df, c) for c in names}
     good = {c: vals[c].isNotNull() & ~F.isnan(vals[c]) for c in names}
     out = {c: good[c] & outlier_predicate(vals[c], stats[c][2], stats[c][3]) for c in names}
-    aggs = []
-    for i, c in enumerate(names):
-        v = vals[c]
-        aggs += [F.min(F.when(good[c], v)).alias(f"a{i}"), F.max(F.when(good[c], v)).alias(f"b{i}"),
-                 F.min(F.when(out[c], v)).alias(f"c{i}"), F.max(F.when(out[c], v)).alias(f"d{i}")]
-    mm = df.agg(*aggs).collect()[0]
     cells = []
-    for i, c in enumerate(names):
-        if mm[f"a{i}"] is not None:
-            cells.append(F.struct(F.lit(c).alias("column"), F.lit("all").alias("series"),
-                                  F.when(good[c], bin_index(vals[c], mm[f"a{i}"], mm[f"b{i}"], bins)).alias("bin")))
-        if mm[f"c{i}"] is not None:
-            cells.append(F.struct(F.lit(c).alias("column"), F.lit("outliers").alias("series"),
-                                  F.when(out[c], bin_index(vals[c], mm[f"c{i}"], mm[f"d{i}"], bins)).alias("bin")))
+    for c in names:
+        for series, cond in (("all", good[c]), ("outliers", out[c])):
+            lo, hi = summary[c][series]
+            if lo is not None:
+                cells.append(F.struct(F.lit(c).alias("column"), F.lit(series).alias("series"),
+                                      F.when(cond, bin_index(vals[c], lo, hi, bins)).alias("bin")))
     if not cells:
         return spark.createDataFrame([], schema)
     return (df.select(F.inline(F.array(*cells)))

@@ -4,28 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from confluo.operators.quality import fence_stats, histogram, null_profile, numeric_columns, outlier_report
+from confluo.functions.nulls import as_double, col_ref
+from confluo.operators.quality import column_profile, fence_stats, histogram, outlier_report, outlier_summary
 
 
 def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = False,
                  persist: bool = True) -> dict[str, DataFrame]:
     """``{"nulls", "outliers", "histogram"}`` DataFrames.
 
-    The numeric projection is persisted between the passes (the reference
-    re-scanned the file for every column and action) and the fences are
-    computed once for both the outlier report and the histograms.
+    Full passes over the data, whatever the number of columns: one for nulls
+    and numeric detection together, the fences, one for outlier counts and
+    all min/max values together, one for the bins.  The numeric projection
+    is persisted between them (the reference re-scanned the file for every
+    column and action).  Only per-column statistics reach the driver.
     """
-    nulls = null_profile(df)
-    num = numeric_columns(df)
+    spark = df.sparkSession
+    prof = column_profile(df).collect()          # one row per column
+    nulls = spark.createDataFrame([(r.column, r.nulls) for r in prof if r.nulls > 0],
+                                  "column string, nulls bigint")
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [r.column for r in prof if r.n_castable > 0]
+    num = df.select(*[as_double(col_ref(c), dtypes[c]).alias(c) for c in numeric])
     if persist:
         num = num.persist()
-    stats = fence_stats(num, num.columns, exact)
+    stats = fence_stats(num, numeric, exact)
+    if only_null_columns:
+        with_nulls = {r.column for r in prof if r.nulls > 0}
+        stats = {c: st for c, st in stats.items() if c in with_nulls}
+    summary = outlier_summary(num, stats)
     return {
         "nulls": nulls,
-        "outliers": outlier_report(num, exact=exact, only_null_columns=only_null_columns, stats=stats)
-        if not only_null_columns else
-        outlier_report(df, num.columns, exact=exact, only_null_columns=True, stats=stats),
-        "histogram": histogram(num, exact=exact, stats=stats),
+        "outliers": outlier_report(num, exact=exact, stats=stats, summary=summary),
+        "histogram": histogram(num, exact=exact, stats=stats, summary=summary),
     }
 
 
