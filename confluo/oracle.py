@@ -291,6 +291,19 @@ def correlation_sql(table: str, cols: list[str]) -> str:
         f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 9) AS corr FROM {table}" for a, b in pairs)
 
 
+FINAL_REPORT_OUTLIERS_SQL = f"""
+WITH c AS ({HOMOGENIZE_SQL}),
+v AS (SELECT 'balance' AS "column", try_cast(balance AS DOUBLE) AS v FROM c),
+f AS (SELECT "column", quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
+      FROM v WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY "column"),
+b AS (SELECT "column", q1, q3, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower,
+             q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper FROM f)
+SELECT b."column", q1, q3, lower, upper,
+       CAST(count(*) FILTER (WHERE v.v < lower OR v.v > upper) AS BIGINT) AS n_outliers
+FROM b JOIN v ON v."column" = b."column" GROUP BY b."column", q1, q3, lower, upper
+"""
+
+
 ORACLE = {
     "align_union": ALIGN_SQL,
     "homogenize": HOMOGENIZE_SQL,
@@ -304,6 +317,7 @@ ORACLE = {
     "numeric_columns": castable_sql("orders", "SELECT * FROM orders", TYPES["orders"]) + " UNION ALL " +
                        castable_sql("combined", HOMOGENIZE_SQL, COMBINED),
     "iqr_fences": fences_sql(),
+    "final_report_outliers": FINAL_REPORT_OUTLIERS_SQL,
     "iqr_outliers": outliers_rows_sql(),
     "outlier_report": outlier_report_sql(),
     "histogram": histogram_sql(),

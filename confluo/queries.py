@@ -97,6 +97,12 @@ def _per_table(spark, sf_dir, targets, fn):
     return out
 
 
+def q_final_report_outliers(spark, sf_dir):
+    """The report of the combined table (E3), exact fences: its outlier section."""
+    from confluo.plans.report import final_report
+    return final_report(q_homogenize(spark, sf_dir), exact=True)["outliers"]
+
+
 def q_iqr_fences(spark, sf_dir):
     return _per_table(spark, sf_dir, FENCE_TARGETS, lambda df, cols: Q.iqr_fences(df, cols, exact=True))
 
@@ -230,6 +236,7 @@ QUERIES = {
     "null_profile_combined": q_null_profile_combined,
     "numeric_columns": q_numeric_columns,
     "iqr_fences": q_iqr_fences,
+    "final_report_outliers": q_final_report_outliers,
     "iqr_fences_approx": q_iqr_fences_approx,
     "iqr_outliers": q_iqr_outliers,
     "outlier_report": q_outlier_report,
