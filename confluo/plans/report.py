@@ -15,8 +15,9 @@ def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = F
     Full passes over the data, whatever the number of columns: one for nulls
     and numeric detection together, the fences, one for outlier counts and
     all min/max values together, one for the bins.  The numeric projection
-    is persisted between them (the reference re-scanned the file for every
-    column and action).  Only per-column statistics reach the driver.
+    is persisted between them and released at the end (the reference
+    re-scanned the file for every column and action).  Only per-column
+    statistics and bin counts reach the driver; the results are computed.
     """
     spark = df.sparkSession
     prof = column_profile(df).collect()          # one row per column
@@ -32,11 +33,14 @@ def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = F
         with_nulls = {r.column for r in prof if r.nulls > 0}
         stats = {c: st for c, st in stats.items() if c in with_nulls}
     summary = outlier_summary(num, stats)
-    return {
-        "nulls": nulls,
-        "outliers": outlier_report(num, exact=exact, stats=stats, summary=summary),
-        "histogram": histogram(num, exact=exact, stats=stats, summary=summary),
-    }
+    outliers = outlier_report(num, exact=exact, stats=stats, summary=summary)
+    # the bins are at most columns × 2 × 30 rows: materialise them so the
+    # persisted projection can be released before returning
+    hist = histogram(num, exact=exact, stats=stats, summary=summary)
+    hist = spark.createDataFrame(hist.collect(), hist.schema)
+    if persist:
+        num.unpersist()
+    return {"nulls": nulls, "outliers": outliers, "histogram": hist}
 
 
 def report_dict(report: dict[str, DataFrame]) -> dict[str, dict]:
