@@ -36,6 +36,7 @@ def py_shape(text):
 
 FIXTURES = ["ﬁ", "½ cup", "Straße", "Ñandú", "été", "tab\there", "a\x1cb", "  x  y ", "Ⅻ…", "", "𝐀1"]
 FIXTURES += ["x\ue000y", "x\ue000y\ufb01", "\x00\ufb01"]   # the sentinel and NUL in the input
+FIXTURES += ["cafe\u0301 nin\u0303o", "A\u030a\u0327"]   # combining accents
 
 
 def test_normalize_fixtures(spark):

@@ -75,3 +75,20 @@ def test_prefix_filter_equals_full_join(spark):
         assert pref.keys() == full.keys(), thr
         assert all(abs(pref[k] - full[k]) < 1e-12 for k in full)
     assert full  # the fixture does produce matches
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet="ab cd ef", max_size=12), min_size=1, max_size=6),
+       st.lists(st.text(alphabet="ab cd gh", max_size=12), min_size=1, max_size=6))
+def test_similarity_in_unit_interval_and_matches_python(spark, xs, ys):
+    a = spark.createDataFrame([(x,) for x in xs], "p string")
+    b = spark.createDataFrame([(y,) for y in ys], "r string")
+    rows = similarity_two(a, b, "a", "b", threshold=None).collect()
+    for r in rows:
+        assert -1e-12 <= r.similarity <= 1 + 1e-12
+        assert abs(r.similarity - cosine(xs, ys)) < 1e-12
+    if not rows:
+        assert cosine(xs, ys) == 0.0
