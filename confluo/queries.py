@@ -14,7 +14,7 @@ from confluo.operators.profile import pattern_conformance, value_shapes
 from confluo.operators.sampling import bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
-from confluo.session import scratch_path, spread
+from confluo.session import run_concurrently, scratch_path, spread
 from confluo.sources.catalogue import header_catalogue
 from confluo.sources.csv import read_csv
 from confluo.sources.sinks import preview, write_csv
@@ -90,10 +90,15 @@ def q_numeric_columns(spark, sf_dir):
 
 
 def _per_table(spark, sf_dir, targets, fn):
-    out = None
-    for t, cols in targets:
-        df = fn(load(spark, sf_dir, t), cols).select(F.lit(t).alias("table"), "*")
-        out = df if out is None else out.unionByName(df)
+    """One result per table, labelled and unioned; the tables' eager
+    statistics jobs run concurrently (they are independent)."""
+    def build(target):
+        t, cols = target
+        return fn(load(spark, sf_dir, t), cols).select(F.lit(t).alias("table"), "*")
+    parts = run_concurrently(build, targets)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

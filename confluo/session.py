@@ -103,3 +103,32 @@ def spread(df):
     except Exception:  # no estimate: leave the plan alone
         return df
     return df.repartition(cores) if size < cores * split else df
+
+
+def run_concurrently(fn, items: list) -> list:
+    """``[fn(x) for x in items]`` with each call's Spark jobs submitted from
+    its own thread, so independent jobs (one per table) overlap on the
+    cluster.  ``InheritableThread`` carries the caller's job group and local
+    properties into each thread."""
+    from pyspark import InheritableThread
+
+    items = list(items)
+    if len(items) < 2:
+        return [fn(x) for x in items]
+    results: list = [None] * len(items)
+    errors: list = []
+
+    def run(i, x):
+        try:
+            results[i] = fn(x)
+        except BaseException as e:  # re-raised in the caller
+            errors.append(e)
+
+    threads = [InheritableThread(target=run, args=(i, x)) for i, x in enumerate(items)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return results
