@@ -1,3 +1,107 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, b:
+      CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM documents, crc_table),
+k AS (SELECT *, ('0x' || substr(digest, 1, 16))::UBIGINT::HUGEINT AS key FROM d),
+jump AS (
+  SELECT doc_id, n, key, -1::BIGINT AS b, 0::BIGINT AS j FROM k, (VALUES (40), (41)) s(n)
+  UNION ALL
+  SELECT doc_id, n, (key * 2862933555777941757 + 1) % 18446744073709551616, j,
+    floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE
+      / ((((key * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM jump WHERE j < n),
+shards AS (SELECT doc_id, max(b) FILTER (n = 40)::INTEGER AS shard, max(b) FILTER (n = 41)::INTEGER AS grown_shard
+  FROM jump GROUP BY doc_id)
+SELECT k.doc_id, size, text_crc32, 'key' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(digest || ':' || text_crc32), 1, 3), k.doc_id) - 1)::BIGINT AS slot,
+  grown_shard
+FROM k JOIN shards USING (doc_id)
+"""
+
+_OP5 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s FROM w),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id
+FROM sets JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) ON x = doc_id
+"""
+
+_OP6 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+_OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+strings AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS cut FROM later))
+  GROUP BY doc_id, r),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(piece, '' ORDER BY a) AS pieces, max(b) AS stop FROM (
+    SELECT doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1,
+      2 * (a - lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a))) AS piece FROM runs JOIN d USING (doc_id))
+  GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP10 = f"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS item, {_WORDS.format(_LOWER.format('text'))} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
+places AS (
+  SELECT doc_id, size, i, list_slice(w, i, i + size - 1) AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+hits AS (SELECT doc_id, i, p.size, item FROM places p JOIN windows v ON p.g = v.g AND p.size = v.size),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+owners AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_sharding": _OP1,
+    "op5_ngram_join": _OP5,
+    "op6_exact_dedup": _OP6,
+    "op7_suffix_dedup": _OP7,
+    "op10_decontamination": _OP10,
+}
