@@ -168,8 +168,9 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         tagged.select(F.to_json("__row").alias("__id"), F.col(source_col).alias("__source")),
         weights, "__id", "__source", **options)
     plan = plan.select(F.from_json("__id", "__key long, __copy int").alias("r"), "slot", "row_in_block") \
-        .select(F.col("r.__key").alias("__key"), F.col("r.__copy").alias("__nth"), "slot", "row_in_block")
+        .select(F.col("r.__key").alias("__key"), F.col("r.__copy").alias("__nth"),
+                F.col("slot").alias("__slot"), F.col("row_in_block").alias("__place"))
     rows = marked.withColumn("__copy", F.row_number().over(same))
     placed = rows.join(plan, (rows["__key"] == plan["__key"]) & (rows["__copy"] - plan["__nth"] == 0))
-    return (placed.repartitionByRange("slot", "row_in_block").sortWithinPartitions("slot", "row_in_block")
+    return (placed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place")
             .select(*[rows[c] for c in df.columns]))

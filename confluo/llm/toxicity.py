@@ -68,17 +68,33 @@ def train(words: list[np.ndarray], positive: np.ndarray, prior: float, n_words:
     return w[:-1], float(w[-1])
 
 
+def telling_words(held: list[set[bytes]], positive: np.ndarray, least_z: float) -> list[bytes]:
+    """The words whose share of texts differs between the confirmed toxic and
+    the unlabelled ones by at least ``least_z`` standard errors."""
+    counts = [dict[bytes, int](), dict[bytes, int]()]
+    for ws, y in zip(held, positive.tolist(), strict=True):
+        for x in ws:
+            counts[y][x] = counts[y].get(x, 0) + 1
+    n_unl, n_pos = max(1, int((~positive).sum())), max(1, int(positive.sum()))
+    words = sorted(counts[0].keys() | counts[1].keys())
+    u = np.array([counts[0].get(x, 0) for x in words], float)
+    p = np.array([counts[1].get(x, 0) for x in words], float)
+    both = (u + p + 1) / (n_unl + n_pos + 2)
+    z = (p / n_pos - u / n_unl) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl))
+    return [x for x, keep in zip(words, np.abs(z) >= least_z, strict=True) if keep]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", most_positive: int = 3000, most_unlabelled: int = 9000,
-        models: int = 3, min_texts: int = 8) -> dict[bytes, float]:
+        models: int = 3, least_z: float = 4.0) -> dict[bytes, float]:
     """Word weights (``b""``: the bias), the mean of ``models`` classifiers.
 
     ``labels`` must hold the rows to learn from only.  A row labelled several
     times counts as toxic if any label says so; null labels and ids are left
     out.  The samples are about ``most_positive`` confirmed toxic texts and
     ``most_unlabelled`` texts of ``docs``, chosen by a hash of the id; each
-    classifier sees all the positives and its share of the rest.  Words in
-    fewer than ``min_texts`` texts of its sample are not used.  Without labels
+    classifier sees all the positives and its share of the rest, and uses the
+    words that :func:`telling_words` keeps.  Without labels
     of both kinds there is nothing to learn and every text scores 0.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).dropna() \
@@ -101,13 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         table = _table()
         held = [_distinct_words(t.encode(), table) for t in pdf["text"]]
-        seen: dict[bytes, int] = {}
-        for ws in held:
-            for x in ws:
-                seen[x] = seen.get(x, 0) + 1
-        number = {x: i for i, x in enumerate(sorted(x for x, k in seen.items() if k >= min_texts))}
+        positive = pdf["positive"].to_numpy(bool)
+        number = {x: i for i, x in enumerate(telling_words(held, positive, least_z))}
         ids = [np.fromiter((number[x] for x in ws if x in number), np.int64) for ws in held]
-        w, bias = train(ids, pdf["positive"].to_numpy(bool), prior, len(number))
+        w, bias = train(ids, positive, prior, len(number))
         return pd.DataFrame({"word": [*number, b""], "weight": [*w, bias]})
 
     learned = rows.groupBy("model").applyInPandas(learn, "word binary, weight double")
