@@ -5,37 +5,41 @@
 aggregation, memory bounded by the accuracy, not by the data.
 
 *Exact* (``percentile_disc``: the smallest value whose cumulative count reaches
-⌈p·N⌉): Spark's own ``percentile_disc`` keeps every distinct value of a group
-in one task, so at scale we rank instead:
-
-1. ``(column, value) → count`` with map-side combine (a hot value collapses to
-   one row, so skew in values cannot overload a task);
-2. range-partition those counts by ``(column, value)`` and reliably
-   checkpoint (fixes the partitioning for the next two passes);
-3. per-(partition, column) totals with a per-column prefix sum (a window
-   over one row per partition) tell which partition holds each target rank
-   ⌈p·N⌉ and its rank there — nothing is collected;
-4. only those partitions are joined with the (broadcast, request-sized)
-   target list and ranked by a running-sum window whose groups are one
-   column within one range partition — bounded, JVM-side, no Python.
+⌈p·N⌉) by bracketing and refining, since Spark's own ``percentile_disc`` keeps
+every distinct value of a group in one task:
+
+1. one wide pass counts each column and brackets every target rank between two
+   approximate quantiles whose guaranteed rank error keeps it inside;
+2. while a bracket may hold more than ``most_inside`` rows, the same pass
+   inside the brackets narrows them (each time by the sketch's accuracy);
+3. one pass counts what lies below each bracket and groups the values inside
+   it; only those few groups are shuffled, ranked and read.
+
+Two scans of the data for up to ``most_inside * accuracy / 8`` rows, and one
+more for each further factor of about ``accuracy / 8``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.nulls import as_double, col_ref
-from confluo.session import reliable_checkpoint, spread
+
+# Accuracy of the bracketing sketches: rank error at most rows / ACCURACY.
+ACCURACY = 10_000
 
 
-def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Unpivot to ``(column, v double)``; null and NaN dropped (as approxQuantile)."""
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles ``v0, v1, …``; NaN becomes null (as approxQuantile)."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(*[F.struct(F.lit(c).alias("column"),
-                               as_double(col_ref(c), dtypes[c]).alias("v")) for c in columns])
-    return (spread(df.select(*[col_ref(c) for c in columns])).select(F.inline(cells))
-              .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    exprs = []
+    for i, c in enumerate(columns):
+        v = as_double(col_ref(c), dtypes[c])
+        exprs.append(F.when(~F.isnan(v), v).alias(f"v{i}"))
+    return df.select(*exprs)
 
 
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -55,38 +59,54 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
-                       num_partitions: int | None = None) -> DataFrame:
+                       accuracy: int = ACCURACY, most_inside: int = 2_000_000) -> DataFrame:
     """``(column, p, value)`` with ``percentile_disc`` semantics, distributed."""
-    probs = [float(p) for p in probs]
-    counts = long_values(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    # without a count AQE sizes the ranges (adjacent ranges may be merged,
-    # which keeps them ordered); the checkpoint then fixes partition ids
-    ranged = counts.repartitionByRange(num_partitions, "column", "v") if num_partitions \
-        else counts.repartitionByRange("column", "v")
-    ranged = reliable_checkpoint(ranged.withColumn("pid", F.spark_partition_id()))
-    # partition × column totals → exclusive prefix per column (a window over
-    # one row per partition) → the one partition holding each target rank
-    tot = ranged.groupBy("pid", "column").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("column").orderBy("pid") \
-                   .rowsBetween(Window.unboundedPreceding, -1)
-    tot = (tot.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-              .withColumn("total", F.sum("n").over(Window.partitionBy("column"))))
-    per_p = F.inline(F.array(*[F.struct(F.lit(p).alias("p")) for p in probs]))
-    rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("total")))
-    want = (tot.select("pid", "column", "n", "before", "total", per_p)
-               .withColumn("rank", rank)
-               .where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
-               .select("pid", "column", "p", (F.col("rank") - F.col("before")).alias("local_rank")))
-    # one row per (column, p): a size bounded by the request, safe to broadcast
-    want = F.broadcast(want)
-    # only the partitions holding a target are ranked; a window group is one
-    # column within one range partition, so it is bounded by the partition size
-    w = Window.partitionBy("pid", "column", "p").orderBy("v") \
+    spark, schema = df.sparkSession, "column string, p double, value double"
+    values = _values(df, columns)
+    pairs = [(i, float(p)) for i in range(len(columns)) for p in probs]
+
+    def ends(v, at: float):
+        reach = (max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy))
+        return F.percentile_approx(v, F.array(*map(F.lit, reach)), accuracy)
+
+    row = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
+                     *[ends(F.col(f"v{i}"), p).alias(f"q{j}") for j, (i, p) in enumerate(pairs)]).first()
+    # (column number, p) -> target rank, bracket, rows that it may hold
+    targets = {}
+    for j, (i, p) in enumerate(pairs):
+        if n := row[f"n{i}"]:
+            lo, hi = row[f"q{j}"]
+            targets[i, p] = {"rank": max(1, math.ceil(p * n)), "lo": lo, "hi": hi,
+                             "inside": min(n, 8 * n // accuracy + 1)}
+    while wide := [k for k, t in targets.items() if t["inside"] > most_inside and t["lo"] < t["hi"]]:
+        within = [F.when(F.col(f"v{k[0]}").between(targets[k]["lo"], targets[k]["hi"]), F.col(f"v{k[0]}")) for k in wide]
+        row = values.agg(*[F.count(v).alias(f"c{j}") for j, v in enumerate(within)],
+                         *[F.count_if(F.col(f"v{k[0]}") < F.lit(targets[k]["lo"])).alias(f"b{j}")
+                           for j, k in enumerate(wide)]).first()
+        inside = [row[f"c{j}"] for j in range(len(wide))]
+        at = [(targets[k]["rank"] - row[f"b{j}"]) / inside[j] for j, k in enumerate(wide)]
+        row = values.agg(*[ends(v, x).alias(f"q{j}") for j, (v, x) in enumerate(zip(within, at))]).first()
+        for j, k in enumerate(wide):
+            t, (lo, hi) = targets[k], row[f"q{j}"]
+            # no narrower bracket: few values repeated often, which collapse below
+            t["inside"] = 0 if (lo, hi) == (t["lo"], t["hi"]) else 8 * inside[j] // accuracy + 1
+            t["lo"], t["hi"] = lo, hi
+    if not targets:
+        return spark.createDataFrame([], schema)
+    # null: a value below the bracket (all of them are one group)
+    cells = []
+    for (i, p), t in targets.items():
+        v = F.col(f"v{i}")
+        cells.append(F.when(v <= F.lit(t["hi"]), F.struct(
+            F.lit(columns[i]).alias("column"), F.lit(p).alias("p"), F.lit(t["rank"]).cast("long").alias("rank"),
+            F.when(v >= F.lit(t["lo"]), v).alias("v"))))
+    groups = (values.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
+              .groupBy("column", "p", "rank", "v").agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("column", "p").orderBy(F.asc_nulls_first("v")) \
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (ranged.join(want, ["pid", "column"])
-                 .withColumn("cum", F.sum("n").over(w))
-                 .where((F.col("cum") >= F.col("local_rank")) & (F.col("cum") - F.col("n") < F.col("local_rank"))))
-    return hit.select("column", "p", F.col("v").alias("value"))
+    return (groups.withColumn("upto", F.sum("n").over(w))
+                  .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+                  .select("column", "p", F.col("v").alias("value")))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float] | None]:
