@@ -2,18 +2,19 @@
 
 Input is a header catalogue ``(file, file_idx, ordinal, column_name)``.
 
-Pairs are found without a cross join.  Score ≥ t needs LCS ≥ θ·(la+lb)/2
-with θ = (t − 0.5)/100, and LCS is bounded by the multiset overlap of the
-two character bags.  Prefix filtering (Chaudhuri et al. 2006; Xiao et al.
-2008) makes that exact as an equi-join: order each key's tagged characters
-``(char, occurrence)`` rarest first; two keys with overlap ≥ o share an
-element within their first ``len − o + 1`` elements.  Candidates from the
-join are verified with the native LCS score.
+Pairs are found without a cross join, between distinct normalised names only.
+A score of at least t allows two names of lengths la <= lb at most
+k = (1 - θ)(la + lb) insertions and deletions, θ = (t - 0.5) / 100.  Cut into
+k + 1 pieces, the shorter name must have a piece that stands unchanged in the
+longer one, moved by no more than the changes before it (Li et al., Pass-Join,
+2011).  So the join key is (la, lb, piece number, piece): a length band and a
+q-gram in its place.  The overlap of the two names' character bags bounds the
+score of what the join finds; the rest is verified with the native LCS score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.fuzzy import name_key, name_ratio
@@ -31,55 +32,92 @@ def _keyed(cat: DataFrame) -> DataFrame:
                .withColumn("klen", F.length("key")))
 
 
-def _prefix_elements(k: DataFrame, theta: float) -> DataFrame:
-    """``(eid, ch, occ)`` of each key's prefix, rarest elements first."""
-    chars = F.split("key", "")
-    tagged = F.transform(chars, lambda c, i: F.struct(
-        c.alias("ch"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).alias("occ")))
-    elems = (k.where(F.col("klen") > 0)
-              .select("eid", "klen", F.explode(tagged).alias("e"))
-              .select("eid", "klen", "e.ch", "e.occ"))
-    freq = elems.groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"))
-    o_min = F.ceil(F.col("klen") * F.lit(theta / (2.0 - theta)) - F.lit(1e-9))
-    plen = F.greatest(F.lit(1), F.least(F.col("klen"), F.col("klen") - o_min + 1))
-    w = Window.partitionBy("eid").orderBy("freq", "ch", "occ")
-    return (elems.join(freq, ["ch", "occ"])
-                 .withColumn("r", F.row_number().over(w))
-                 .where(F.col("r") <= plen)
-                 .select("eid", "ch", "occ"))
+def _allowed(la: Column, lb: Column, theta: float) -> Column:
+    """How many insertions and deletions a pair of these lengths may have."""
+    return F.floor(F.lit(1.0 - theta) * (la + lb) + F.lit(1e-9)).cast("int")
+
+
+def _piece_start(i: Column, n: Column, pieces: Column) -> Column:
+    """0-based start of piece i of a name of n characters in equal pieces."""
+    return F.floor(i * n / pieces).cast("int")
+
+
+def candidate_keys(keys: DataFrame, theta: float) -> DataFrame:
+    """``(key_a, key_b)`` with ``key_a`` the shorter: pairs of distinct names
+    that may score θ, each once.  ``keys (key, klen)``."""
+    shorter = (keys.where("klen > 0").select("key", F.col("klen").alias("la"), F.explode(F.sequence(
+        F.col("klen"), F.floor(F.col("klen") * F.lit((2.0 - theta) / theta) + F.lit(1e-9)).cast("int"))).alias("lb"))
+        .withColumn("pieces", _allowed(F.col("la"), F.col("lb"), theta) + 1)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+    start = _piece_start(F.col("i"), F.col("la"), F.col("pieces"))
+    stop = _piece_start(F.col("i") + 1, F.col("la"), F.col("pieces"))
+    shorter = shorter.select("la", "lb", "i", F.expr("key").alias("key_a"),
+                             F.substring(F.col("key"), start + 1, stop - start).alias("piece"))
+    longer = (keys.where("klen > 0").select("key", F.col("klen").alias("lb"), F.explode(F.sequence(
+        F.greatest(F.lit(1), F.ceil(F.col("klen") * F.lit(theta / (2.0 - theta)) - F.lit(1e-9)).cast("int")),
+        F.col("klen"))).alias("la"))
+        .withColumn("pieces", _allowed(F.col("la"), F.col("lb"), theta) + 1)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+    # of k changes with lb - la more insertions than deletions
+    fewer = F.floor((F.col("pieces") - 1 - (F.col("lb") - F.col("la"))) / 2).cast("int")
+    more = fewer + F.col("lb") - F.col("la")
+    longer = longer.select(
+        "key", "la", "lb", "i", start.alias("start"), (stop - start).alias("size"),
+        F.explode(F.sequence(F.greatest(F.lit(0), start - fewer),
+                             F.greatest(F.lit(0), start - fewer, F.least(start + more, F.col("lb") - (stop - start)))))
+        .alias("at"))
+    longer = longer.select("la", "lb", "i", F.col("key").alias("key_b"),
+                           F.expr("substring(key, at + 1, size)").alias("piece")).distinct()
+    bag = lambda k: F.split(k, "")
+    left_over = F.aggregate(bag(F.col("key_a")), F.struct(F.col("key_b").alias("rest"), F.lit(0).alias("n")), _take)
+    return (shorter.join(longer, ["la", "lb", "i", "piece"])
+            .where((F.col("la") < F.col("lb")) | (F.col("key_a") < F.col("key_b")))
+            .select("key_a", "key_b").distinct()
+            .where(F.lit(2.0) * left_over["n"] >= F.lit(theta - 1e-9) * (F.length("key_a") + F.length("key_b"))))
+
+
+def _take(state: Column, ch: Column) -> Column:
+    """Takes one character out of the rest, if it is there, and counts it."""
+    at = F.instr(state["rest"], ch)
+    return F.when(at > 0, F.struct(
+        F.concat(F.substring(state["rest"], F.lit(1), at - 1), F.substring(state["rest"], at + 1, F.length(state["rest"])))
+        .alias("rest"), (state["n"] + 1).alias("n"))).otherwise(state)
 
 
 def name_pairs(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
     """Unordered pairs of catalogue entries scoring ≥ threshold.
 
     ``(eid_l, file_l, file_idx_l, ordinal_l, column_l, eid_r, …, score)`` with
-    ``eid_l < eid_r``; equal names in different files are included (score 100).
+    ``eid_l < eid_r``; equal names in different files are included (score 100),
+    so a name that many files share gives a row for each pair of them
+    (:func:`equal_names` has one row for each name).  Distinct names are scored
+    once each, whatever the number of files.
     """
     theta = (threshold - 0.5) / 100.0
-    # the keyed catalogue feeds five branches below: compute it once
+    # the keyed catalogue feeds several branches below: compute it once
     k = reliable_checkpoint(_keyed(cat))
-    side = ["eid", "file", "file_idx", "ordinal", "column_name", "key", "klen"]
-    a = k.select(*[F.col(c).alias(c + "_l") for c in side])
-    b = k.select(*[F.col(c).alias(c + "_r") for c in side])
-    same = (a.join(b, (F.col("key_l") == F.col("key_r")) & (F.col("eid_l") < F.col("eid_r")))
-             .select("eid_l", "eid_r"))
-    pre = _prefix_elements(k, theta)
-    pl = pre.select(F.col("eid").alias("eid_l"), "ch", "occ")
-    pr = pre.select(F.col("eid").alias("eid_r"), "ch", "occ")
-    cand = (pl.join(pr, ["ch", "occ"]).where(F.col("eid_l") < F.col("eid_r"))
-              .select("eid_l", "eid_r").distinct())
-    scored = (cand.join(a, "eid_l").join(b, "eid_r")
-                  .where(F.col("key_l") != F.col("key_r"))
-                  .where(F.lit(2.0) * F.least("klen_l", "klen_r") / (F.col("klen_l") + F.col("klen_r"))
-                         >= F.lit(theta - 1e-9))
-                  .withColumn("score", name_ratio("key_l", "key_r"))
-                  .where(F.col("score") >= threshold)
-                  .select("eid_l", "eid_r", "score"))
-    pairs = same.withColumn("score", F.lit(100)).unionByName(scored)
-    out = pairs.join(a, "eid_l").join(b, "eid_r")
-    return out.select("eid_l", "file_l", "file_idx_l", "ordinal_l", F.col("column_name_l").alias("column_l"),
-                      "eid_r", "file_r", "file_idx_r", "ordinal_r", F.col("column_name_r").alias("column_r"),
-                      "score")
+    keys = k.select("key", "klen").distinct()
+    scored = (candidate_keys(keys, theta)
+              .withColumn("score", name_ratio("key_a", "key_b")).where(F.col("score") >= threshold))
+    side = ["eid", "file", "file_idx", "ordinal", "column_name", "key"]
+    a = k.select(*[F.col(c).alias(c + "_a") for c in side])
+    b = k.select(*[F.col(c).alias(c + "_b") for c in side])
+    same = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("eid_a") < F.col("eid_b"))) \
+        .withColumn("score", F.lit(100))
+    other = scored.join(a, "key_a").join(b, "key_b")
+    pairs = same.unionByName(other)
+    first = F.col("eid_a") < F.col("eid_b")
+    pick = lambda c, s: (F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) if s == "l"
+                         else F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
+    return pairs.select(*[pick(c, s).alias(f"{'column' if c == 'column_name' else c}_{s}")
+                          for s in "lr" for c in side[:-1]], "score")
+
+
+def equal_names(cat: DataFrame) -> DataFrame:
+    """``(column_name, files)`` of the names that several files have: one row a
+    name, where the pairs of its files would be files²."""
+    return (cat.groupBy("column_name").agg(F.array_sort(F.collect_set("file")).alias("files"))
+               .where(F.size("files") > 1))
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
@@ -125,8 +163,7 @@ def name_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -
     singles = singles.withColumn("first_x", F.first("column_x").over(pair_w)) \
                      .where(F.col("column_x") == F.col("first_x")).drop("first_x")
     kept = singles.unionByName(heads.where(F.col("kind") != "single"))
-    # catalogue-sized (pairs of column names), so a global numbering is cheap
-    kept = kept.withColumn("rec_no", (F.row_number().over(Window.orderBy(*seq)) - 1).cast("bigint"))
+    kept = _numbered(kept, seq, "rec_no")
     recs = kept.select("rec_no", *grp, "kind")
     rows = ev.join(recs, grp + ["kind"])
     file_left = F.when((F.col("file_idx_x") == F.col("file_idx_y")) | (F.col("kind") == "equal"),
@@ -136,12 +173,21 @@ def name_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -
                        F.col("column_y").alias("similar"), F.col("score").cast("int").alias("score"))
 
 
-def recommendations_nested(recs: DataFrame) -> DataFrame:
-    """One row per recommendation with the similar columns as an ordered array."""
-    return (recs.groupBy("rec_no", "file_left", "column", "file_right", "kind")
-                .agg(F.sort_array(F.collect_list(F.struct("rank", "similar"))).alias("s"))
-                .select("rec_no", "file_left", "column", "file_right",
-                        F.col("s.similar").alias("similar"), "kind"))
+def _numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """0, 1, 2, … in the given order without one task seeing all rows: range
+    partitions are numbered on their own, from starts that their counts give
+    (one row a partition reaches the driver)."""
+    ranged = reliable_checkpoint(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts += [F.lit(part), F.lit(total)]
+        total += n
+    if not starts:
+        return ranged.withColumn(out, F.lit(0).cast("bigint")).drop("__part")
+    w = Window.partitionBy("__part").orderBy(*order)
+    return ranged.withColumn(out, (F.row_number().over(w) - 1 + F.create_map(*starts)[F.col("__part")]).cast("bigint")) \
+                 .drop("__part")
 
 
 def similar_name_groups(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
@@ -202,15 +248,6 @@ def similar_name_groups(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> Dat
                  .unionByName(last.select("leader", "member_rank", "member"))
 
 
-def table_pairs(files: list[str]) -> list[tuple[str, str]]:
-    """All unordered pairs of files (j < n), n descending — file metadata only."""
-    out = []
-    for n in range(len(files) - 1, 0, -1):
-        for j in range(0, n):
-            out.append((files[j], files[n]))
-    return out
-
-
 def recommendations_dict(recs: DataFrame) -> dict[str, dict]:
     """The reference's response shape: ``{"Recommendation<n>": {left_file: column,
     right_file: [similar, …]}}`` (collected: one row per recommended column
