@@ -9,10 +9,11 @@ for a token only one has, so with raw term counts ``tf`` and ``w = (ln 1.5 + 1)
     sim = dot / (√(sa + w·(ssa − sa)) · √(sb + w·(ssb − sb)))
 
 Plan: explode tokens → ``(table, column, token) → tf`` (map-side combined, so a
-frequent token is one row per column), checkpointed once → equi-join on
-``token`` across tables (at most one row per column per token on each side:
-no data skew)
-→ one ``groupBy`` per column pair.  Null cells are ignored.
+frequent token is one row per column), checkpointed once → an exact prefix
+filter gives the column pairs that can exceed the threshold → each pair's
+shared tokens, joined on (column, hash bucket of the token), are summed.  Null
+cells are ignored.  Counts are multiplied as doubles, so a token that occurs
+billions of times cannot overflow.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from confluo.functions.nulls import col_ref
 from confluo.functions.text import normalize_text, split_words
-from confluo.session import reliable_checkpoint, spread
+from confluo.session import reliable_checkpoint
 
 # Two documents per comparison with smooth IDF, so a token in
 # only one of them weighs ln(3/2) + 1; a column pair is reported above 0.8.
@@ -49,7 +50,7 @@ def column_terms(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str
             continue
         cells = F.array(*[F.struct(F.lit(c).alias("column"), col_ref(c).cast("string").alias("value"))
                           for c in cols])
-        long = spread(df.select(*[col_ref(c) for c in cols])).select(
+        long = df.select(
             F.lit(name).alias("table"), F.lit(tidx).alias("tidx"), F.inline(cells))
         v = F.col("value")
         if normalize:
@@ -81,16 +82,16 @@ def _pair_scores(g: DataFrame, tot: DataFrame) -> DataFrame:
 
 def _sums(joined: DataFrame) -> DataFrame:
     return (joined.groupBy("df1_name", "column_df1", "df2_name", "column_df2")
-                  .agg(F.sum(F.col("tfa") * F.col("tfb")).cast("double").alias("dot"),
-                       F.sum(F.col("tfa") * F.col("tfa")).cast("double").alias("sa"),
-                       F.sum(F.col("tfb") * F.col("tfb")).cast("double").alias("sb")))
+                  .agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot"),
+                       F.sum(F.col("tfa") * F.col("tfa")).alias("sa"),
+                       F.sum(F.col("tfb") * F.col("tfb")).alias("sb")))
 
 
 def _sides(tf: DataFrame):
     a = tf.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name"),
-                  F.col("column").alias("column_df1"), "token", F.col("tf").alias("tfa"))
+                  F.col("column").alias("column_df1"), "token", "bucket", F.col("tf").cast("double").alias("tfa"))
     b = tf.select(F.col("tidx").alias("tb"), F.col("table").alias("df2_name"),
-                  F.col("column").alias("column_df2"), "token", F.col("tf").alias("tfb"))
+                  F.col("column").alias("column_df2"), "token", "bucket", F.col("tf").cast("double").alias("tfb"))
     return a, b
 
 
@@ -110,7 +111,7 @@ def _candidates(tf: DataFrame, tot: DataFrame, threshold: float) -> DataFrame:
     dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     ss = F.broadcast(tot.select("table", "column", "ss"))
     tu = (tf.join(dfreq, "token").join(ss, ["table", "column"])
-            .withColumn("u2", F.col("tf") * F.col("tf") / F.col("ss")))
+            .withColumn("u2", F.col("tf").cast("double") * F.col("tf") / F.col("ss")))
     mass = tu.groupBy("tidx", "column", "dfreq").agg(F.sum("u2").alias("m"))
     w = Window.partitionBy("tidx", "column").orderBy("dfreq") \
               .rowsBetween(Window.unboundedPreceding, -1)
@@ -127,49 +128,30 @@ def _candidates(tf: DataFrame, tot: DataFrame, threshold: float) -> DataFrame:
 
 def column_similarity(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None,
                       threshold: float | None = SIMILARITY_THRESHOLD, normalize: bool = False,
-                      method: str = "auto", wide: int = 32) -> DataFrame:
+                      buckets: int = 64) -> DataFrame:
     """``(df1_name, column_df1, df2_name, column_df2, similarity)`` for every
     pair of columns from two different tables (earlier table on the left)
     whose similarity is above ``threshold`` (strict; ``None`` keeps all pairs
     that share a token).
 
-    ``method="join"`` joins every shared token: at most one row per column
-    on each side of a token, so it emits at most columns²/2 pairs per token —
-    cheap while the columns are few.  ``method="prefix"`` (with a threshold)
-    verifies only candidate pairs from the prefix filter, which keeps wide
-    sessions from emitting pairs for every common token.  ``"auto"`` takes
-    the prefix filter above ``wide`` compared columns.  Both are exact and
-    give the same rows.
+    Candidates come from the prefix filter whatever the number of columns;
+    they are verified over all their shared tokens.  A column's vocabulary is
+    spread over ``buckets`` hash buckets, so no join key holds a whole one.
     """
-    if method == "auto":
-        n_cols = sum(len(columns[t]) if columns and t in columns else len(_string_columns(df))
-                     for t, df in tables.items())
-        method = "prefix" if n_cols > wide else "join"
     # Tokenise once: every branch below reads this checkpoint (it also cuts
     # the lineage of the expensive explode).
-    tf = reliable_checkpoint(column_terms(tables, columns, normalize))
-    tot = tf.groupBy("table", "column").agg(F.sum(F.col("tf") * F.col("tf")).cast("double").alias("ss"),
-                                            F.count(F.lit(1)).alias("vocab"))
+    tf = reliable_checkpoint(column_terms(tables, columns, normalize)
+                             .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")))
+    tot = tf.groupBy("table", "column").agg(F.sum(F.col("tf").cast("double") * F.col("tf")).alias("ss"))
     a, b = _sides(tf)
-    if threshold is None or method == "join":
-        joined = a.join(b, "token").where(F.col("ta") < F.col("tb"))
+    if threshold is None:
+        joined = a.drop("bucket").join(b.drop("bucket"), "token").where(F.col("ta") < F.col("tb"))
     else:
-        cand = _candidates(tf, tot, threshold)
-        # walk the smaller vocabulary of each candidate pair against the other
-        va = tot.select(F.col("table").alias("df1_name"), F.col("column").alias("ca"), F.col("vocab").alias("va"))
-        vb = tot.select(F.col("table").alias("df2_name"), F.col("column").alias("cb"), F.col("vocab").alias("vb"))
-        names = tf.select(F.col("tidx"), F.col("table")).distinct()
-        cand = (cand.join(names.select(F.col("tidx").alias("ta"), F.col("table").alias("df1_name")), "ta")
-                    .join(names.select(F.col("tidx").alias("tb"), F.col("table").alias("df2_name")), "tb")
-                    .join(F.broadcast(va), ["df1_name", "ca"]).join(F.broadcast(vb), ["df2_name", "cb"]))
-        small_left = cand.where(F.col("va") <= F.col("vb"))
-        small_right = cand.where(F.col("va") > F.col("vb"))
-        left = (small_left.select(F.col("ta"), F.col("ca").alias("column_df1"), "tb", F.col("cb").alias("column_df2"))
-                          .join(a, ["ta", "column_df1"]).join(b, ["tb", "column_df2", "token"]))
-        right = (small_right.select("ta", F.col("ca").alias("column_df1"), "tb", F.col("cb").alias("column_df2"))
-                            .join(b, ["tb", "column_df2"]).join(a, ["ta", "column_df1", "token"]))
-        cols = ["df1_name", "column_df1", "df2_name", "column_df2", "tfa", "tfb"]
-        joined = left.select(*cols).unionByName(right.select(*cols))
+        cand = _candidates(tf, tot, threshold).select(
+            "ta", F.col("ca").alias("column_df1"), "tb", F.col("cb").alias("column_df2"),
+            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+        joined = (cand.join(a, ["ta", "column_df1", "bucket"])
+                      .join(b.drop("bucket"), ["tb", "column_df2", "token"]))
     out = _pair_scores(_sums(joined), tot)
     return out.where(F.col("similarity") > threshold) if threshold is not None else out
 
