@@ -23,6 +23,14 @@ class AmbiguousFileError(ConfluoError):
     pass
 
 
+class BrokenRecordError(ConfluoError):
+    pass
+
+
+class InvalidRowsError(ConfluoError):
+    pass
+
+
 class InlineTableError(ConfluoError):
     pass
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from confluo.errors import FileNotFound
 from confluo.operators.homogenize import (check_columns, files_in_order, main_columns, mapping_rows,
                                           project_file)
-from confluo.sources.csv import read_csv, session_files
+from confluo.session import run_concurrently
+from confluo.sources.csv import read_csv, refuse_broken_records, session_files, source_file_name
 from confluo.sources.sinks import write_csv, write_parquet
 
 
@@ -23,34 +24,41 @@ def _signature(rows, file: str, mains: list[str]) -> tuple:
 
 
 def combine_session(spark: SparkSession, session_dir: str, mapping, multi_line: bool = False,
-                    fill: str | None = "", source_col: str | None = None) -> DataFrame:
+                    fill: str | None = "", source_col: str | None = None,
+                    row_id_col: str | None = None) -> DataFrame:
     """The combined table of a session, lazily.
 
     Files with the same header and the same projection are read by **one**
     multi-path scan (the source file comes from ``_metadata.file_name``), so
     the plan grows with the number of distinct file layouts, not files.
-    Headers are read per file (the first line only) and checked before any
-    data is read.
+    Headers are read per file (the first line only, several at once) and
+    checked before any data is read.  ``row_id_col`` adds an id that is unique
+    together with the source file.  A single-line read refuses files with
+    records over several lines.
     """
     rows = mapping_rows(mapping)
     mains = main_columns(rows)
     paths = dict(session_files(spark, session_dir))
     groups: dict[tuple, list[str]] = {}
-    for f in files_in_order(rows):
-        if f not in paths:
-            raise FileNotFound(f"{f} in {session_dir}")
-        header = tuple(read_csv(spark, paths[f], multi_line).columns)
+    files = files_in_order(rows)
+    absent = [f for f in files if f not in paths]
+    if absent:
+        raise FileNotFound(f"{', '.join(absent)} in {session_dir}")
+    if not multi_line:
+        refuse_broken_records(spark, [paths[f] for f in files])
+    headers = run_concurrently(lambda f: tuple(read_csv(spark, paths[f], multi_line).columns), files)
+    for f, header in zip(files, headers):
         groups.setdefault((header, _signature(rows, f, mains)), []).append(f)
     parts = []
     for _layout, files in groups.items():
         df = read_csv(spark, [paths[f] for f in files], multi_line)
         check_columns(df, files[0], [s for _, srcs in _signature(rows, files[0], mains) for s in srcs])
         if source_col:
-            src = df.select("*", F.col("_metadata.file_name").alias("__source_file"))
-            part = project_file(src, files[0], rows, mains, fill, extra=["__source_file"]) \
+            src = df.select("*", source_file_name().alias("__source_file"))
+            part = project_file(src, files[0], rows, mains, fill, row_id_col=row_id_col, extra=["__source_file"]) \
                 .withColumnRenamed("__source_file", source_col)
         else:
-            part = project_file(df, files[0], rows, mains, fill)
+            part = project_file(df, files[0], rows, mains, fill, row_id_col=row_id_col)
         parts.append(part)
     return reduce(DataFrame.union, parts)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from confluo.operators.names import RECOMMEND_THRESHOLD, name_recommendations
-from confluo.operators.sampling import DEFAULT_FRACTION, DEFAULT_SEED, bernoulli_sample, hash_sample
+from confluo.operators.sampling import DEFAULT_SEED, hash_sample
 from confluo.operators.values import SIMILARITY_THRESHOLD, column_similarity
 from confluo.sources.catalogue import header_catalogue
-from confluo.sources.csv import read_session
+from confluo.sources.csv import read_session, refuse_broken_records, session_files
 
 
 def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECOMMEND_THRESHOLD,
@@ -19,18 +19,18 @@ def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECO
 
 
 def recommend_values(spark: SparkSession, session_dir: str, threshold: float = SIMILARITY_THRESHOLD,
-                     sample_fraction: float | None = DEFAULT_FRACTION, seed: int = DEFAULT_SEED,
-                     normalize: bool = False, multi_line: bool = False,
-                     reproducible: bool = False) -> DataFrame:
+                     sample_fraction: float | None = None, seed: int = DEFAULT_SEED,
+                     normalize: bool = False, multi_line: bool = False) -> DataFrame:
     """Value-based recommendations over all column pairs of different files.
 
-    ``sample_fraction`` keeps the reference's 5 % sample (``None``: all rows);
-    ``reproducible=True`` samples by row hash instead (same rows on every run
-    and partitioning).  Files are read single-line (splittable) unless
-    ``multi_line``.
+    All rows are compared; ``sample_fraction`` asks for a sample by row hash
+    instead (the same rows on every run and partitioning).  Files are read
+    single-line (splittable) unless ``multi_line``; a file with quoted newlines
+    is then refused.
     """
+    if not multi_line:
+        refuse_broken_records(spark, [p for _, p in session_files(spark, session_dir)])
     tables = read_session(spark, session_dir, multi_line)
     if sample_fraction is not None:
-        pick = hash_sample if reproducible else (lambda d, _k, f, s: bernoulli_sample(d, f, s))
-        tables = {f: pick(df, None, sample_fraction, seed) for f, df in tables.items()}
+        tables = {f: hash_sample(df, None, sample_fraction, seed) for f, df in tables.items()}
     return column_similarity(tables, None, threshold, normalize)

@@ -9,13 +9,17 @@ from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 _local_default: dict[int, str] = {}
+_scratch_roots: dict[tuple[str, str], str] = {}
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app: str = "confluo", extra: dict | None = None) -> SparkSession:
-    """A session configured the way the library expects (AQE on, UI off)."""
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    """A session configured the way the library expects (AQE on, UI off).
+    ``shuffle_partitions``: Spark's own setting unless given."""
+    b = SparkSession.builder.master(master).appName(app)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -41,7 +45,10 @@ def work_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # no JVM handle (remote session): the server's setting applies
-        return spark.conf.get(_CKPT_KEY, None) or ""
+        d = spark.conf.get(_CKPT_KEY, None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder shared by the cluster") from None
+        return d
     d = sc.getConf().get(_CKPT_KEY, None)
     if not d:
         try:
@@ -64,8 +71,19 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared work folder."""
-    return f"{work_dir(spark).rstrip('/')}/confluo-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared work folder.  All of a session's
+    scratch lies in one folder there, which goes when the driver ends."""
+    root = work_dir(spark).rstrip("/")
+    sc = spark.sparkContext
+    key = (sc.applicationId, root)
+    if key not in _scratch_roots:
+        folder = f"{root}/confluo-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _scratch_roots[key] = folder
+    return f"{_scratch_roots[key]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def reliable_checkpoint(df):
@@ -74,61 +92,22 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-
-
-def _bytes(text: str) -> int:
-    import re
-    m = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", str(text))
-    if not m:
-        return 128 << 20
-    return int(m.group(1)) * _UNITS.get(m.group(2).lower() or "b", 1)
-
-
-def spread(df):
-    """Round-robin repartition a *small* input so CPU-heavy per-row work uses
-    every core.
-
-    Only when the optimizer's size estimate says the scan yields fewer
-    splits than the cluster has cores (size < cores × maxPartitionBytes).
-    On large inputs the file splits already give the parallelism and this is
-    a no-op, so it never adds a shuffle of big data.  No job is run.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(size if isinstance(size, int) else size.toString())
-    except Exception:  # no estimate: leave the plan alone
-        return df
-    return df.repartition(cores) if size < cores * split else df
+#: Jobs submitted at the same time by :func:`run_concurrently`.
+MOST_CONCURRENT = 8
 
 
 def run_concurrently(fn, items: list) -> list:
-    """``[fn(x) for x in items]`` with each call's Spark jobs submitted from
-    its own thread, so independent jobs (one per table) overlap on the
-    cluster.  ``InheritableThread`` carries the caller's job group and local
-    properties into each thread."""
-    from pyspark import InheritableThread
+    """``[fn(x) for x in items]`` with the calls' Spark jobs submitted from up
+    to :data:`MOST_CONCURRENT` threads, so independent jobs (one per table)
+    overlap on the cluster.  The caller's local properties go with them."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
 
     items = list(items)
     if len(items) < 2:
         return [fn(x) for x in items]
-    results: list = [None] * len(items)
-    errors: list = []
-
-    def run(i, x):
-        try:
-            results[i] = fn(x)
-        except BaseException as e:  # re-raised in the caller
-            errors.append(e)
-
-    threads = [InheritableThread(target=run, args=(i, x)) for i, x in enumerate(items)]
-    for t in threads:
-        t.start()
-    for t in threads:
-        t.join()
-    if errors:
-        raise errors[0]
-    return results
+    session = SparkSession.getActiveSession()
+    target = inheritable_thread_target(session) if session else inheritable_thread_target
+    with ThreadPoolExecutor(min(MOST_CONCURRENT, len(items))) as pool:
+        return list(pool.map(target(fn), items))

@@ -7,10 +7,17 @@ splittable and parallel within a file — use it for large clean files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionError, NoTablesError
+from confluo.errors import (AmbiguousFileError, BrokenRecordError, FileNotFound, HeaderCollisionError,
+                            NoTablesError)
+from confluo.session import run_concurrently
+
+
+def csv_options(multi_line: bool = True, **options) -> dict[str, str]:
+    """The reader options that batch and streaming reads share."""
+    return {"header": "true", "multiLine": str(bool(multi_line)).lower(), "escape": '"', **options}
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
@@ -19,12 +26,8 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, **options)
     Quotes inside quoted fields are doubled (RFC 4180, as our writer does);
     pass ``escape='\\'`` for backslash-escaped files.
     """
-    options.setdefault("escape", '"')
-    r = spark.read.option("header", "true").option("multiLine", str(bool(multi_line)).lower())
-    for k, v in options.items():
-        r = r.option(k, v)
     try:
-        return r.csv(path)
+        return spark.read.options(**csv_options(multi_line, **options)).csv(path)
     except Exception as e:  # PATH_NOT_FOUND and friends → typed error
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             raise FileNotFound(path) from e
@@ -55,18 +58,34 @@ def session_files(spark: SparkSession, root: str, recursive: bool = False) -> li
     return sorted(((r.file, r.path) for r in rows), key=lambda t: (t[0], t[1]))
 
 
-def read_session(spark: SparkSession, root: str, multi_line: bool = True,
-                 exclude_suffix: str | None = "_combined.csv") -> dict[str, DataFrame]:
+def read_session(spark: SparkSession, root: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """A3 + A1: every CSV of a session directory, by base name, in name order.
 
-    The combined output of an earlier run is left out (``exclude_suffix``).
+    Headers are read concurrently, each file's once (a bounded pool).
     """
     files = session_files(spark, root)
-    tables = {f: read_csv(spark, p, multi_line) for f, p in files
-              if not (exclude_suffix and f.endswith(exclude_suffix))}
-    if not tables:
+    if not files:
         raise NoTablesError(f"no CSV files in {root}")
-    return tables
+    tables = run_concurrently(lambda f: read_csv(spark, f[1], multi_line), files)
+    return {f: df for (f, _), df in zip(files, tables)}
+
+
+def source_file_name() -> Column:
+    """The file name of a row, as it is on disk (Spark's is percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def refuse_broken_records(spark: SparkSession, paths: list[str]) -> None:
+    """Raises :class:`BrokenRecordError` where a single-line read would cut a
+    record in two: a line with an odd number of quotes opens a quoted field
+    that goes on in the next line.  One scan of the text, no shuffle."""
+    if not paths:
+        return
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    bad = (spark.read.text(paths).where(quotes % 2 == 1)
+           .select(source_file_name().alias("file")).limit(1).collect())
+    if bad:
+        raise BrokenRecordError(f"{bad[0].file} has records over several lines: read it with multi_line=True")
 
 
 def find_file(spark: SparkSession, root: str, filename: str) -> str:

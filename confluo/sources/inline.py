@@ -2,7 +2,7 @@
 
 The payload already sits in driver memory (it arrived in a request); it is
 turned into rows once.  Row count is the length of the first column; a
-shorter later column raises, a longer one is truncated.
+later column of another length raises.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def inline_table(spark: SparkSession, payload: dict) -> DataFrame:
         raise InlineTableError("inline table without columns")
     n = len(cols[0]["data"])
     for c in cols[1:]:
-        if len(c["data"]) < n:
+        if len(c["data"]) != n:
             raise InlineTableError(f"column {c['column_name']} has {len(c['data'])} values, expected {n}")
     schema = T.StructType([T.StructField(c["column_name"], T.StringType(), True) for c in cols])
     rows = [tuple(c["data"][i] for c in cols) for i in range(n)]

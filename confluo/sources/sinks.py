@@ -22,6 +22,21 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, single_file: bo
     return path
 
 
+def write_csv_file(df: DataFrame, path: str, quote_all: bool = False) -> str:
+    """B1 as one file of the given name: written by one task, so for outputs
+    that are small or must be one file."""
+    part = write_csv(df, f"{path}.parts", quote_all, single_file=True)
+    sc = df.sparkSession.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(hadoop.Path(part)) if f.getPath().getName().startswith("part-")]
+    if found:
+        fs.rename(found[0], target)
+    fs.delete(hadoop.Path(part), True)
+    return path
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "overwrite") -> str:
     w = df.write.mode(mode)

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from confluo.operators.homogenize import main_columns, mapping_rows, project_file
+from confluo.sources.csv import csv_options
 
 
 def csv_stream(spark: SparkSession, source_dir: str, header: list[str],
                max_files_per_trigger: int | None = None) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    r = spark.readStream.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv")
+    r = spark.readStream.schema(schema).options(**csv_options(multi_line=False)).option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.csv(source_dir)
