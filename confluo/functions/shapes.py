@@ -37,4 +37,4 @@ def shape_to_regex(shape: str) -> str:
             lit.append(shape[i])
             i += 1
     out.append(_quote("".join(lit)))
-    return "^" + "".join(out) + "$"
+    return "^" + "".join(out) + "\\z"  # Java's $ also matches before a last newline

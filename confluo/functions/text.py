@@ -2,7 +2,7 @@
 
 Spark has no Unicode normalisation function, so the NFKD→ASCII step is a
 ``translate`` table built at import time *from a rule* (the Unicode database
-of this Python), plus a rarely taken branch for characters whose ASCII form
+of this Python), plus a branch for characters whose ASCII form
 is more than one letter (``ﬁ`` → ``fi``).  Everything stays JVM-side.
 """
 
@@ -21,6 +21,7 @@ _NON_ASCII = "[^\\x00-\\x7F]"
 # Word characters of Python's (?u)\w: letters, numbers, underscore.
 _NON_WORD = "[^\\p{L}\\p{N}_]+"
 _SEP = "\x01"  # ASCII control character; never part of an expansion
+_TO = "\x02"  # likewise
 _SENTINEL = "\ue000"  # private use; marks a character with a multi-letter ASCII form
 
 
@@ -53,7 +54,8 @@ def normalize_text(c: Column) -> Column:
 
     One ``translate`` maps every character with a one-letter ASCII form and
     marks the multi-letter ones with a sentinel; only values holding a marked
-    character (rare in prose) take the slower expansion branch.  A character
+    character (``…``, ``™``, ``½``) take the expansion branch, which replaces
+    the marked characters they hold.  A character
     class test (``rlike``) would cost ~40× more: Java checks the class
     members one by one.
     """
@@ -62,11 +64,12 @@ def normalize_text(c: Column) -> Column:
     if multi:
         msrc = "".join(ch for ch, _ in multi)
         marked = F.translate(c, src + msrc, dst + _SENTINEL * len(msrc))
-        # two constant arrays from two literals (folded once by the optimizer)
-        keys = F.split(F.lit(_SEP.join(a for a, _ in multi)), _SEP)
-        vals = F.split(F.lit(_SEP.join(b for _, b in multi)), _SEP)
-        pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
-        expanded = F.aggregate(pairs, s, lambda acc, e: F.replace(acc, e["k"], e["v"]))
+        # a constant map from one literal (folded once by the optimizer); only the
+        # marked characters that a value holds are looked up and replaced
+        forms = F.str_to_map(F.lit(_SEP.join(a + _TO + b for a, b in multi)), F.lit(_SEP), F.lit(_TO))
+        held = F.array_distinct(F.regexp_extract_all(c, F.lit(_NON_ASCII), F.lit(0)))
+        here = F.filter(held, lambda ch: F.map_contains_key(forms, ch))
+        expanded = F.aggregate(here, s, lambda acc, ch: F.replace(acc, ch, F.element_at(forms, ch)))
         s = F.when(F.instr(marked, _SENTINEL) > 0, expanded).otherwise(marked)
     s = F.regexp_replace(s, _NON_ASCII, "")
     s = F.lower(s)
@@ -78,11 +81,3 @@ def split_words(c: Column, lowercase: bool = True) -> Column:
     """The value lower-cased and split at every run of non-word characters
     (pieces may be empty or one character long)."""
     return F.split(F.lower(c) if lowercase else c, _NON_WORD)
-
-
-def word_tokens(c: Column, lowercase: bool = True) -> Column:
-    """Runs of two or more word characters, as an array (scikit-learn's default
-    token pattern ``(?u)\\b\\w\\w+\\b`` after lower-casing)."""
-    s = F.lower(c) if lowercase else c
-    parts = F.split(s, _NON_WORD)
-    return F.filter(parts, lambda t: F.length(t) >= 2)

@@ -10,33 +10,49 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.errors import InvalidRowsError
 from confluo.functions.nulls import as_double, col_ref
 
 
-def assemble(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
-    """Numeric columns → one vector; rows with a null or NaN are skipped."""
+def _refuse_or_skip(rows: DataFrame, bad: Column, skip_invalid: bool) -> DataFrame:
+    """Rows without the bad ones, or an error that counts them."""
+    if not skip_invalid:
+        n = rows.agg(F.count_if(bad).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+        if n.bad:
+            raise InvalidRowsError(f"{n.bad} of {n.n} rows have a null or NaN: fill them, or pass skip_invalid=True")
+    return rows.where(~bad)
+
+
+def assemble(df: DataFrame, columns: list[str], output: str = "features", skip_invalid: bool = False) -> DataFrame:
+    """Numeric columns → one vector.  Rows with a null, NaN or text that is no
+    number raise :class:`InvalidRowsError`, or are left out on request."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     dbl = df.select(*[as_double(col_ref(c), dtypes[c]).alias(f"f{i}") for i, c in enumerate(columns)])
-    va = VectorAssembler(inputCols=[f"f{i}" for i in range(len(columns))], outputCol=output,
-                         handleInvalid="skip")
+    bad = F.lit(False)
+    for i in range(len(columns)):
+        bad = bad | F.col(f"f{i}").isNull() | F.isnan(f"f{i}")
+    dbl = _refuse_or_skip(dbl, F.coalesce(bad, F.lit(True)), skip_invalid)
+    va = VectorAssembler(inputCols=[f"f{i}" for i in range(len(columns))], outputCol=output)
     return va.transform(dbl).select(output)
 
 
 def pca_variance(df: DataFrame, columns: list[str] | None = None, vector_col: str | None = None,
-                 standardize: bool = True) -> DataFrame:
-    """``(k, explained_variance, cumulative_variance)`` for k = 1 … n."""
+                 standardize: bool = True, skip_invalid: bool = False) -> DataFrame:
+    """``(k, explained_variance, cumulative_variance)`` for k = 1 … n.  Every row
+    counts; ``skip_invalid`` leaves out the rows that hold a null or NaN."""
     spark = df.sparkSession
     if vector_col is not None:
         dtype = df.schema[vector_col].dataType
         v = array_to_vector(col_ref(vector_col)) if isinstance(dtype, T.ArrayType) else col_ref(vector_col)
-        feats = df.select(v.alias("features")).where(F.col("features").isNotNull())
+        feats = _refuse_or_skip(df.select(col_ref(vector_col).alias("v"), v.alias("features")),
+                                F.col("v").isNull(), skip_invalid).select("features")
         n = len(feats.first()["features"])
     else:
-        feats = assemble(df, columns)
+        feats = assemble(df, columns, skip_invalid=skip_invalid)
         n = len(columns)
     if standardize:
         feats = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True) \

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from confluo.functions.nulls import col_ref
 from confluo.functions.shapes import shape_to_regex, value_shape
-from confluo.session import spread
 
 
 def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), col_ref(c).cast("string").alias("value"))
                       for c in columns])
-    return spread(df.select(*[col_ref(c) for c in columns])).select(F.inline(cells)) \
+    return df.select(F.inline(cells)) \
         .where(F.col("value").isNotNull())
 
 

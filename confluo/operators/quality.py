@@ -9,6 +9,8 @@ pass.  Nothing per-row reaches the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +126,23 @@ def _value(df: DataFrame, c: str) -> Column:
     return as_double(col_ref(c), df.schema[c].dataType)
 
 
+def _finite(v: Column) -> Column:
+    """Neither null nor NaN nor infinite: what has a place in a histogram."""
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+
+
+def non_finite_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, n_nan, n_infinite)``: what the histograms leave out, in one pass."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = _value(df, c)
+        aggs += [F.count_if(F.isnan(v)).alias(f"a{i}"),
+                 F.count_if(F.abs(v) == F.lit(float("inf"))).alias(f"b{i}")]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("n_nan"), F.col(f"b{i}").alias("n_infinite"))
+                      for i, c in enumerate(columns)])
+    return df.agg(*aggs).select(F.inline(cells))
+
+
 def outlier_predicate(v: Column, lower: float, upper: float) -> Column:
     """Strict: ``v < lower or v > upper``; NaN is an outlier, null is not."""
     return (v < F.lit(lower)) | (v > F.lit(upper))
@@ -131,15 +150,15 @@ def outlier_predicate(v: Column, lower: float, upper: float) -> Column:
 
 def outlier_summary(df: DataFrame, stats: dict[str, tuple]) -> dict[str, dict]:
     """One pass for every column with fences: the outlier count (NaN counts,
-    null does not) and the min/max of all values and of the outliers (null
-    and NaN left out) that the histograms need."""
+    null does not) and the min/max of all values and of the outliers (null,
+    NaN and infinities left out) that the histograms need."""
     names = list(stats)
     if not names:
         return {}
     aggs = []
     for i, c in enumerate(names):
         v = _value(df, c)
-        good = v.isNotNull() & ~F.isnan(v)
+        good = _finite(v)
         pred = outlier_predicate(v, stats[c][2], stats[c][3])
         aggs += [F.count_if(pred).alias(f"o{i}"),
                  F.min(F.when(good, v)).alias(f"a{i}"), F.max(F.when(good, v)).alias(f"b{i}"),
@@ -194,6 +213,8 @@ def bin_index(v: Column, lo: float, hi: float, bins: int = N_BINS) -> Column:
     """
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
+    if math.isinf(hi - lo):  # the range itself overflows: work at half the scale
+        v, lo, hi = v / 2.0, lo / 2.0, hi / 2.0
     step = (hi - lo) / bins
     i = F.floor(((v - F.lit(lo)) / F.lit(hi - lo)) * F.lit(float(bins))).cast("int")
     i = F.when(i == bins, bins - 1).otherwise(i)
@@ -210,7 +231,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = Fal
               relative_error: float = RELATIVE_ERROR, bins: int = N_BINS,
               stats: dict[str, tuple] | None = None, summary: dict[str, dict] | None = None) -> DataFrame:
     """``(column, series, bin, n)``: 30 equal-width bins of all values and of
-    the outliers, each over its own min–max (null and NaN left out).
+    the outliers, each over its own min–max (null, NaN and infinities left out;
+    :func:`non_finite_counts` says how many).
 
     Three wide passes (fences, min/max, bins; the first two can be passed
     in); the last is one ``groupBy`` on ``(column, series, bin)`` — at most
@@ -226,7 +248,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, exact: bool = Fal
     if summary is None:
         summary = outlier_summary(df, stats)
     vals = {c: _value(df, c) for c in names}
-    good = {c: vals[c].isNotNull() & ~F.isnan(vals[c]) for c in names}
+    good = {c: _finite(vals[c]) for c in names}
     out = {c: good[c] & outlier_predicate(vals[c], stats[c][2], stats[c][3]) for c in names}
     cells = []
     for c in names:

@@ -18,9 +18,9 @@ def bernoulli_sample(df: DataFrame, fraction: float = DEFAULT_FRACTION,
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def hash_threshold(fraction: float) -> str:
-    """The 8-hex-digit bound: a row is kept iff its md5 prefix sorts below it."""
-    return format(min(int(round(fraction * 16 ** 8)), 16 ** 8 - 1), "08x")
+def hash_threshold(fraction: float) -> int:
+    """A row is kept iff the first 32 bits of its md5 are below this."""
+    return int(round(fraction * 16 ** 8))
 
 
 def hash_sample(df: DataFrame, keys: list[str] | None = None, fraction: float = DEFAULT_FRACTION,
@@ -28,6 +28,8 @@ def hash_sample(df: DataFrame, keys: list[str] | None = None, fraction: float =
     """Keep a row iff ``md5(seed|key…)`` falls below ``fraction`` — the same rows
     on any partitioning, any engine and any re-run (a pushed-down filter).
     Without ``keys`` the whole row is the key (equal rows share a fate)."""
+    if fraction >= 1:
+        return df
     keys = list(keys) if keys else list(df.columns)
     key = F.concat_ws("|", F.lit(str(seed)), *[col_ref(k).cast("string") for k in keys])
-    return df.where(F.substring(F.md5(key), 1, 8) < F.lit(hash_threshold(fraction)))
+    return df.where(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") < F.lit(hash_threshold(fraction)))
