@@ -6,9 +6,31 @@ views.  Doubles are rounded only where the Spark query rounds too.
 
 from __future__ import annotations
 
-from confluo.operators.values import W
-from confluo.queries import (FENCE_TARGETS, HISTOGRAM_TARGETS, NORMALIZED_TEXT_COLUMNS, PCA_LINEITEM,
-                             SHAPE_TARGETS, TABLES, TEXT_COLUMNS)
+# What the queries cover, stated again here.
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+FENCE_TARGETS = [("events", ["value"]), ("documents", ["n_chars"]),
+                 ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                               "l_extendedprice", "l_discount", "l_tax"])]
+HISTOGRAM_TARGETS = [("lineitem", ["l_quantity"]), ("events", ["value"])]
+TEXT_COLUMNS = {"part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+                "customer": ["c_name", "c_mktsegment"], "documents": ["text", "lang", "source"],
+                "benchmark": ["text"], "conversations": ["role", "text"], "events": ["event_type", "props"]}
+NORMALIZED_TEXT_COLUMNS = {"documents": ["text"], "benchmark": ["text"], "conversations": ["text"]}
+SHAPE_TARGETS = [("part", ["p_brand"]), ("orders", ["o_orderpriority"]), ("customer", ["c_name"]), ("pages", ["url"])]
+PCA_LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+WIDE_COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"], "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"]}
+SESSION_FILES = {"customer": "customer list.csv", "supplier": "supplier_combined.csv", "part": "part.csv"}
+SESSION_COLUMNS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                   "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+                   "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
 
 # Column types of the driver tables used by the type-dependent oracles.
 TYPES = {
@@ -89,47 +111,53 @@ def outliers_rows_sql() -> str:
             f"WHERE CAST(e.value AS DOUBLE) < f.lower OR CAST(e.value AS DOUBLE) > f.upper")
 
 
-def histogram_sql() -> str:
-    vals = " UNION ALL ".join(f"SELECT {_q(t)} AS t, {_q(c)} AS c, CAST({c} AS DOUBLE) AS v FROM {t}"
-                              for t, cols in HISTOGRAM_TARGETS for c in cols)
+def histogram_sql(values: str, label: str = 't AS "table", ') -> str:
+    """numpy.histogram: a value belongs to the last of 30 bins whose left edge
+    it reaches; the edges are low + k * width, the right end is closed.
+    ``values``: a query of ``t, c, v``; null, NaN and infinities have no bin."""
     return f"""
-WITH v AS ({vals}),
-good AS (SELECT * FROM v WHERE v IS NOT NULL AND NOT isnan(v)),
-f AS (SELECT t, c, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM good GROUP BY t, c),
-b AS (SELECT t, c, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lo_f, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS hi_f FROM f),
+WITH good AS (SELECT * FROM ({values}) WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
+any_v AS (SELECT * FROM ({values}) WHERE v IS NOT NULL AND NOT isnan(v)),
+f AS (SELECT t, c, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM any_v GROUP BY t, c),
 s AS (SELECT t, c, 'all' AS series, v FROM good
       UNION ALL
-      SELECT good.t, good.c, 'outliers' AS series, good.v FROM good JOIN b ON good.t = b.t AND good.c = b.c
-      WHERE good.v < b.lo_f OR good.v > b.hi_f),
-r0 AS (SELECT t, c, series, min(v) AS mn, max(v) AS mx FROM s GROUP BY t, c, series),
-r AS (SELECT t, c, series,
-             CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
-             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r0),
-i0 AS (SELECT s.t, s.c, s.series, s.v, r.lo, r.hi, (r.hi - r.lo) / 30 AS step,
-              least(CAST(floor(((s.v - r.lo) / (r.hi - r.lo)) * 30.0) AS INTEGER), 29) AS i
-       FROM s JOIN r ON s.t = r.t AND s.c = r.c AND s.series = r.series),
-i1 AS (SELECT *, CASE WHEN v < (CASE WHEN i = 30 THEN hi ELSE CAST(i AS DOUBLE) * step + lo END)
-                      THEN i - 1 ELSE i END AS j FROM i0),
-i2 AS (SELECT *, CASE WHEN v >= (CASE WHEN j + 1 = 30 THEN hi ELSE CAST(j + 1 AS DOUBLE) * step + lo END)
-                           AND j <> 29 THEN j + 1 ELSE j END AS bin FROM i1)
-SELECT t AS "table", c AS "column", series, CAST(bin AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n
-FROM i2 GROUP BY t, c, series, bin
+      SELECT good.t, good.c, 'outliers', v FROM good JOIN f ON good.t = f.t AND good.c = f.c
+      WHERE v < q1 - 1.5::DOUBLE * (q3 - q1) OR v > q3 + 1.5::DOUBLE * (q3 - q1)),
+ends AS (SELECT t, c, series, min(v) - (min(v) = max(v))::INT * 0.5::DOUBLE AS lo,
+                max(v) + (min(v) = max(v))::INT * 0.5::DOUBLE AS hi FROM s GROUP BY t, c, series),
+edges AS (SELECT t, c, series, list_transform(range(30), lambda k: k::DOUBLE * ((hi - lo) / 30) + lo) AS e FROM ends),
+binned AS (SELECT s.t, s.c, s.series, len(list_filter(e, lambda x: x <= v)) - 1 AS bin
+           FROM s JOIN edges ON s.t = edges.t AND s.c = edges.c AND s.series = edges.series)
+SELECT {label}c AS "column", series, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM binned GROUP BY t, c, series, bin
 """
 
 
+def _cells(targets) -> str:
+    return " UNION ALL ".join(f"SELECT {_q(t)} AS t, {_q(c)} AS c, CAST({c} AS DOUBLE) AS v FROM {t}"
+                              for t, cols in targets for c in cols)
+
+
+WITH_INFINITY = """SELECT 'events' AS t, 'value' AS c, CASE WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE
+  WHEN event_id % 101 = 0 THEN '-Infinity'::DOUBLE WHEN event_id % 103 = 0 THEN 'NaN'::DOUBLE ELSE value END AS v FROM events"""
+COMBINED_BALANCE = f"SELECT 'c' AS t, 'balance' AS c, try_cast(balance AS DOUBLE) AS v FROM ({HOMOGENIZE_SQL})"
+
+
 NORMALIZE = ("trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce({x}, '')), '[^\\x00-\\x7F]', '', 'g')),"
              " '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))")
 NORMALIZE_KEEP_NULL = ("trim(regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')),"
                        " '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))")
 
 
-def tfidf_sql(columns: dict[str, list[str]], normalize: bool) -> str:
+def tfidf_sql(columns: dict[str, list[str]], normalize: bool, threshold: float = 0.8,
+              names: dict[str, str] | None = None) -> str:
+    """``columns``: by table, in the order of the tables' (or ``names``') places."""
     cells = []
     for i, (t, cols) in enumerate(columns.items()):
         for c in cols:
             v = NORMALIZE.format(x=f"CAST({c} AS VARCHAR)") if normalize else f"CAST({c} AS VARCHAR)"
-            cells.append(f"SELECT {i} AS tidx, {_q(t)} AS tname, {_q(c)} AS cname, {v} AS value FROM {t}")
-    w = repr(W)
+            cells.append(f"SELECT {i} AS tidx, {_q((names or {}).get(t, t))} AS tname, {_q(c)} AS cname, {v} AS value FROM {t}")
+    # a term in one of two documents weighs ln((1 + 2) / (1 + 1)) + 1, a shared one 1
+    w = "pow(ln(3 / 2.0) + 1, 2)"
     sim = (f"g.dot / (sqrt(g.sa + CAST({w} AS DOUBLE) * (ta.ss - g.sa)) * "
            f"sqrt(g.sb + CAST({w} AS DOUBLE) * (tb.ss - g.sb)))")
     return f"""
@@ -146,7 +174,7 @@ g AS (SELECT a.tname AS df1_name, a.cname AS column_df1, b.tname AS df2_name, b.
 SELECT g.column_df1, g.column_df2, round({sim}, 6) AS similarity, g.df1_name, g.df2_name
 FROM g JOIN tot ta ON ta.tname = g.df1_name AND ta.cname = g.column_df1
        JOIN tot tb ON tb.tname = g.df2_name AND tb.cname = g.column_df2
-WHERE {sim} > 0.8
+WHERE {sim} > {threshold}
 """
 
 
@@ -170,6 +198,15 @@ def catalogue_sql() -> str:
             f"FROM information_schema.columns WHERE table_name IN ({names}))")
 
 
+def session_catalogue_sql() -> str:
+    """The files of the session in name order, with their columns."""
+    rows = [(f, i, j + 1, c) for i, (f, t) in enumerate(sorted((f, t) for t, f in SESSION_FILES.items()))
+            for j, c in enumerate(SESSION_COLUMNS[t])]
+    values = ", ".join(f"({_q(f)}, {i}, {j}, {_q(c)})" for f, i, j, c in rows)
+    return (f"SELECT file, CAST(file_idx AS INTEGER) AS file_idx, CAST(ordinal AS INTEGER) AS ordinal, column_name "
+            f"FROM (VALUES {values}) x(file, file_idx, ordinal, column_name)")
+
+
 def _score(a: str, b: str) -> str:
     return (f"CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
             f"ELSE CAST(round_even(CAST(100 AS DOUBLE) * (CAST(2 * {_lcs(a, b)} AS DOUBLE) / "
@@ -209,10 +246,10 @@ GROUP BY l.leader
 """
 
 
-def _pairs_cte(threshold: int) -> str:
+def _pairs_cte(threshold: int, catalogue: str | None = None) -> str:
     score = _score("l.key", "r.key")
     return f"""
-cat AS ({catalogue_sql()}),
+cat AS ({catalogue or catalogue_sql()}),
 keyed AS (SELECT *, {_key('column_name')} AS key FROM cat),
 scored AS (SELECT l.file AS file_l, l.file_idx AS file_idx_l, l.ordinal AS ordinal_l, l.column_name AS column_l,
                   r.file AS file_r, r.file_idx AS file_idx_r, r.ordinal AS ordinal_r, r.column_name AS column_r,
@@ -226,11 +263,11 @@ def name_pairs_sql() -> str:
     return f"WITH {_pairs_cte(80)} SELECT file_l, column_l, file_r, column_r, score FROM pairs"
 
 
-def name_recommendations_sql() -> str:
+def name_recommendations_sql(threshold: int = 90, catalogue: str | None = None) -> str:
     grp = "file_idx_x, ordinal_x, file_idx_y"
     seq = "file_idx_x DESC, file_idx_y DESC, ordinal_x, kind_rank"
     return f"""
-WITH {_pairs_cte(90)},
+WITH {_pairs_cte(threshold, catalogue)},
 d0 AS (SELECT file_l AS file_x, file_idx_l AS file_idx_x, ordinal_l AS ordinal_x, column_l AS column_x,
               file_r AS file_y, file_idx_r AS file_idx_y, ordinal_r AS ordinal_y, column_r AS column_y, score FROM pairs
        UNION ALL
@@ -304,7 +341,34 @@ FROM b JOIN v ON v."column" = b."column" GROUP BY b."column", q1, q3, lower, upp
 """
 
 
+SESSION_HOMOGENIZE_SQL = HOMOGENIZE_SQL.replace(
+    "AS category FROM customer", "AS category, 'customer list.csv' AS source_file FROM customer").replace(
+    "'' FROM supplier", "'', 'supplier_combined.csv' FROM supplier").replace(
+    "coalesce(p_type, '') FROM part", "coalesce(p_type, ''), 'part.csv' FROM part")
+_BY_FILE = {t: SESSION_COLUMNS[t] for t in sorted(SESSION_FILES, key=SESSION_FILES.get)}
+
 ORACLE = {
+    "session_files": "SELECT file, file LIKE '%list.csv' AS found FROM (VALUES "
+                     + ", ".join(f"({_q(f)})" for f in SESSION_FILES.values()) + ") x(file)",
+    "session_columns": session_catalogue_sql(),
+    "session_homogenize": SESSION_HOMOGENIZE_SQL,
+    "session_homogenize_row_id": f"SELECT source_file, count(*) AS n_rows, count(*) AS n_ids FROM ({SESSION_HOMOGENIZE_SQL}) "
+                                 "GROUP BY source_file",
+    "session_recommend_names": name_recommendations_sql(70, session_catalogue_sql()),
+    "session_recommend_values": tfidf_sql(_BY_FILE, False, 0.3, SESSION_FILES),
+    "session_report_nulls": null_profile_sql(HOMOGENIZE_SQL, COMBINED),
+    "session_report_histogram": histogram_sql(COMBINED_BALANCE, ""),
+    "session_preview_records": "SELECT to_json({'s_suppkey': s_suppkey::VARCHAR, 's_name': s_name, "
+                               "'s_nationkey': s_nationkey::VARCHAR, 's_acctbal': s_acctbal::VARCHAR})::VARCHAR AS record FROM supplier",
+    "align_union_case": 'SELECT c_custkey AS "KEY", c_name AS "Name", NULL::DOUBLE AS bal FROM customer '
+                        "UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "histogram_infinity": histogram_sql(WITH_INFINITY, ""),
+    "non_finite_counts": f"SELECT 'value' AS \"column\", count(*) FILTER (isnan(v)) AS n_nan, "
+                         f"count(*) FILTER (isinf(v)) AS n_infinite FROM ({WITH_INFINITY})",
+    "pattern_conformance_newline": "WITH v AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand || chr(10) ELSE p_brand END AS b FROM part), "
+        f"s AS (SELECT {_shape('b')} AS shape, count(*) AS n FROM v GROUP BY 1) "
+        "SELECT 'brand' AS \"column\", shape, (SELECT count(*) FROM v) AS n_values, n AS n_match FROM s ORDER BY n DESC, shape LIMIT 1",
+    "column_tfidf_wide": tfidf_sql(WIDE_COLUMNS, False, 0.5),
     "align_union": ALIGN_SQL,
     "homogenize": HOMOGENIZE_SQL,
     "homogenize_with_source": HOMOGENIZE_SQL.replace(
@@ -320,7 +384,7 @@ ORACLE = {
     "final_report_outliers": FINAL_REPORT_OUTLIERS_SQL,
     "iqr_outliers": outliers_rows_sql(),
     "outlier_report": outlier_report_sql(),
-    "histogram": histogram_sql(),
+    "histogram": histogram_sql(_cells(HISTOGRAM_TARGETS)),
     "column_tfidf": tfidf_sql(TEXT_COLUMNS, False),
     "column_tfidf_normalized": tfidf_sql(NORMALIZED_TEXT_COLUMNS, True),
     "name_pairs": name_pairs_sql(),

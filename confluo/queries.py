@@ -14,10 +14,13 @@ from confluo.operators.profile import pattern_conformance, value_shapes
 from confluo.operators.sampling import bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
-from confluo.session import run_concurrently, scratch_path, spread
+from confluo.session import run_concurrently, scratch_path
 from confluo.sources.catalogue import header_catalogue
-from confluo.sources.csv import read_csv
-from confluo.sources.sinks import preview, write_csv
+from confluo.plans.homogenize import combine_session, homogenize_session
+from confluo.plans.recommend import recommend_names, recommend_values
+from confluo.plans.session import preview_file, report_for_file
+from confluo.sources.csv import find_file, list_csv_files, read_csv, read_session
+from confluo.sources.sinks import preview, write_csv, write_csv_file
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -46,6 +49,11 @@ TEXT_COLUMNS = {
 NORMALIZED_TEXT_COLUMNS = {"documents": ["text"], "benchmark": ["text"], "conversations": ["text"]}
 SHAPE_TARGETS = [("part", ["p_brand"]), ("orders", ["o_orderpriority"]), ("customer", ["c_name"]),
                  ("pages", ["url"])]
+# Wide comparison: doubles and timestamps are left out, their text differs by engine.
+WIDE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "benchmark",
+               "labels", "conversations"]
+WIDE_WITHOUT = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "o_orderdate", "l_quantity", "l_extendedprice",
+                "l_discount", "l_tax", "l_shipdate"}
 PCA_LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -159,13 +167,11 @@ def q_similar_name_groups(spark, sf_dir):
 
 
 def q_normalize_text(spark, sf_dir):
-    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", normalize_text(F.col("text")).alias("text_norm"))
+    return load(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("text_norm"))
 
 
 def q_normalize_pages(spark, sf_dir):
-    p = spread(load(spark, sf_dir, "pages").select("page_id", "html"))
-    return p.select("page_id", normalize_text(F.col("html")).alias("html_norm"))
+    return load(spark, sf_dir, "pages").select("page_id", normalize_text(F.col("html")).alias("html_norm"))
 
 
 def q_value_shapes(spark, sf_dir):
@@ -229,11 +235,121 @@ def q_csv_single_line(spark, sf_dir):
     return read_csv(spark, path, multi_line=False)
 
 
+# One session of CSV files made of the tables: a name with a blank, one that
+# looks like a combined output.
+SESSION_FILES = {"customer": "customer list.csv", "supplier": "supplier_combined.csv", "part": "part.csv"}
+SESSION_MAPPING = {m: {SESSION_FILES[t]: cols for t, cols in files.items()} for m, files in FLAGSHIP_MAPPING.items()}
+
+
+def _session(spark, sf_dir):
+    root = scratch_path(spark, "session")
+    for t, file in SESSION_FILES.items():
+        write_csv_file(load(spark, sf_dir, t), f"{root}/{file}")
+    return root
+
+
+def q_session_files(spark, sf_dir):
+    root = _session(spark, sf_dir)
+    one = find_file(spark, root, "list.csv")
+    return list_csv_files(spark, root, recursive=True).select(
+        F.url_decode("file").alias("file"), (F.col("path") == F.lit(one)).alias("found"))
+
+
+def q_session_columns(spark, sf_dir):
+    return header_catalogue(spark, read_session(spark, _session(spark, sf_dir)))
+
+
+def q_session_homogenize(spark, sf_dir):
+    return combine_session(spark, _session(spark, sf_dir), SESSION_MAPPING, source_col="source_file")
+
+
+def q_session_homogenize_row_id(spark, sf_dir):
+    combined = combine_session(spark, _session(spark, sf_dir), SESSION_MAPPING, source_col="source_file", row_id_col="row_id")
+    return combined.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_file", "row_id").alias("n_ids"))
+
+
+def q_session_recommend_names(spark, sf_dir):
+    return recommend_names(spark, _session(spark, sf_dir), 70)
+
+
+def q_session_recommend_values(spark, sf_dir):
+    sims = recommend_values(spark, _session(spark, sf_dir), 0.3)
+    return sims.withColumn("similarity", F.round("similarity", 6))
+
+
+def _session_report(spark, sf_dir, section):
+    out = homogenize_session(spark, _session(spark, sf_dir), SESSION_MAPPING, scratch_path(spark, "combined"), fmt="csv")
+    return report_for_file(spark, out, exact=True)[section]
+
+
+def q_session_report_nulls(spark, sf_dir):
+    return _session_report(spark, sf_dir, "nulls")
+
+
+def q_session_report_histogram(spark, sf_dir):
+    return _session_report(spark, sf_dir, "histogram")
+
+
+def q_session_preview_records(spark, sf_dir):
+    return preview_file(spark, f"{_session(spark, sf_dir)}/{SESSION_FILES['supplier']}")
+
+
+def q_align_union_case(spark, sf_dir):
+    """Headers that differ only in case are one column."""
+    customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("KEY"), F.col("c_name").alias("Name"))
+    supplier = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("NAME"), F.col("s_acctbal").alias("bal"),
+                                                      F.col("s_suppkey").alias("key"))
+    return align_union({"customer": customer, "supplier": supplier}, merge_case=True)
+
+
+def _with_infinity(spark, sf_dir):
+    v = F.when(F.col("event_id") % 97 == 0, F.lit(float("inf"))).when(F.col("event_id") % 101 == 0, F.lit(float("-inf")))
+    v = v.when(F.col("event_id") % 103 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return load(spark, sf_dir, "events").select("event_id", v.alias("value"))
+
+
+def q_histogram_infinity(spark, sf_dir):
+    return Q.histogram(_with_infinity(spark, sf_dir), ["value"], exact=True)
+
+
+def q_non_finite_counts(spark, sf_dir):
+    return Q.non_finite_counts(_with_infinity(spark, sf_dir), ["value"])
+
+
+def q_pattern_conformance_newline(spark, sf_dir):
+    """A value that ends in a newline is not of the shape without it."""
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("\n"))).otherwise(F.col("p_brand"))
+    out = pattern_conformance(load(spark, sf_dir, "part").select(brand.alias("brand")), None, ["brand"])
+    return out.select("column", "shape", "n_values", "n_match")
+
+
+def q_column_tfidf_wide(spark, sf_dir):
+    """More than thirty compared columns (every string, and numbers as text)."""
+    tables = {t: Q.as_string_table(load(spark, sf_dir, t)) for t in WIDE_TABLES}
+    columns = {t: [f for f in df.columns if f not in WIDE_WITHOUT] for t, df in tables.items()}
+    return column_similarity(tables, columns, 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
 def q_preview(spark, sf_dir):
     return preview(load(spark, sf_dir, "customer"), 10, ["c_custkey"])
 
 
 QUERIES = {
+    "session_files": q_session_files,
+    "session_columns": q_session_columns,
+    "session_homogenize": q_session_homogenize,
+    "session_homogenize_row_id": q_session_homogenize_row_id,
+    "session_recommend_names": q_session_recommend_names,
+    "session_recommend_values": q_session_recommend_values,
+    "session_report_nulls": q_session_report_nulls,
+    "session_report_histogram": q_session_report_histogram,
+    "session_preview_records": q_session_preview_records,
+    "align_union_case": q_align_union_case,
+    "histogram_infinity": q_histogram_infinity,
+    "non_finite_counts": q_non_finite_counts,
+    "pattern_conformance_newline": q_pattern_conformance_newline,
+    "column_tfidf_wide": q_column_tfidf_wide,
     "align_union": q_align_union,
     "homogenize": q_homogenize,
     "homogenize_with_source": q_homogenize_with_source,
