@@ -348,6 +348,17 @@ SESSION_HOMOGENIZE_SQL = HOMOGENIZE_SQL.replace(
 _BY_FILE = {t: SESSION_COLUMNS[t] for t in sorted(SESSION_FILES, key=SESSION_FILES.get)}
 
 ORACLE = {
+    "iqr_fences_approx": " UNION ALL ".join(
+        f"SELECT 'lineitem' AS \"table\", {_q(c)} AS \"column\", {p}::DOUBLE AS p, count(*) > 0 AS within FROM lineitem"
+        for c in FENCE_TARGETS[2][1] for p in (0.25, 0.75)),
+    "sample_bernoulli": "SELECT * FROM lineitem WHERE ('0x' || substr(md5(concat_ws('|', '7', l_orderkey::VARCHAR, "
+        "l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR)), 1, 8))::BIGINT < round(0.05 * 4294967296)",
+    # eigenvalues of a matrix sum to its trace, their squares to the sum of its squared entries
+    "pca_variance": "SELECT 4::BIGINT AS n, 1.0::DOUBLE AS total, round(sum(r * r) / 16, 6) AS squares FROM ("
+        + " UNION ALL ".join(f"SELECT corr({a}::DOUBLE, {b}::DOUBLE) AS r FROM lineitem" for a in PCA_LINEITEM for b in PCA_LINEITEM) + ")",
+    "pca_variance_embeddings": "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v "
+        "FROM embeddings), c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i) "
+        "SELECT max(i)::BIGINT AS n, 1.0::DOUBLE AS total, round(sum(c * c) / pow(sum(c) FILTER (i = j), 2), 6) AS squares FROM c",
     "session_files": "SELECT file, file LIKE '%list.csv' AS found FROM (VALUES "
                      + ", ".join(f"({_q(f)})" for f in SESSION_FILES.values()) + ") x(file)",
     "session_columns": session_catalogue_sql(),

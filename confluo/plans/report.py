@@ -9,14 +9,14 @@ from confluo.operators.quality import column_profile, fence_stats, histogram, ou
 
 
 def final_report(df: DataFrame, exact: bool = False, only_null_columns: bool = False,
-                 persist: bool = True) -> dict[str, DataFrame]:
+                 persist: bool = False) -> dict[str, DataFrame]:
     """``{"nulls", "outliers", "histogram"}`` DataFrames.
 
     Full passes over the data, whatever the number of columns: one for nulls
     and numeric detection together, the fences, one for outlier counts and
-    all min/max values together, one for the bins.  The numeric projection
-    is persisted between them and released at the end (the reference
-    re-scanned the file for every column and action).  Only per-column
+    all min/max values together, one for the bins.  ``persist`` keeps the
+    numeric projection on the executors between them (worth it where it fits
+    their memory) and releases it at the end.  Only per-column
     statistics and bin counts reach the driver; the results are computed.
     """
     spark = df.sparkSession

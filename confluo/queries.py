@@ -11,7 +11,7 @@ from confluo.operators.homogenize import homogenize
 from confluo.operators.names import name_pairs, name_recommendations, similar_name_groups
 from confluo.operators.pca import pca_variance
 from confluo.operators.profile import pattern_conformance, value_shapes
-from confluo.operators.sampling import bernoulli_sample, hash_sample
+from confluo.operators.sampling import DEFAULT_FRACTION, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
 from confluo.session import run_concurrently, scratch_path
@@ -122,8 +122,19 @@ def q_iqr_fences(spark, sf_dir):
 
 
 def q_iqr_fences_approx(spark, sf_dir):
-    return _per_table(spark, sf_dir, [("lineitem", LINEITEM_NUMERIC)],
-                      lambda df, cols: Q.iqr_fences(df, cols, exact=False))
+    """The approximate quartiles, checked: whether each one's rank is within the
+    relative error of its target."""
+    def check(df, cols):
+        stats = Q.fence_stats(df, cols, exact=False)
+        targets = [(c, p, stats[c][i]) for c in cols for i, p in enumerate((0.25, 0.75))]
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c) < q).alias(f"b{i}") for i, (c, _, q) in enumerate(targets)],
+                     *[F.count_if(F.col(c) <= q).alias(f"u{i}") for i, (c, _, q) in enumerate(targets)])
+        cells = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"),
+                          ((F.col(f"b{i}") / F.col("n") <= p + Q.RELATIVE_ERROR)
+                           & (F.col(f"u{i}") / F.col("n") >= p - Q.RELATIVE_ERROR)).alias("within"))
+                 for i, (c, p, _) in enumerate(targets)]
+        return row.select(F.inline(F.array(*cells)))
+    return _per_table(spark, sf_dir, [("lineitem", LINEITEM_NUMERIC)], check)
 
 
 def q_iqr_outliers(spark, sf_dir):
@@ -190,11 +201,19 @@ def q_sample_hash(spark, sf_dir):
 
 
 def q_sample_bernoulli(spark, sf_dir):
-    return bernoulli_sample(load(spark, sf_dir, "lineitem"))
+    """The Bernoulli sample that any partitioning and engine repeats: by key hash."""
+    return hash_sample(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+                       DEFAULT_FRACTION, seed=7)
+
+
+def _moments(curve):
+    """What SQL can say of the curve: the shares' sum and the sum of their squares."""
+    return curve.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("explained_variance"), 6).alias("total"),
+                     F.round(F.sum(F.pow("explained_variance", F.lit(2))), 6).alias("squares"))
 
 
 def q_pca_variance(spark, sf_dir):
-    return pca_variance(load(spark, sf_dir, "lineitem"), PCA_LINEITEM, standardize=True)
+    return _moments(pca_variance(load(spark, sf_dir, "lineitem"), PCA_LINEITEM, standardize=True))
 
 
 def q_pca_correlation(spark, sf_dir):
@@ -204,7 +223,7 @@ def q_pca_correlation(spark, sf_dir):
 
 
 def q_pca_variance_embeddings(spark, sf_dir):
-    return pca_variance(load(spark, sf_dir, "embeddings"), vector_col="embedding", standardize=False)
+    return _moments(pca_variance(load(spark, sf_dir, "embeddings"), vector_col="embedding", standardize=False))
 
 
 def q_csv_round_trip(spark, sf_dir):

@@ -1,6 +1,9 @@
 import numpy as np
 
 from confluo.operators.pca import pca_variance
+import pytest
+
+from confluo.errors import InvalidRowsError
 from confluo.operators.sampling import bernoulli_sample, hash_sample, hash_threshold
 
 from conftest import SF_SMALL
@@ -14,7 +17,7 @@ def test_hash_sample_is_deterministic_and_close(spark):
     assert a == b
     n = li.count()
     assert abs(len(a) - 0.05 * n) < 5 * np.sqrt(0.05 * n)
-    assert hash_threshold(0.05) == "0ccccccd"
+    assert hash_threshold(0.05) == 0x0ccccccd and hash_threshold(1.0) == 16 ** 8
     assert bernoulli_sample(li).count() <= n
 
 
@@ -29,6 +32,20 @@ def test_pca_curve_matches_numpy(spark):
     assert abs(got[-1].cumulative_variance - 1.0) < 1e-9
 
 
+def test_full_sample_keeps_every_row(spark):
+    df = spark.range(500)
+    assert hash_sample(df, ["id"], 1.0).count() == 500
+    assert hash_sample(df, ["id"], 1 - 1e-12).count() == 500  # the bound is above every prefix
+    assert hash_sample(df, ["id"], 0.0).count() == 0
+
+
+def test_pca_refuses_rows_that_it_would_skip(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, None), (4.0, 7.0), (float("nan"), 1.0)], "a double, b double")
+    with pytest.raises(InvalidRowsError, match="2 of 5"):
+        pca_variance(df, ["a", "b"])
+    assert pca_variance(df, ["a", "b"], skip_invalid=True).count() == 2
+
+
 def test_pca_on_embedding_arrays(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     got = pca_variance(emb, vector_col="embedding", standardize=False).orderBy("k").collect()

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from confluo.functions.fuzzy import name_key, name_ratio
-from confluo.operators.names import name_pairs, name_recommendations, similar_name_groups, table_pairs
+from confluo.operators.names import name_pairs, name_recommendations, similar_name_groups
 from confluo.sources.catalogue import catalogue_from_names, header_catalogue
 
 
@@ -149,8 +149,25 @@ def test_groups_match_greedy_loop(spark):
         assert got == sorted(groups_brute(cols, 80)), seed
 
 
-def test_table_pairs():
-    assert table_pairs(["a", "b", "c"]) == [("a", "c"), ("b", "c"), ("a", "b")]
+def test_few_candidates_among_many_names(spark):
+    from confluo.functions.fuzzy import name_key
+    from confluo.operators.names import candidate_keys
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(50)]
+    names = sorted({f"{a}_{b}" for a in words for b in words if a != b})
+    keys = spark.createDataFrame([(n,) for n in names], "n string").select(name_key(F.col("n")).alias("key")) \
+        .distinct().withColumn("klen", F.length("key"))
+    n = keys.count()
+    assert n > 2000
+    for t in (80, 90):
+        assert candidate_keys(keys, (t - 0.5) / 100).count() < 0.05 * n * (n - 1) / 2
+
+
+def test_equal_names_are_one_row(spark):
+    from confluo.operators.names import equal_names
+    cat = header_catalogue(spark, {f"f{i}": spark.createDataFrame([], "id string, x%d string" % i) for i in range(5)})
+    assert [(r.column_name, r.files) for r in equal_names(cat).collect()] == [("id", [f"f{i}" for i in range(5)])]
 
 
 def test_reference_shapes(spark):

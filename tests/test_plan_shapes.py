@@ -5,7 +5,6 @@ import __spark_entry__ as E
 from confluo.operators.names import name_pairs
 from confluo.operators.quality import null_profile
 from confluo.operators.values import column_similarity
-from confluo.session import spread
 from confluo.sources.catalogue import header_catalogue
 
 from conftest import SF_SMALL
@@ -38,8 +37,8 @@ def test_null_profile_is_one_aggregate(spark):
 def test_similarity_and_name_pairs_use_equi_joins(spark):
     names = ["part", "customer", "documents"]
     tables = {t: load(spark, t) for t in names}
-    for method in ("join", "prefix"):
-        assert not any(b in plan(column_similarity(tables, threshold=0.8, method=method)) for b in BAD_JOINS)
+    for threshold in (0.8, None):
+        assert not any(b in plan(column_similarity(tables, threshold=threshold)) for b in BAD_JOINS)
     from confluo.queries import TABLES
     cat = header_catalogue(spark, {t: load(spark, t) for t in TABLES})
     assert not any(b in plan(name_pairs(cat, 80)) for b in BAD_JOINS)
@@ -51,12 +50,17 @@ def test_exact_quantile_plan_has_no_cross_join(spark):
     assert not any(b in p for b in BAD_JOINS)
 
 
-def test_spread_only_for_small_inputs(spark):
-    d = load(spark, "documents").select("text")
-    assert "RoundRobinPartitioning" in plan(spread(d))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
-        assert "RoundRobinPartitioning" not in plan(spread(d))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+def test_recommendations_have_no_one_task_window(spark):
+    from confluo.operators.names import name_recommendations
+    cat = header_catalogue(spark, {t: load(spark, t) for t in ("customer", "supplier", "part", "orders")})
+    p = plan(name_recommendations(cat, 80))
+    assert "SinglePartition" not in p and not any(b in p for b in BAD_JOINS)
+
+
+def test_similarity_joins_on_many_keys(spark):
+    import re
+    tables = {t: load(spark, t) for t in ("part", "customer", "documents")}
+    p = plan(column_similarity(tables, threshold=0.5))
+    keys = [set(re.findall(r"(\w+)#", k)) for k in re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", p)]
+    terms = [k for k in keys if k & {"ta", "tb", "tidx"}]
+    assert terms and all(k & {"token", "bucket", "dfreq"} for k in terms), keys

@@ -121,14 +121,36 @@ def test_exact_quantiles_property(spark, vals, parts):
         assert got == [_disc(vals, 0.25), _disc(vals, 0.75)]
 
 
-@pytest.mark.parametrize("parts", [5, 13])
-def test_exact_quantiles_across_many_range_partitions(spark, parts):
+@pytest.mark.parametrize("inside", [2_000_000, 30, 1])
+def test_exact_quantiles_through_narrowing_brackets(spark, inside):
     from confluo.operators.quantiles import exact_quantiles_df
-    rnd = random.Random(parts)
+    rnd = random.Random(inside)
     a = [float(rnd.randint(0, 400)) for _ in range(4000)]
     b = [rnd.random() * 1000 for _ in range(4000)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    got = {(r.column, r.p): r.value for r in exact_quantiles_df(df, ["a", "b"], probs, num_partitions=parts).collect()}
+    got = {(r.column, r.p): r.value for r in exact_quantiles_df(df, ["a", "b"], probs, accuracy=20, most_inside=inside).collect()}
     for name, vals in (("a", a), ("b", b)):
         assert [got[(name, p)] for p in probs] == [_disc(vals, p) for p in probs]
+
+
+def test_infinities_have_no_bin(spark):
+    vals = [float(i) for i in range(20)] + [math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    rows = [r for r in Q.histogram(df, ["v"], exact=True).collect() if r.series == "all"]
+    assert sum(r.n for r in rows) == 20 and all(0 <= r.bin < 30 for r in rows)
+    assert [tuple(r) for r in Q.non_finite_counts(df, ["v"]).collect()] == [("v", 1, 2)]
+    wide = spark.createDataFrame([(-1.7e308,), (0.0,), (1.7e308,)], "v double")
+    assert sorted(r.bin for r in Q.histogram(wide, ["v"], exact=True).collect() if r.series == "all") == [0, 15, 29]
+
+
+def test_number_pattern_lets_every_castable_value_through(spark):
+    from pyspark.sql import functions as F
+    from confluo.functions.nulls import NAN, NUMBER
+    vals = ["1", " 1 ", "+1.5", "-.5", "1.", "1e5", "1E-5", "1d", "2F", "0x1p3", "NaN", "nan", "+NaN", "-NaN", "Infinity", "-inf",
+            "+INF", "\t7\n", "1_000", "abc", "", " ", "1-URGENT", "1995-01-01", "e5", ".", "+", "1e", "nand", "1 2", "١"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    for r in df.select("s", F.col("s").try_cast("double").alias("d"), F.col("s").rlike(NUMBER).alias("ok"),
+                       F.col("s").rlike(NAN).alias("nan")).collect():
+        assert r.ok or r.d is None, r
+        assert r.nan == (r.d is not None and math.isnan(r.d)), r

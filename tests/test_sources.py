@@ -63,11 +63,29 @@ def test_missing_path_is_typed(spark, tmpdir_csv):
 
 def test_inline_table(spark):
     payload = {"name": "t", "columns": [{"column_name": "a", "data": ["1", "2"]},
-                                         {"column_name": "b", "data": ["x", "y", "z"]}]}
+                                         {"column_name": "b", "data": ["x", "y"]}]}
     assert [tuple(r) for r in inline_table(spark, payload).collect()] == [("1", "x"), ("2", "y")]
-    payload["columns"][1]["data"] = ["x"]
-    with pytest.raises(InlineTableError):
-        inline_table(spark, payload)
+    for data in (["x"], ["x", "y", "z"]):
+        payload["columns"][1]["data"] = data
+        with pytest.raises(InlineTableError):
+            inline_table(spark, payload)
+
+
+def test_session_keeps_every_csv(spark, tmpdir_csv):
+    write(os.path.join(tmpdir_csv, "a.csv"), "k\n1\n")
+    write(os.path.join(tmpdir_csv, "sales_combined.csv"), "k\n2\n")
+    assert list(read_session(spark, tmpdir_csv)) == ["a.csv", "sales_combined.csv"]
+
+
+def test_single_line_sessions_refuse_broken_records(spark, tmpdir_csv):
+    from confluo.errors import BrokenRecordError
+    from confluo.plans.homogenize import combine_session
+    write(os.path.join(tmpdir_csv, "my +file.csv"), 'k,v\n"x\ny",1\n')
+    mapping = {"k": {"my +file.csv": ["k"]}}
+    with pytest.raises(BrokenRecordError, match=r"my \+file.csv"):
+        combine_session(spark, tmpdir_csv, mapping)
+    out = combine_session(spark, tmpdir_csv, mapping, multi_line=True, source_col="src")
+    assert [tuple(r) for r in out.collect()] == [("x\ny", "my +file.csv")]
 
 
 def test_quote_all_and_round_trip(spark, tmpdir_csv):

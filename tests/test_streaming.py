@@ -10,7 +10,7 @@ from conftest import write
 def test_stream_homogenize_and_profile(spark, tmpdir_csv):
     src = os.path.join(tmpdir_csv, "in")
     os.makedirs(src)
-    write(os.path.join(src, "day1.csv"), "id,first,last,amt\n1,Ann,Lee,5\n2,,Kim,\n")
+    write(os.path.join(src, "day1.csv"), 'id,first,last,amt\n1,Ann,Lee,5\n2,,"Kim ""K"", jr",\n')
     write(os.path.join(src, "day2.csv"), "id,first,last,amt\n3,Bo,,NaN\n")
     stream = csv_stream(spark, src, ["id", "first", "last", "amt"])
     mapping = {"name": {"crm": ["first", "last"]}, "amount": {"crm": ["amt"]}}
@@ -20,7 +20,7 @@ def test_stream_homogenize_and_profile(spark, tmpdir_csv):
     q = start_parquet_sink(out, sink, ck, trigger_once=True)
     q.awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(sink).collect()))
-    assert got == [("Ann Lee", "5", "crm"), ("Bo", "NaN", "crm"), ("Kim", "", "crm")]
+    assert got == [("Ann Lee", "5", "crm"), ("Bo", "NaN", "crm"), ('Kim "K", jr', "", "crm")]
 
     prof = null_profile_stream(csv_stream(spark, src, ["id", "first", "last", "amt"]))
     q2 = prof.writeStream.outputMode("complete").format("memory").queryName("np_test").start()

@@ -70,7 +70,7 @@ def test_value_shape_matches_char_loop(spark):
 
 
 def test_shape_regex_and_conformance(spark):
-    assert shape_to_regex("[a-zA-Z]#[0-9]") == "^\\p{L}+\\Q#\\E\\p{N}+$"
+    assert shape_to_regex("[a-zA-Z]#[0-9]") == "^\\p{L}+\\Q#\\E\\p{N}+\\z"
     df = spark.createDataFrame([("Brand#1",), ("Brand#22",), ("x.y",), (None,)], "b string")
     dom = dominant_shapes(df, ["b"]).collect()[0]
     assert (dom.shape, dom.n) == ("[a-zA-Z]#[0-9]", 2)
@@ -79,3 +79,18 @@ def test_shape_regex_and_conformance(spark):
     pc2 = pattern_conformance(df, {"b": "y$"}).collect()[0]
     assert pc2.n_match == 1
     assert {(r.shape, r.n) for r in value_shapes(df, ["b"]).collect()} == {("[a-zA-Z]#[0-9]", 2), ("[a-zA-Z].[a-zA-Z]", 1)}
+
+
+def test_multi_letter_forms(spark):
+    import unicodedata
+    values = ["wait…", "½ cup™ № 5 ﬁne ﬂow", "…" * 50, "ﷺ", "a¼b¾c", "plain", "é…é"]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r.n for r in df.select(normalize_text(F.col("s")).alias("n")).collect()]
+    want = [" ".join(unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().lower().split()) for v in values]
+    assert got == want
+
+
+def test_conformance_does_not_take_a_last_newline(spark):
+    from confluo.functions.shapes import shape_to_regex
+    df = spark.createDataFrame([("ab1",), ("cd2",), ("ef3\n",)], "s string")
+    assert df.where(F.col("s").rlike(shape_to_regex("[a-zA-Z][0-9]"))).count() == 2
