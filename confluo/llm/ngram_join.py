@@ -242,8 +242,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     need = least_overlap(F.col("n_a"), F.col("n_b"), percent) - F.greatest(
         F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    enough = ((F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-              & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= need))
+    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    enough = fits & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= need)
 
     # step 1: the class with the fewest n-grams of its own, and the next in line
     line = Window.partitionBy("token").orderBy("lone", "sig")
@@ -261,19 +261,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = state.groupBy("comp").agg(F.count("*").alias("size"))
     state = written(state.join(sizes, "comp").select(
         "sig", "n", "p", "needs", "tokens", F.struct("size", "comp").alias("comp")), "join-state")
-    posted = state.select("sig", "comp", "needs", F.explode("tokens").alias("token"))
+    posted = state.select("sig", "n", "p", "comp", "needs", F.explode("tokens").alias("token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("length"), F.max("comp").alias("top"), F.min("comp").alias("low")) \
         .where("top != low").select("token", "length", "top")
-    opened = written(posted.join(lists, "token"), "join-open")
     # a partner is in at least ``needs`` of a class's open lists, so in one of the
     # (open - needs + 1) shortest
     own = Window.partitionBy("sig")
-    ask = opened.withColumn("place", F.row_number().over(own.orderBy("length", "token"))) \
-        .withColumn("open", F.count("*").over(own)) \
-        .where("place <= open - needs + 1 and comp != top").select("token", F.col("sig").alias("a"))
-    x = ask.join(side(state, "a", "comp"), "a")
-    y = opened.select(F.col("token").alias("token_b"), F.col("sig").alias("b")).join(side(state, "b", "comp"), "b")
-    across = x.join(y, (F.col("token") == F.col("token_b")) & (F.col("comp_a") < F.col("comp_b")) & enough) \
+    opened = written(posted.join(lists, "token").withColumn("open", F.count("*").over(own))
+                     .withColumn("place", F.row_number().over(own.orderBy("length", "token")))
+                     .where("open >= needs").drop("length"), "join-open")
+    x = opened.where("place <= open - needs + 1 and comp != top").select(
+        F.col("token").alias("token_a"), F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "p", "open", "comp")])
+    y = opened.select(
+        F.col("token").alias("token_b"), F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "p", "open", "comp")])
+    across = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("comp_a") < F.col("comp_b"))
+                    & (F.least("open_a", "open_b") >= need) & fits).select("a", "b").distinct()
+    shown = opened.groupBy("sig").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list("token").alias("tokens"))
+    across = across.join(side(shown, "a"), "a").join(side(shown, "b"), "b").where(enough) \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(across, texts, reps, width, percent, "second")
     found = components(links.union(more), "join-all")
