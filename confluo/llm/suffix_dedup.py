@@ -16,17 +16,19 @@ array, merge-scanned against the levels so far, and added as a new level;
 levels of equal size merge, so their sizes grow geometrically.  Only the first
 occurrence of a (key, context) enters, so a passage repeated in a third of all
 documents is one entry.  An entry whose whole context occurred before is
-settled; an entry that shares its key with other contexts is compared string by
-string, through hashes of the strings themselves.
+settled; entries that share a key but not the context are read again from the
+texts and compared string by string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -37,8 +39,6 @@ from confluo.llm.common import mix, powers, prefix_hashes, text_slices, written
 _SLICE = 1 << 19
 _NO_ID = -(1 << 63)
 _SALT = 0xA24BAED4963EE407
-#: Broadcast the strings to look up while they are at most this many.
-MOST_BROADCAST_ROWS = 500_000
 
 
 def _pieces(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,24 +97,44 @@ def suffix_entries(data: np.ndarray, off: np.ndarray, length: int, gram: int) ->
 
 def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``(key, id, place, context)`` of all sampled suffixes; place = first
-    byte << 32 | 24 bits of the text's checksum << 8 | number of strings."""
+    byte << 32 | 24 bits of the text's checksum << 8 | number of strings.
+    Of the entries of one key and context that a batch of rows holds, all but
+    the earliest are settled here: they go on with a null context and a key that
+    spreads them, so repeated passages do not pile up in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sums = batch.column(2).to_numpy(zero_copy_only=False)
+            held: list[tuple[np.ndarray, ...]] = []
             for top, data, off, base in _pieces(batch.column(1), length):
                 row, first, count, key, context = suffix_entries(data, off, length, gram)
-                if len(row):
-                    start = first - off[row] + base[row]
-                    place = (start << 32) | (sums[top + row] << 8) | count
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(ids[top + row]), pa.array(place), pa.array(context)],
-                        ["key", "id", "place", "context"])
+                start = first - off[row] + base[row]
+                held.append((key, ids[top + row], (start << 32) | (sums[top + row] << 8) | count, context))
+            if not held:
+                continue
+            key, ident, place, context = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((place, ident, context, key))
+            key, ident, place, context = key[order], ident[order], place[order], context[order]
+            _, known = _first_seen(key, ident, place, context)
+            spread = np.where(known, mix(place.view(np.uint64) + ident.view(np.uint64)).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spread), pa.array(ident), pa.array(place), pa.array(context, mask=known)],
+                ["key", "id", "place", "context"])
 
     return docs.mapInArrow(run, "key long, id long, place long, context long")
 
 
+def _first_seen(key: np.ndarray, ident: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in order of (key, context, id, place): which begin a (key,
+    context), and which have an earlier one before them.  Rows repeating an id
+    may tie in place: neither is earlier."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return new, ~new & ((ident != ident[head]) | ((place >> 32) != (place[head] >> 32)))
+
+
 class SuffixFamily:
     """Levels of sorted suffix entries; sizes grow by factors of two."""
 
@@ -127,12 +147,7 @@ class SuffixFamily:
         of this batch or earlier ones, that newly share a key with another context."""
         order = np.lexsort((place, ident, context, key))
         key, ident, place, context = key[order], ident[order], place[order], context[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-        # rows repeating an id may tie in place: neither is earlier
-        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        known = (~new & ((ident != ident[head]) | ((place >> 32) != (place[head] >> 32))))
-        new = new.copy()
+        new, known = _first_seen(key, ident, place, context)
         shared = np.zeros(len(key), bool)
         out = []
         both = mix(key.view(np.uint64) * np.uint64(_SALT) + context.view(np.uint64))
@@ -192,11 +207,14 @@ def _scanned(entries: DataFrame, batch_rows: int) -> DataFrame:
             nonlocal waiting, rows
             if not rows:
                 return
-            key, ident, place, context = (
-                np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in waiting]) for c in range(4))
+            t = pa.Table.from_batches(waiting)
             waiting, rows = [], 0
+            before = t.filter(pc.is_null(t.column(3)))
+            t = t.filter(pc.is_valid(t.column(3)))
+            key, ident, place, context = (t.column(c).to_numpy() for c in range(4))
             known, asked = family.scan(key, ident, place, context)
-            parts = [(key[known], ident[known], place[known], True), *[(*a, False) for a in asked]]
+            parts = [(*(before.column(c).to_numpy() for c in range(3)), True),
+                     (key[known], ident[known], place[known], True), *[(*a, False) for a in asked]]
             for k, i, p, settled in parts:
                 if len(k):
                     yield pa.RecordBatch.from_arrays(
@@ -214,33 +232,108 @@ def _scanned(entries: DataFrame, batch_rows: int) -> DataFrame:
         run, "key long, id long, place long, settled boolean")
 
 
-def _strings(asked: DataFrame, length: int) -> DataFrame:
-    """``(hash, id, sum, first)``: every string of the entries asked for,
-    read from ``asked (id, sum, text, places)``."""
+def _contexts(asked: DataFrame, length: int, as_strings: bool) -> DataFrame:
+    """What ``asked (id, sum, text, entries)`` is compared by: ``(key, id, sum,
+    first, bytes)``, the bytes that an entry's strings span, or a row for each
+    string with its hash as the key."""
+
+    names = ["key", "id", "sum", "first", "bytes"]
+
+    def spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
+        ids, sums = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, (ident, total) in enumerate(zip(ids, sums, strict=True)):
+            raw = None
+            for e in batch.column(3)[i].as_py():
+                place = e["place"]
+                if (place >> 8) & 0xFFFFFF == total:  # else another text of the same id
+                    raw = batch.column(2)[i].as_py().encode() if raw is None else raw
+                    first = place >> 32
+                    yield e["key"], ident, total, first, raw[first:first + (place & 0xFF) + length - 1]
+
+    def rows(some: list[tuple]) -> pa.RecordBatch:
+        key, ident, total, first, bytes_ = zip(*some, strict=True)
+        if not as_strings:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(total, pa.int64()),
+                 pa.array(first, pa.int64()), pa.array(bytes_, pa.binary())], names)
+        entry, step, h = string_hashes(list(bytes_), length)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(np.array(ident)[entry]), pa.array(np.array(total)[entry]),
+             pa.array(np.array(first)[entry] + step), pa.nulls(len(h), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sums = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            places = batch.column(3).to_pylist()
-            texts = batch.column(2).to_pylist()
-            for i, text in enumerate(texts):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                spans = [(x >> 32, x & 0xFF) for x in places[i] if (x >> 8) & 0xFFFFFF == sums[i]]
-                if not spans:
-                    continue
-                starts = np.unique(np.concatenate([np.arange(a, a + k) for a, k in spans]))
-                out = []
-                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4096) + 1):
-                    a, b = int(part[0]), int(part[-1]) + length
-                    up, down = powers(b - a)
-                    p = prefix_hashes(data[a:b], up)
-                    out.append(mix((p[part - a + length] - p[part - a]) * down[part - a]))
-                h = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), ids[i])),
-                     pa.array(np.full(len(h), sums[i])), pa.array(starts)], ["hash", "id", "sum", "first"])
-
-    return asked.mapInArrow(run, "hash long, id long, sum long, first long")
+            every = spans(batch)
+            while some := list(itertools.islice(every, 4096)):
+                yield rows(some)
+
+    return asked.mapInArrow(run, "key long, id long, sum long, first long, bytes binary")
+
+
+def string_hashes(spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(entry, step, hash)`` of every string of ``length`` bytes in the spans."""
+    sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    begin, count = np.cumsum(sizes) - sizes, sizes - length + 1
+    up, down = powers(len(data))
+    p = prefix_hashes(data, up)
+    entry = np.repeat(np.arange(len(spans)), count)
+    step = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[entry] + step
+    return entry, step, mix((p[at + length] - p[at]) * down[at])
+
+
+def later_strings(key: np.ndarray, ident: np.ndarray, first: np.ndarray, spans: list[bytes], length: int) -> tuple:
+    """The strings that occurred earlier among entries in order of key, id and
+    place, as ``(entry, first, last)`` of maximal runs."""
+    entry, step, h = string_hashes(spans, length)
+    h = h + mix(key.view(np.uint64))[entry]
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    start = first[entry] + step
+    # the same place of rows repeating an id is not earlier
+    later = np.zeros(len(h), bool)
+    later[order] = ~new & ((ident[entry[order]] != ident[entry[head]]) | (start[order] != start[head]))
+    k = np.flatnonzero(later)
+    if not len(k):
+        return k, k, k
+    cut = np.ones(len(k), bool)
+    cut[1:] = (entry[k[1:]] != entry[k[:-1]]) | (start[k[1:]] != start[k[:-1]] + 1)
+    i = np.flatnonzero(cut)
+    j = np.append(i[1:], len(k)) - 1
+    return entry[k[i]], start[k[i]], start[k[j]] + length
+
+
+def _compared(contexts: DataFrame, length: int, together: int = 20_000) -> DataFrame:
+    """``(id, sum, first, last)``: the runs of strings that occurred earlier,
+    key by key, about ``together`` entries at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, ident, total, first = (t.column(c).to_numpy() for c in range(4))
+            entry, a, b = later_strings(key, ident, first, t.column(4).to_pylist(), length)
+            if len(entry):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ident[entry], total[entry], a, b)],
+                                                 ["id", "sum", "first", "last"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            waiting = t if waiting is None else pa.concat_tables([waiting, t])
+            if waiting.num_rows >= together:
+                key = waiting.column(0).to_numpy()
+                n = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if n:
+                    yield from compare(waiting.slice(0, n))
+                    waiting = waiting.slice(n)
+        if waiting is not None and waiting.num_rows:
+            yield from compare(waiting)
+
+    return contexts.repartition("key").sortWithinPartitions("key", "id", "first").mapInArrow(
+        run, "id long, sum long, first long, last long")
 
 
 _KEPT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string, kept: string>"
@@ -273,14 +366,16 @@ def _cut(with_text: bool):
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32,
-                 batch_rows: int = 1 << 16, with_text: bool = False) -> DataFrame:
+                 batch_rows: int = 1 << 16, most_together: int = 50_000, with_text: bool = False) -> DataFrame:
     """One row per row of ``df``: ``(id, n_bytes, n_removed, n_spans,
     kept_sha256)`` and, on request, ``kept_text`` (a character cut in two is
     left out).
 
     Texts are UTF-8 bytes; null and empty ones have none.  A null id counts as
     smaller than any other.  Rows repeating an id and text get the same result:
-    the same place is not earlier.  Strings never cross texts.
+    the same place is not earlier.  Strings never cross texts.  Keys with more
+    than ``most_together`` contexts are compared through a shuffle of their
+    strings, so no task holds them.
     """
     checksum = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFFFF))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
@@ -288,14 +383,22 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("sum", checksum)
     scanned = written(_scanned(_entries(docs.select("id", "text", "sum"), length, gram), batch_rows), "suffix-scanned")
 
-    asked = written(scanned.where("not settled").groupBy("id").agg(F.collect_list("place").alias("places")), "suffix-asked")
-    n = asked.agg(F.sum(F.size("places")).alias("n")).first().n or 0
-    few = F.broadcast(asked) if n <= MOST_BROADCAST_ROWS else asked
-    strings = written(_strings(docs.join(few, "id").select("id", "sum", "text", "places"), length), "suffix-strings")
-    first = strings.groupBy("hash").agg(F.min(F.struct("id", "first")).alias("head"), F.max(F.struct("id", "first")).alias("tail")) \
-        .where("head != tail").select("hash", "head")
-    later = strings.join(first, "hash").where(F.struct("id", "first") != F.col("head")).select(
-        "id", "sum", "first", (F.col("first") + F.lit(length)).alias("last"))
+    asked = scanned.where("not settled")
+    often = written(asked.groupBy("key").count().where(F.col("count") > F.lit(most_together)).select("key"), "suffix-often")
+    usual = asked.join(often, "key", "left_anti") if often.limit(1).count() else asked
+
+    def read(entries: DataFrame, as_strings: bool) -> DataFrame:
+        each = entries.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("entries"))
+        return _contexts(docs.join(each, "id").select("id", "sum", "text", "entries"), length, as_strings)
+
+    later = _compared(read(usual, False), length)
+    if usual is not asked:
+        # a key with very many contexts: string by string, minima combined before the shuffle
+        strings = written(read(asked.join(often, "key", "left_semi"), True), "suffix-strings")
+        place = F.struct("id", "first")
+        heads = strings.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail")
+        later = later.union(strings.join(heads.select("key", "head"), "key").where(place != F.col("head")).select(
+            "id", "sum", "first", F.col("first") + F.lit(length)))
 
     start = F.shiftright("place", 32)
     whole = scanned.where("settled").select(

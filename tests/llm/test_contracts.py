@@ -106,6 +106,8 @@ def test_suffix_dedup(docs):
     assert got(suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     # small batches: many levels and merges
     assert got(suffix_dedup(docs, batch_rows=7), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    # keys with many contexts go another way
+    assert got(suffix_dedup(docs, most_together=1), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert got(suffix_dedup(docs, length=40, gram=16), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.cut(FIX.plain(), 40)
 
 
