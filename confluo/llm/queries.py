@@ -69,7 +69,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+    # passages of fifty words, whose first and last may be joined to other text
+    return near_duplicate_passages(table(spark, sf_dir, "documents"), least_words=48)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
