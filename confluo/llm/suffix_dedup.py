@@ -388,7 +388,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     usual = asked.join(often, "key", "left_anti") if often.limit(1).count() else asked
 
     def read(entries: DataFrame, as_strings: bool) -> DataFrame:
-        each = entries.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("entries"))
+        each = entries.groupBy("id").agg(F.collect_set(F.struct("key", "place")).alias("entries"))
         return _contexts(docs.join(each, "id").select("id", "sum", "text", "entries"), length, as_strings)
 
     later = _compared(read(usual, False), length)
@@ -404,9 +404,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = scanned.where("settled").select(
         "id", F.shiftright("place", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("sum"), start.alias("first"),
         (start + F.col("place").bitwiseAND(F.lit(0xFF)) + F.lit(length - 1)).alias("last"))
+    # a set: rows repeating an id and text repeat its spans
     spans = whole.union(later).groupBy(F.col("id").alias("of"), F.col("sum").alias("of_sum")).agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+        F.collect_set(F.struct("first", "last")).alias("spans"))
     out = docs.join(spans, (docs["id"] == spans["of"]) & (docs["sum"] == spans["of_sum"]), "left").select(
-        F.when(F.col("id") != F.lit(_NO_ID), F.col("id")).alias(id_col), _cut(with_text)("text", "firsts", "lasts").alias("x"))
+        F.when(F.col("id") != F.lit(_NO_ID), F.col("id")).alias(id_col), _cut(with_text)("text", "spans.first", "spans.last").alias("x"))
     more = [F.col("x.kept").alias("kept_text")] if with_text else []
     return out.select(id_col, "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256", *more)
