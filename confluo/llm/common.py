@@ -24,7 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read instead of a re-computation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` made, once nothing will read them."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -76,9 +86,13 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
             F.struct(F.col("p").alias("node"), F.col("m").alias("p")))).alias("x")).select("x.*")
         new = written(votes.groupBy("node").agg(F.min("p").alias("p")), f"{name}-{i}")
         moved = new.join(labels.withColumnRenamed("p", "was"), "node").where("p != was").limit(1).count()
+        release(labels)
         labels = new
         if not moved:
-            return labels.select("node", F.col("p").alias("component"))
+            release(both)
+            out = labels.select("node", F.col("p").alias("component"))
+            out.scratch = labels.scratch
+            return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
