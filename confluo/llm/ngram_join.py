@@ -31,6 +31,7 @@ from confluo.llm.common import (
     components,
     folding,
     mix,
+    release,
     separators_space,
     text_slices,
     word_hashes,
@@ -38,7 +39,7 @@ from confluo.llm.common import (
 )
 
 #: Bytes of text that a task turns into numbers at a time.
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _BLOCK = 1 << 14
 #: Ids of documents with a text to fetch: up to this many are broadcast (16 bytes each).
 MOST_BROADCAST_IDS = 500_000
@@ -167,7 +168,8 @@ def _entries(texts: DataFrame, width: int, percent: int, ranks: np.ndarray) -> D
 
 
 def _sets(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """``(sig, grams)`` of the classes in ``reps (sig, id)``."""
+    """``(sig, grams, brief)`` of the classes in ``reps (sig, id)``; ``brief``:
+    the distinct last 16 bits of the n-grams."""
     n = reps.count()
     wanted = reps.select("id").distinct()
     rows = texts.join(F.broadcast(wanted) if n <= MOST_BROADCAST_IDS else wanted, "id").select("text")
@@ -177,23 +179,40 @@ def _sets(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             sets = [g for g in shingle_sets(batch.column(0), width) if len(g)]
             if sets:
                 sigs = pa.array([signature(g) for g in sets], pa.int64())
-                off = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                grams = pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([sigs, grams], ["sig", "grams"])
+                brief = [np.unique(g.astype(np.uint16)).view(np.int16) for g in sets]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x)))
+                         for x in ([g.view(np.int64) for g in sets], brief)]
+                yield pa.RecordBatch.from_arrays([sigs, *lists], ["sig", "grams", "brief"])
 
-    return _in_tasks(rows, run, "sig long, grams array<long>").dropDuplicates(["sig"])
+    return _in_tasks(rows, run, "sig long, grams array<long>, brief array<smallint>").dropDuplicates(["sig"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that link, by their whole sets."""
+    """The pairs ``(a, b)`` of classes that link, by their whole sets.
+
+    First by the sets cut to 16 bits, a quarter of the size: two sets share no
+    more n-grams than their cut sets share values, plus what one of them lost
+    to equal values.  Few pairs that do not link get past that.
+    """
     pairs = written(pairs, f"join-{name}-pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = written(_sets(texts, written(reps.join(used, "sig"), f"join-{name}-reps"), width), f"join-{name}-sets")
-    left, right = sets.toDF("a", "grams_a"), sets.toDF("b", "grams_b")
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    whole = F.size("grams_a") + F.size("grams_b") - both
-    linked = pairs.join(left, "a").join(right, "b").where(F.lit(100) * both >= F.lit(percent) * whole)
-    return written(linked.select("a", "b"), f"join-{name}-links")
+    wanted = written(reps.join(used, "sig"), f"join-{name}-reps")
+    sets = written(_sets(texts, wanted, width), f"join-{name}-sets")
+    n, lost = F.size("grams").alias("n"), (F.size("grams") - F.size("brief")).alias("lost")
+
+    def linked(some: DataFrame, values: str) -> DataFrame:
+        left = sets.select(F.col("sig").alias("a"), F.struct(n, lost, F.col(values).alias("v")).alias("x"))
+        right = sets.select(F.col("sig").alias("b"), F.struct(n, lost, F.col(values).alias("v")).alias("y"))
+        both = F.size(F.array_intersect("x.v", "y.v"))
+        if values == "brief":
+            both = both + F.least("x.lost", "y.lost")
+        return some.join(left, "a").join(right, "b").where(
+            F.lit(100) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - both)).select("a", "b")
+
+    near = written(linked(pairs, "brief"), f"join-{name}-near")
+    links = written(linked(near, "grams"), f"join-{name}-links")
+    release(pairs, wanted, sets, near)
+    return links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
@@ -265,22 +284,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = posted.groupBy("token").agg(F.count("*").alias("length"), F.max("comp").alias("top"), F.min("comp").alias("low")) \
         .where("top != low").select("token", "length", "top")
     # a partner is in at least ``needs`` of a class's open lists, so in one of the
-    # (open - needs + 1) shortest
+    # (open - needs + 1) shortest.  All classes take their lists in the same order:
+    # at the first list that a pair shares, both have enough lists left for what the
+    # pair needs, so it can be passed over wherever one of them has not.
     own = Window.partitionBy("sig")
     opened = written(posted.join(lists, "token").withColumn("open", F.count("*").over(own))
                      .withColumn("place", F.row_number().over(own.orderBy("length", "token")))
                      .where("open >= needs").drop("length"), "join-open")
     x = opened.where("place <= open - needs + 1 and comp != top").select(
-        F.col("token").alias("token_a"), F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "p", "open", "comp")])
+        F.col("token").alias("token_a"), F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "p", "open", "place", "comp")])
     y = opened.select(
-        F.col("token").alias("token_b"), F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "p", "open", "comp")])
+        F.col("token").alias("token_b"), F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "p", "open", "place", "comp")])
+    left = F.least(F.col("open_a") - F.col("place_a"), F.col("open_b") - F.col("place_b")) + 1
     across = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("comp_a") < F.col("comp_b"))
-                    & (F.least("open_a", "open_b") >= need) & fits).select("a", "b").distinct()
+                    & (left >= need) & fits).select("a", "b").distinct()
     shown = opened.groupBy("sig").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list("token").alias("tokens"))
     across = across.join(side(shown, "a"), "a").join(side(shown, "b"), "b").where(enough) \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(across, texts, reps, width, percent, "second")
+    release(shared, classes, state, opened, found)
     found = components(links.union(more), "join-all")
+    release(links, more)
 
     known = reps.join(found.withColumnRenamed("node", "sig"), "sig", "left") \
         .withColumn("component", F.coalesce("component", "sig"))
