@@ -20,6 +20,7 @@ that a large group of near copies is never paired off completely:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,6 +138,11 @@ def _entries(texts: DataFrame, width: int, percent: int, ranks: np.ndarray) -> D
     """Prefix entries ``(token, sig, info)``, info = n << 32 | prefix length."""
     packed, counters = ranks.tobytes(), len(ranks)
 
+    def rows(tokens: list, sigs: list, infos: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sigs)),
+             pa.array(np.concatenate(infos))], ["token", "sig", "info"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = np.frombuffer(packed, np.uint8), set()
         for batch in batches:
@@ -159,10 +165,11 @@ def _entries(texts: DataFrame, width: int, percent: int, ranks: np.ndarray) -> D
                 tokens.append(g[order[:prefix]])
                 sigs.append(np.full(prefix, sig))
                 infos.append(np.full(prefix, (n << 32) | prefix, np.int64))
+                if len(tokens) == 1024:
+                    yield rows(tokens, sigs, infos)
+                    tokens, sigs, infos = [], [], []
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sigs)),
-                     pa.array(np.concatenate(infos))], ["token", "sig", "info"])
+                yield rows(tokens, sigs, infos)
 
     return _in_tasks(texts, run, "token long, sig long, info long")
 
@@ -176,8 +183,8 @@ def _sets(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [g for g in shingle_sets(batch.column(0), width) if len(g)]
-            if sets:
+            every = (g for g in shingle_sets(batch.column(0), width) if len(g))
+            while sets := list(itertools.islice(every, 1024)):
                 sigs = pa.array([signature(g) for g in sets], pa.int64())
                 brief = [np.unique(g.astype(np.uint16)).view(np.int16) for g in sets]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x)))
