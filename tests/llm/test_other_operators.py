@@ -132,6 +132,24 @@ def test_align_cuts_away_chance_matches():
     assert [r[:4] for r in align(x, y, 46, 0.8)] == [(100, 179, 40, 119)]
 
 
+@pytest.mark.parametrize("in_x, in_y", [(20, None), (None, 10), (20, 10)])
+def test_align_keeps_a_passage_whose_phrase_also_stands_before_it(in_x, in_y):
+    for repeated in range(47):
+        x, y = np.arange(1000, 1200, dtype=np.int64), np.arange(5000, 5200, dtype=np.int64)
+        x[100:147] = y[60:107] = np.arange(47)
+        for z, place in ((x, in_x), (y, in_y)):
+            if place is not None:
+                z[place] = repeated
+        assert [r[:4] for r in align(x, y, 44, 0.8)] == [(100, 146, 60, 106)]
+
+
+def test_align_finds_every_place_of_a_passage():
+    x, y = np.arange(1000, 1300, dtype=np.int64), np.arange(5000, 5300, dtype=np.int64)
+    x[120:167] = y[60:107] = y[190:237] = np.arange(47)
+    assert sorted(r[:4] for r in align(x, y, 44, 0.8)) == [(120, 166, 60, 106), (120, 166, 190, 236)]
+    assert [r[:4] for r in align(x[:80] * 0, y[:80] * 0, 44, 0.8)] == [(0, 79, 0, 79)]
+
+
 def test_passages_finds_repeats_in_all_documents(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
