@@ -112,6 +112,27 @@ def test_toxicity_without_labels(spark):
     assert df.select(toxicity.score(weights, F.col("text")).alias("s")).where("s >= 0.5").count() == 0
 
 
+@pytest.mark.parametrize("shared", [40, 50])
+def test_passages_of_templates_with_one_opening(spark, shared):
+    """Every later copy is reported with an earlier copy of its own template."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    opening = [word() for _ in range(shared)]
+    templates = [opening + [word() for _ in range(60 - shared)] for _ in range(5)]
+    kinds = [k for k in range(5) for _ in range(12)]
+    rng.shuffle(kinds)
+    rows, at = [], []
+    for i, k in enumerate(kinds):
+        w = [word() for _ in range(rng.randrange(50, 150))]
+        at.append(rng.randrange(len(w)))
+        w[at[i]:at[i]] = templates[k]
+        rows.append((i, " ".join(w)))
+    out = near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"), least_words=48).collect()
+    whole = {r.doc_id for r in out if kinds[r.doc_id] == kinds[r.other_id]
+             and r.first_word <= at[r.doc_id] and r.last_word >= at[r.doc_id] + 59}
+    assert whole == {i for i in range(60) if kinds[i] in kinds[:i]}
+
+
 def test_compact_windows_partition_the_passages():
     """Each passage of enough n-grams lies in exactly one window of an order."""
     rng = np.random.default_rng(1)
