@@ -5,18 +5,19 @@ must be served before slot ceil((k + 1) / w).  Serving the released block with
 the earliest deadline in every slot keeps each source within less than one
 block of its weighted share at every prefix (Baruah et al., 1996).
 
-Weights are multiples of 1 / cycle, so after one cycle every source has had
-exactly its share and the schedule repeats: one cycle's slots, computed once,
-place any number of blocks.  When a source ends, its weight is shared out among
-the rest and a new kind of cycle begins; the cycle in which sources end serves
-what they have left.  The plan on the driver holds one row per source and kind
-of cycle, never a document.
+Releases and deadlines are reckoned in whole numbers from the exact weights, so
+nothing is rounded and nothing adds up over a long mix.  When a source ends,
+its weight is shared out among the rest and the count begins anew.  One task
+goes through all blocks, a step of a heap each, and holds one entry per source,
+never a document.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,8 @@ from confluo.llm.common import number_within, written
 
 #: The source name that null sources go by inside the operator.
 _NO_SOURCE = "\x00null"
+#: Blocks that the schedule hands on at once.
+_PART = 1 << 16
 
 
 def quotas(weights: dict[str, float], cycle: int) -> dict[str, int]:
@@ -86,6 +89,40 @@ def earliest_deadline_first(shares: list[tuple[str, int]]) -> Iterator[tuple[str
             heapq.heappush(waiting, ((k + 1) * length // shares[i][1], i, k + 1))
 
 
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = max((w.denominator for w in exact.values()), default=1)  # powers of two
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def schedule(sources: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
+    """The service of ``(source, share, blocks)``: (source, block, release,
+    deadline, slot) for every block.  A source that ends leaves its weight to
+    the rest, whose releases and deadlines count from that slot on."""
+    left = [n for _, _, n in sources]
+    done = [0] * len(sources)
+    slot = 0
+    while any(left):
+        live = [i for i, n in enumerate(left) if n]
+        total, start, base = sum(sources[i][1] for i in live), slot, list(done)
+        waiting = [(start, i) for i in live]  # release, source
+        ready: list[tuple[int, int, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                release, i = heapq.heappop(waiting)
+                k = done[i] - base[i]
+                heapq.heappush(ready, (start - (-(k + 1) * total // sources[i][1]), i, release))
+            deadline, i, release = heapq.heappop(ready)
+            yield sources[i][0], done[i], release, deadline, slot
+            slot += 1
+            done[i] += 1
+            left[i] -= 1
+            if not left[i]:
+                break
+            heapq.heappush(waiting, (start + (done[i] - base[i]) * total // sources[i][1], i))
+
+
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
                 source_col: str = "source", block_rows: int = 32, cycle: int = 1024,
                 power: float = 0.7) -> DataFrame:
@@ -94,7 +131,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, id_col:
     Returns one row per input row: ``(id, source, weight, block, release,
     deadline, slot, row_in_block)``; reading by ``(slot, row_in_block)`` gives
     the mix, and every prefix of whole blocks holds each source to within less
-    than one block of its share while no source has ended.  ``weights`` maps
+    than one block of its share (``weight``) while no source has ended; ``cycle``
+    is kept for callers, the schedule has no cycles.  ``weights`` maps
     every source to its target weight (default: its number of rows to the
     ``power``, which lifts small sources).  A source's rows come in a hash order
     of their ids.  All rows are placed, each once; a null source is a source of
@@ -118,32 +156,19 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, id_col:
             raise ValueError(f"no positive weight for sources {wrong}")
         share = {s: given[s] for s in counts}
     total = sum(share.values())
-    kinds = cycle_kinds({s: -(-n // block_rows) for s, n in counts.items()}, share, cycle)
-    plan = spark.createDataFrame(
-        [(k["kind"], k["times"], k["slot"], k["length"], k["sources"]) for k in kinds],
-        "kind long, times long, first_slot long, length long, "
-        "sources array<struct<s string, quota long, first_block long>>")
+    whole = whole_shares(share)
+    # whole numbers go as text: they may exceed 64 bits
+    plan = spark.createDataFrame([([(s, str(whole[s]), -(-n // block_rows)) for s, n in sorted(counts.items())],)],
+                                 "sources array<struct<s string, share string, blocks long>>")
 
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                shares = [(x["s"], x["quota"]) for x in row.sources]
-                out = pd.DataFrame(earliest_deadline_first(shares),
-                                   columns=["s", "j", "slot", "release", "deadline"])
-                first = {x["s"]: (x["quota"], x["first_block"]) for x in row.sources}
-                out["quota"] = [first[s][0] for s in out["s"]]
-                out["first_block"] = [first[s][1] for s in out["s"]]
-                yield out.assign(times=row.times, first_slot=row.first_slot, length=row.length)
-
-    places = plan.repartition("kind").mapInPandas(
-        serve, "s string, j long, slot long, release long, deadline long, quota long, "
-               "first_block long, times long, first_slot long, length long")
-    places = places.withColumn("turn", F.explode(F.expr("sequence(0L, times - 1L)")))
-    start = F.col("first_slot") + F.col("turn") * F.col("length")
-    places = places.select(
-        "s", (F.col("first_block") + F.col("turn") * F.col("quota") + F.col("j")).alias("block"),
-        (start + F.col("release")).alias("release"), (start + F.col("deadline")).alias("deadline"),
-        (start + F.col("slot")).alias("slot"))
+            for sources in batch["sources"]:
+                served = schedule([(x["s"], int(x["share"]), x["blocks"]) for x in sources])
+                while part := list(itertools.islice(served, _PART)):
+                    yield pd.DataFrame(part, columns=["s", "block", "release", "deadline", "slot"])
+
+    places = plan.mapInPandas(serve, "s string, block long, release long, deadline long, slot long")
     known = spark.createDataFrame([(s, w / total) for s, w in share.items()], "s string, weight double")
     return (numbered.join(places.join(known, "s"), ["s", "block"])
             .select(F.col("id").alias(id_col),

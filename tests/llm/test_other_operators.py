@@ -1,6 +1,7 @@
 """Mixing, toxicity, passages, the pipeline, and awkward tables for all operators."""
 
 import collections
+import itertools
 import random
 
 import brute
@@ -15,7 +16,7 @@ from confluo.llm import toxicity
 from confluo.llm.decontaminate import contamination, decontaminated
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.licenses import scan_licenses
-from confluo.llm.mixing import cycle_kinds, earliest_deadline_first, mix_sources, mixed, quotas
+from confluo.llm.mixing import cycle_kinds, earliest_deadline_first, mix_sources, mixed, quotas, schedule, whole_shares
 from confluo.llm.ngram_join import jaccard_components, without_near_copies
 from confluo.llm.passages import align, compact_windows, near_duplicate_passages
 from confluo.llm.pii import find_pii
@@ -55,6 +56,37 @@ def test_cycles_serve_every_block_once():
     assert sum(quotas({"a": 0.9, "b": 0.1}, 10).values()) == 10
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, dict.fromkeys("abcdefghijklmnopqrst", 1.0),
+                                     {"a": 0.35004, "b": 0.0002, "c": 0.64976}, {"a": 1e-9, "b": 0.1, "c": 1e6}])
+def test_schedule_follows_the_weights_over_many_cycles(weights):
+    total, served = sum(weights.values()), dict.fromkeys(weights, 0)
+    sources = [(s, n, 1 << 40) for s, n in whole_shares(weights).items()]
+    for t, (s, k, release, deadline, slot) in enumerate(itertools.islice(schedule(sources), 40_000), 1):
+        assert (slot, k) == (t - 1, served[s]) and release <= slot < deadline
+        served[s] += 1
+        assert all(abs(served[x] - w * t / total) < 1 for x, w in weights.items())
+
+
+def test_schedule_serves_every_block_once():
+    out = list(schedule([("a", 1, 1000), ("b", 2, 7), ("c", 3, 90), ("d", 1, 0)]))
+    assert [x[4] for x in out] == list(range(1097)) and all(r <= t < d for _, _, r, d, t in out)
+    for s, n in (("a", 1000), ("b", 7), ("c", 90), ("d", 0)):
+        assert [k for x, k, *_ in out if x == s] == list(range(n))
+
+
+def test_mix_keeps_a_small_source_to_its_weight(spark):
+    df = spark.range(40_000).selectExpr("id as doc_id", "if(id < 200, 's', if(id < 15000, 'a', 'b')) as source")
+    weights = {"a": 0.35004, "b": 0.6497, "s": 0.0002}
+    # the returned weight holds at every prefix, the first block of the small source included
+    out = mix_sources(df, weights, block_rows=1).where("source = 's' and block < 5").collect()
+    weight = out[0].weight
+    assert weight == pytest.approx(0.0002, rel=1e-3)
+    first_end = 14_800 / 0.35004
+    for r in out:
+        if r.slot < first_end - 2:
+            assert abs(r.block + 1 - weight * (r.slot + 1)) < 1 and abs(r.block - weight * r.slot) < 1
+
+
 def test_mix_places_every_row_and_follows_the_weights(spark):
     rows = [(i, "t", "big" if i % 3 else "mid" if i % 2 else "low") for i in range(3000)]
     weights = {"big": 0.2, "mid": 0.3, "low": 0.5}
