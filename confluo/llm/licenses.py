@@ -10,6 +10,8 @@ earlier rule, wins.  DataFrame expressions only.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("gpl", "gnu general public license"), ("apache", "apache license"),
         ("cc-by", "cc by"), ("mit", "mit license"))
 
-#: Families: label, keyword, names (regexes on words), versions, SPDX words.
+#: Families: label, keyword (every name holds it), names (regexes on words), versions, SPDX words.
 FAMILIES = (
     ("gpl", "gpl", ("gpl", "gplv[23]"), ("2 0", "3 0", "2", "3"), "gpl"),
     ("gpl", "gnu", ("gnu general public license", "gnu gpl"), ("2 0", "3 0", "2", "3"), "gpl"),
@@ -36,7 +38,8 @@ FAMILIES = (
     ("mit", "mit", ("mit license", "mit licence", "mit x11 license"), (), "mit"),
     ("isc", "isc", ("isc license", "isc licence"), (), "isc"),
     ("bsd", "bsd", ("(?:[234] clause )?bsd license", "(?:new|modified|simplified|revised) bsd license",
-                    "bsd licence", "berkeley software distribution license"), ("2 clause", "3 clause", "4 clause"), "bsd"),
+                    "bsd licence"), ("2 clause", "3 clause", "4 clause"), ""),
+    ("bsd", "berkeley", ("berkeley software distribution license",), ("2 clause", "3 clause", "4 clause"), "bsd"),
     ("mpl", "mozilla", ("mozilla public license",), ("1 0", "1 1", "2 0"), "mpl"),
     ("epl", "eclipse", ("eclipse public license",), ("1 0", "2 0"), "epl"),
     ("edl", "eclipse", ("eclipse distribution license",), ("1 0",), ""),
@@ -48,7 +51,8 @@ FAMILIES = (
     ("boost", "boost", ("boost software license",), ("1 0",), "bsl"),
     ("unlicense", "unlicense", ("unlicense", "the unlicense"), (), "unlicense"),
     ("wtfpl", "wtfpl", ("wtfpl",), ("2",), "wtfpl"),
-    ("python", "python", ("python software foundation license", "psf license"), ("2",), "psf"),
+    ("python", "python", ("python software foundation license",), ("2",), ""),
+    ("python", "psf", ("psf license",), ("2",), "psf"),
     ("php", "php", ("php license",), ("3 0", "3 01"), "php"),
     ("ofl", "open font", ("sil open font license",), ("1 0", "1 1"), "ofl"),
     ("odbl", "open data", ("open database license", "open data commons open database license"), ("1 0",), "odbl"),
@@ -64,7 +68,8 @@ FAMILIES = (
     ("osl", "open software", ("open software license",), ("2 1", "3 0"), "osl"),
     ("upl", "universal permissive", ("universal permissive license",), ("1 0",), "upl"),
     ("vim", "vim", ("vim license",), (), "vim"),
-    ("cc-by", "cc by", ("cc by", "ccby"), ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by"),
+    ("cc-by", "cc by", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0"), ""),
+    ("cc-by", "ccby", ("ccby",), ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by"),
     ("cc-by-sa", "cc by sa", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by sa"),
     ("cc-by-nc", "cc by nc", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by nc"),
     ("cc-by-nd", "cc by nd", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by nd"),
@@ -89,14 +94,14 @@ SENTENCES = (
     ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 3, 0.95),
     ("public-domain", "public domain", "public domain", 1, 0.6),
     ("proprietary", "rights reserved", "all rights reserved", 1, 0.5),
-    ("proprietary", "permission", "no part of this (?:work|publication|document) may be reproduced", 3, 0.9),
+    ("proprietary", "be reproduced", "no part of this (?:work|publication|document) may be reproduced", 3, 0.9),
     ("unlicense", "public domain", "this is free and unencumbered software released into the public domain", 4, 1.0),
 )
 
-#: What a text must hold for any rule to run (every keyword above holds one of these,
-#: or is a family name that appears with one of them).
-ROOTS = ("licen", "gpl", "agpl", "cc0", "public domain", "rights reserved", "permission is", "permission to",
-         "redistribution and", "may be reproduced", "creative", "wtfpl", "ccby", "spdx")
+#: What a text must hold for any rule to run, words with any separators between
+#: them: whatever a rule's regex matches holds one of these.
+ROOTS = ("licen", "gpl", "cc0", "public domain", "rights reserved", "permission is", "permission to",
+         "redistribution and", "be reproduced", "creative", "wtfpl", "ccby", "cc by")
 
 
 def signature_rules() -> list[dict]:
@@ -145,9 +150,9 @@ def license_detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     low = F.lower(text)
     gate = F.lit(False)
     for root in ROOTS:
-        gate = gate | F.contains(low, F.lit(root))
-    gate = gate | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by"))
-                   & low.rlike(rf"cc{SEPARATORS}by"))
+        words = root.split()
+        holds = reduce(and_, [F.contains(low, F.lit(w)) for w in words])
+        gate = gate | (holds & low.rlike(SEPARATORS.join(words)) if len(words) > 1 else holds)
     ascii_low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     line = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_low, SEPARATORS, " ")), F.lit(" ")))
     rows = df.select(

@@ -1,7 +1,10 @@
 """The contract queries' operators against brute force, on hand-made texts."""
 
 import hashlib
+import itertools
 import random
+from re import _constants as sre
+from re import _parser as parser
 
 import brute
 import llm_fixtures as FIX
@@ -59,6 +62,42 @@ def test_licenses(docs):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in labels.values())
 
 
+def spelled(regex):
+    """Every text that one of the rules' regexes matches."""
+    def options(node):
+        op, arg = node
+        if op is sre.LITERAL:
+            return [chr(arg)]
+        if op is sre.IN:
+            return [chr(c) for _, c in arg]
+        if op is sre.SUBPATTERN:
+            return texts(arg[-1])
+        if op is sre.BRANCH:
+            return [t for b in arg[1] for t in texts(b)]
+        if op is sre.MAX_REPEAT:
+            return [""] * (arg[0] == 0) + texts(arg[2])
+        assert op is sre.ASSERT
+        return [""]
+
+    def texts(nodes):
+        return ["".join(t) for t in itertools.product(*map(options, nodes))]
+    return texts(parser.parse(regex))
+
+
+def test_every_license_rule_runs_whatever_separates_its_words(spark):
+    rules = signature_rules()
+    shortest = {}
+    for r in rules:
+        texts = sorted(spelled(r["regex"]), key=len)
+        assert all(r["keyword"] in t for t in texts), r
+        shortest[r["rule"]] = {texts[0], texts[-1], *texts[1:6]}
+    rows = [(i, t.replace(" ", by).title() if by == "-" else t.replace(" ", by))
+            for i, ts in shortest.items() for t in ts for by in ("\n", "-", "  ")]
+    found = license_detections(spark.createDataFrame(rows, "doc_id long, text string"))
+    hit = found.where("rule = id and first = 0 and last = n_words").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in hit} == {i: 3 * len(t) for i, t in shortest.items()}
+
+
 def test_license_suppression_keeps_what_nothing_better_contains(docs):
     rules = {r["rule"]: r for r in signature_rules()}
     assert len(rules) > 200
