@@ -89,7 +89,7 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      "before: string, after: string>>)")
     # which of the costly patterns need to run at all
     digits = F.col("text").rlike("[0-9]{2}")
-    runs = {"ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": digits, "national_id": digits, "iban": digits,
+    runs = {"ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike(r"[0-9][\x20-]?[0-9]"), "national_id": digits, "iban": digits,
             "local_phone": digits, "birth_date": digits,
             "secret": F.col("text").rlike(r"[A-Za-z0-9_/+]{20}")}
     runs |= {k: F.contains(F.col("text"), F.lit(v)) for k, v in _GATES.items()}

@@ -167,6 +167,15 @@ def test_pii(docs):
         assert [s for s in spans.split(",") if s.split(":")[0] in brute.KINDS] == want[i][5]
 
 
+def test_pii_card_of_single_digits(spark):
+    rows = [(1, "card 4 5 3 2 0 1 5 1 1 2 8 3 0 3 6 6 end"), (2, "4-5-3-2-0-1-5-1-1-2-8-3-0-3-6-6"), (3, "1 a 2"),
+            (4, "4 5 3 2 0 1 5 1 1 2 8 3 0 3 6 7")]
+    want = brute.personal(rows)
+    assert want[1][2] == want[2][2] == 1 and want[4][2] == 0
+    out = find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {i: w[:5] for i, w in want.items()}
+
+
 def test_contamination(spark, docs):
     plain = FIX.plain()
     items = [("a", " ".join(plain[24][1].split()[45:75])), ("b", "the"), ("c", None), ("d", ""), ("e", "MIT License"),
