@@ -98,10 +98,77 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes; reads ``crc_table(t)``."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform("
+            f"regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, b:
+      CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i)))"""
+
+
+def _framed(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _levels(tree: str, of: str) -> str:
+    """All levels of the trees whose first levels are ``of (tree, k, nodes)``."""
+    return f"""{tree}(tree, k, nodes) AS (
+  SELECT tree, 0, nodes FROM {of}
+  UNION ALL
+  SELECT tree, k + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], '')))
+  FROM {tree} WHERE len(nodes) > 1)"""
+
+
+def _siblings(place: str) -> str:
+    """Left and right siblings at each level, as text with a bar between."""
+    at = f"({place} // pow(3, k)::BIGINT)"
+    start = f"({at} // 3 * 3)"
+    return (f"array_to_string(nodes[{start} + 1:{at}], '') || '|' || array_to_string(nodes[{at} + 2:{start} + 3], '')")
+
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+    {_leaf("CASE WHEN " + _crc32('doc_id::VARCHAR') + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS shown,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM documents, crc_table),
+leaves AS (SELECT tree, list(leaf ORDER BY place) AS nodes FROM d GROUP BY tree),
+{_levels('lower_levels', 'leaves')},
+subroots AS (SELECT tree, nodes[1] AS subroot FROM lower_levels WHERE len(nodes) = 1),
+tops AS (SELECT 0 AS tree, list(subroot ORDER BY tree) AS nodes FROM subroots),
+{_levels('upper_levels', 'tops')},
+root AS (SELECT nodes[1] AS root FROM upper_levels WHERE len(nodes) = 1),
+steps AS (
+  SELECT doc_id, k, {_siblings('place')} AS s FROM d JOIN lower_levels l ON l.tree = d.tree WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 1000 + k, {_siblings('d.tree')} FROM d, upper_levels u WHERE len(u.nodes) > 1),
+paths AS (SELECT doc_id, list(s ORDER BY k) AS path FROM steps GROUP BY doc_id),
+folded AS (
+  SELECT d.*, coalesce(path, []) AS path, list_reduce(list_prepend(shown, coalesce(path, [])),
+    lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root
+  FROM d LEFT JOIN paths USING (doc_id))
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree), root
+"""
+
 ORACLE: dict[str, str] = {
     "op1_sharding": _OP1,
     "op5_ngram_join": _OP5,
     "op6_exact_dedup": _OP6,
     "op7_suffix_dedup": _OP7,
     "op10_decontamination": _OP10,
+    "op11_merkle": _OP11,
 }

@@ -12,6 +12,7 @@ from confluo.llm.common import table
 from confluo.llm.decontaminate import contamination
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.licenses import scan_licenses
+from confluo.llm.merkle import fold, leaf_digest, merkle_proofs, path_digest
 from confluo.llm.mixing import mix_sources
 from confluo.llm.ngram_join import jaccard_components
 from confluo.llm.passages import near_duplicate_passages
@@ -77,8 +78,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    # what a verifier is shown: of every second document by hash, a text without its line ends
+    damaged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(damaged, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = merkle_proofs(docs, columns=columns, carry={
+        "shown_leaf": leaf_digest([shown if c == "text" else F.col(c) for c in columns])})
+    out = proofs.withColumn("folded_root", fold(F.col("shown_leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licenses, op3_mixing, op4_toxicity, op5_ngram_join, op6_exact_dedup,
-        op7_suffix_dedup, op8_pii, op9_passages, op10_decontamination)
+        op7_suffix_dedup, op8_pii, op9_passages, op10_decontamination, op11_merkle)
 }
