@@ -164,6 +164,33 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 FROM folded JOIN subroots USING (tree), root
 """
 
+_OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+hashed AS (SELECT r, {_crc32("doc_id || ':' || r")} AS h FROM runs, crc_table WHERE length(r) >= 6),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed),
+v AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+shorter AS (SELECT DISTINCT g.word AS x, v.word AS y FROM gaps g JOIN v ON v.word = g.a || g.b),
+near AS (
+  SELECT x.word, y.word AS w FROM gaps x JOIN gaps y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT x, y FROM shorter UNION ALL SELECT y, x FROM shorter),
+best AS (
+  SELECT near.word, count(*) AS n_near, min_by(w, (-v.n, w)) AS w, max(v.n) AS m FROM near JOIN v ON v.word = near.w GROUP BY near.word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN w END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL
+"""
+
 ORACLE: dict[str, str] = {
     "op1_sharding": _OP1,
     "op5_ngram_join": _OP5,
@@ -171,4 +198,5 @@ ORACLE: dict[str, str] = {
     "op7_suffix_dedup": _OP7,
     "op10_decontamination": _OP10,
     "op11_merkle": _OP11,
+    "op12_variants": _OP12,
 }

@@ -19,6 +19,7 @@ from confluo.llm.passages import near_duplicate_passages
 from confluo.llm.pii import find_pii
 from confluo.llm.sharding import shard_rows
 from confluo.llm.suffix_dedup import suffix_dedup
+from confluo.llm.variants import spelling_variants
 
 #: The number of shards of the sharding query and the pipeline.
 SHARDS = 40
@@ -91,8 +92,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, damage=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licenses, op3_mixing, op4_toxicity, op5_ngram_join, op6_exact_dedup,
-        op7_suffix_dedup, op8_pii, op9_passages, op10_decontamination, op11_merkle)
+        op7_suffix_dedup, op8_pii, op9_passages, op10_decontamination, op11_merkle,
+        op12_variants)
 }
