@@ -11,6 +11,7 @@ from confluo.llm import toxicity
 from confluo.llm.common import table
 from confluo.llm.decontaminate import contamination
 from confluo.llm.exact_dedup import exact_dedup
+from confluo.llm.fingerprints import as_text, edited_neighbours
 from confluo.llm.licenses import scan_licenses
 from confluo.llm.merkle import fold, leaf_digest, merkle_proofs, path_digest
 from confluo.llm.mixing import mix_sources
@@ -96,9 +97,15 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, damage=199)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_neighbours(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("samples")).alias("fingerprint"),
+                      as_text(F.col("edited_samples")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licenses, op3_mixing, op4_toxicity, op5_ngram_join, op6_exact_dedup,
         op7_suffix_dedup, op8_pii, op9_passages, op10_decontamination, op11_merkle,
-        op12_variants)
+        op12_variants, op13_fingerprints)
 }
