@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -133,3 +134,117 @@ def contaminated(rows, items, width):
                     hit[k:k + n] = [1] * n
         out[i] = (len(w), sum(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), sum(hit) > 0)
     return out
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, fan=3):
+    """rows: (doc_id, source, lang, n_chars, text), unique ids.  doc_id -> the contract's columns."""
+    def leaf(r):
+        return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest(*out[-1][i:i + fan]) for i in range(0, len(out[-1]), fan)])
+        return out
+
+    def path(up, i):
+        for nodes in up[:-1]:
+            start = i // fan * fan
+            yield nodes[start:i], nodes[i + 1:start + fan]
+            i //= fan
+
+    first = lambda v, none: (0, none) if v is None else (1, v)
+    groups = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: first(r[0], 0)):
+        groups[r[1]].append(r)
+    order = sorted(groups, key=lambda s: first(None if s is None else s.encode(), b""))
+    trees = {s: levels([leaf(r) for r in groups[s]]) for s in order}
+    top = levels([trees[s][-1][0] for s in order]) if order else []
+    out = {}
+    for k, s in enumerate(order):
+        for i, r in enumerate(groups[s]):
+            steps = [*path(trees[s], i), *path(top, k)]
+            damaged = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None
+            node = leaf((*r[:4], r[4].replace("\n", ""))) if damaged else leaf(r)
+            for left, right in steps:
+                node = digest(*left, node, *right)
+            out[r[0]] = (leaf(r), trees[s][-1][0], top[-1][0], digest(*(x for a, b in steps for x in a + b)), node, node == top[-1][0])
+    return out
+
+
+def damaged_words(rows, damage):
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            yield run[:h % len(run)] + run[h % len(run) + 1:] if damage and h % damage == 0 else run
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def variants(rows, least_length=6, least_count=5, ratio=5, damage=199):
+    counts = collections.Counter(w for w in damaged_words(rows, damage) if len(w) >= least_length)
+    counts = {w: n for w, n in counts.items() if n >= least_count}
+    form, n_near = {}, {}
+    for w, n in counts.items():
+        close = [x for x in counts if abs(len(x) - len(w)) < 2 and near(w, x)]
+        n_near[w] = len(close)
+        best = min(close, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best and counts[best] >= ratio * n else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (counts[w], n_near[w], form[w], counts.get(form[w]), root)
+    return out
+
+
+def edits(rows):
+    """doc_id -> (n_chars, edited text, next doc_id), unique ids."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        t, (j, after) = t or "", rows[(k + 1) % len(rows)]
+        n = len(t) // 3
+        out[i] = (len(t), t[:len(t) - n] + (after or "")[:n], j)
+    return out
+
+
+def weights(text):
+    return collections.Counter(w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w)
+
+
+def generalised_jaccard(a, b):
+    a, b = weights(a), weights(b)
+    if not a or not b:
+        return float(a == b)
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def sample_keys(text, samples):
+    """(term hash, occurrences, keys) of each word, from Spark's hash functions as xxhash has them."""
+    import xxhash
+    signed = lambda x: x - (x >> 63 << 64)
+    part = lambda bits, shift: ((bits >> shift & 0xFFFFFFFF) + 0.5) * 2.0 ** -32
+    for word, n in weights(text).items():
+        term = xxhash.xxh64_intdigest(word.encode(), 42)
+        seed = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), 42)
+        keys = []
+        for k in range(samples):
+            first, second = (xxhash.xxh64_intdigest((2 * k + i).to_bytes(4, "little"), seed) for i in (0, 1))
+            u1, u2 = part(first, 0), part(first, 32)
+            r, b = -math.log(u1 * u2), math.log(u2) / math.log(u1 * u2)
+            c = -math.log(part(second, 0) * part(second, 32))
+            t = math.floor(math.log(n) / r + b)
+            keys.append(c / (math.exp(r * (t - b)) * math.exp(r)))  # as the method has it
+        yield signed(term), n, keys
