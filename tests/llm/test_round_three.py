@@ -85,6 +85,7 @@ def words_corpus(seed=4):
     base += ["".join(rng.choice("abcdeé") for _ in range(rng.choice([6, 7, 8]))) for _ in range(60)]
     weight = [5 ** rng.randrange(0, 4) for _ in base]
     rows = [(i, " ".join(rng.choices(base, weight, k=120)) + rng.choice([" ", "\n", ", x1y ", "Aaaaaaa-"])) for i in range(60)]
+    rows.append((59, " ".join(["chainsab"] * 5 + ["chainsa"] * 30 + ["chains"] * 200 + ["chaixs"] * 6 + ["bchains"] * 200)))
     return rows + [(60, None), (61, ""), (None, "harbour harbour"), (62, "Ab" * 400), (62, "Ab" * 400)]
 
 
@@ -99,6 +100,7 @@ def test_variants_match_brute_force(spark, damage):
     got = variant_rows(V.spelling_variants(df, damage=damage))
     assert got == brute.variants(rows, damage=damage)
     assert sum(v[2] is not None for v in got.values()) > 3 and any(v[4] != (v[2] or k) for k, v in got.items())
+    assert damage or (got["chainsab"][2:] == ("chainsa", 30, "chains") and got["chains"][1:3] == (3, None))
 
 
 def test_variants_do_not_depend_on_the_filter(spark):
