@@ -40,7 +40,7 @@ BLOCK_BYTES = 32
 #: Words of this length and longer share one shard.
 LONGEST = 255
 #: Blocks that one row of the filter holds while it is built.
-SEGMENT = 4096
+SEGMENT = 256
 
 
 def words_of(text: Column, doc_id: Column, least_length: int, damage: int | None) -> Column:
