@@ -28,6 +28,8 @@ from confluo.llm.common import written
 
 #: Places of a fingerprint.  The likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
+#: Places whose smallest keys one row of the aggregation holds.
+LANES = 8
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -36,10 +38,10 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + F.lit(0.5)) * F.lit(2.0 ** -width)
 
 
-def sample_key(term: Column, n: Column, place: int) -> Column:
+def sample_key(term: Column, n: Column, place: Column) -> Column:
     """The key a of a term (a 64-bit hash) that occurs n times, at a place."""
-    first = F.xxhash64(term, F.lit(2 * place))
-    second = F.xxhash64(term, F.lit(2 * place + 1))
+    first = F.xxhash64(term, place * 2)
+    second = F.xxhash64(term, place * 2 + 1)
     u1, u2 = _uniform(first, 0, 32), _uniform(first, 32, 32)
     c = -F.ln(_uniform(second, 0, 32) * _uniform(second, 32, 32))
     t = F.floor((F.ln(u2) - F.ln(n)) / F.ln(u1 * u2))
@@ -51,20 +53,25 @@ def weighted_samples(rows: DataFrame, keys: list[str], text: str, samples: int =
     ``keys`` tell apart, as an array of ``samples`` 32-bit numbers, all 0 for a
     text without words.  Words are runs between blanks, as they are spelled.
 
-    One aggregation counts a row's terms, one takes the smallest keys; where
-    the rows lie partitioned by some of ``keys`` neither moves any.
+    One aggregation counts a row's terms, one takes the smallest keys, one
+    collects the places; where the rows lie partitioned by some of ``keys`` none
+    of them moves any.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     each = rows.select(*keys, F.explode(words).alias("w"))
     # an empty word (of an empty text, or beside leading and trailing blanks) is no term
     each = each.select(*keys, F.when(F.col("w") != "", F.xxhash64("w")).alias("term"))
     terms = each.groupBy(*keys, "term").agg(F.count("term").alias("n"))
-    smallest = terms.groupBy(*keys).agg(*[
-        F.min(F.when(F.col("term").isNotNull(), sample_key(F.col("term"), F.col("n"), k))).alias(f"s{k}")
-        for k in range(samples)])
-    codes = [F.coalesce(F.when(F.col(f"s{k}").isNotNull(), F.xxhash64(f"s{k}")).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
-             for k in range(samples)]
-    return smallest.select(*keys, F.array(*codes).alias("samples"))
+    # a group of places at a time, so that the compiled aggregation stays small
+    parts = terms.select(*keys, "term", "n", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // LANES))).alias("part"))
+    present = F.col("term").isNotNull()
+    smallest = parts.groupBy(*keys, "part").agg(*[
+        F.min(F.when(present, sample_key(F.col("term"), F.col("n"), F.col("part") * LANES + i))).alias(f"s{i}")
+        for i in range(LANES)])
+    codes = [F.coalesce(F.when(F.col(f"s{i}").isNotNull(), F.xxhash64(f"s{i}")).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
+             for i in range(LANES)]
+    whole = smallest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", F.array(*codes).alias("codes")))).alias("p"))
+    return whole.select(*keys, F.slice(F.flatten("p.codes"), 1, samples).alias("samples"))
 
 
 def as_text(samples: Column) -> Column:

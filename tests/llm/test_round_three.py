@@ -142,7 +142,7 @@ def test_fingerprints_are_consistent_weighted_samples(spark):
     got = by_id(weighted_samples(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], "text", 8))
     terms = [(i, term, n, keys) for i, t in rows for term, n, keys in brute.sample_keys(t, 8)]
     df = spark.createDataFrame(terms, "i long, term long, n long, want array<double>")
-    keys = df.select("i", "want", F.array(*[sample_key(F.col("term"), F.col("n"), k) for k in range(8)]).alias("got"))
+    keys = df.select("i", "want", F.array(*[sample_key(F.col("term"), F.col("n"), F.lit(k)) for k in range(8)]).alias("got"))
     assert np.allclose(*zip(*[(r.want, r.got) for r in keys.collect()], strict=True), rtol=1e-9, atol=0)
     # a place holds the hash of the smallest key
     least = keys.groupBy("i").agg(*[F.xxhash64(F.min(F.col("got")[k])).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(8)])
