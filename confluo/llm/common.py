@@ -37,6 +37,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """``df`` with each row in one column ``row`` and further columns beside it,
+    so that no name of ``df`` meets one used inside; ``row.*`` gives it back."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

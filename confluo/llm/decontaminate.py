@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm.common import folding, separators_word, text_slices, written
+from confluo.llm.common import folding, separators_word, text_slices, whole_rows, written
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _HITS = "struct<n_words: bigint, words: array<int>, items: array<string>, spans: array<struct<first: int, last: int>>>"
@@ -130,7 +130,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                   **options) -> DataFrame:
     """One row per row of ``df``: ``(id, n_words, n_hit, n_items, items_sha256,
     contaminated, spans)``.  Rows repeating an id are reported each."""
-    found = benchmark_hits(df.select(F.col(id_col), F.col(text_col)), benchmark, text_col, **options)
+    found = benchmark_hits(df.select(F.col(id_col), F.col(text_col).alias("text")), benchmark, "text", **options)
     hit = F.size("__hits.words").cast("long")
     return found.select(
         id_col, F.col("__hits.n_words").alias("n_words"), hit.alias("n_hit"),
@@ -141,5 +141,6 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, columns as they are, without a word of any test item's window."""
-    found = benchmark_hits(df, benchmark, text_col, **options)
-    return found.where(F.size("__hits.words") == 0).drop("__hits")
+    rows = whole_rows(df, text=df[text_col])
+    found = benchmark_hits(rows, benchmark, "text", **options)
+    return found.where(F.size("__hits.words") == 0).select("row.*")

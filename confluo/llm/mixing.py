@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo.llm.common import number_within, written
+from confluo.llm.common import number_within, whole_rows, written
 
 #: The source name that null sources go by inside the operator.
 _NO_SOURCE = "\x00null"
@@ -31,64 +31,6 @@ _NO_SOURCE = "\x00null"
 _PART = 1 << 16
 
 
-def quotas(weights: dict[str, float], cycle: int) -> dict[str, int]:
-    """Blocks of each source in a cycle: largest remainders, at least one each."""
-    total = sum(weights.values())
-    exact = {s: w / total * cycle for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    spare = cycle - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s)):
-        if spare <= 0:
-            break
-        out[s] += 1
-        spare -= 1
-    return out
-
-
-def cycle_kinds(blocks: dict[str, int], weights: dict[str, float], cycle: int) -> list[dict]:
-    """The kinds of cycle that serve all blocks, in order: quotas, how often
-    the cycle runs, its first slot, and each source's first block in it."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    slot, kinds = 0, []
-
-    def add(q: dict[str, int], times: int) -> None:
-        nonlocal slot
-        kinds.append({"kind": len(kinds), "times": times, "slot": slot, "length": sum(q.values()),
-                      "sources": [(s, n, done[s]) for s, n in sorted(q.items())]})
-        slot += times * sum(q.values())
-        for s, n in q.items():
-            done[s] += times * n
-            left[s] -= times * n
-            if not left[s]:
-                del left[s]
-
-    while left:
-        q = quotas({s: weights[s] for s in left}, max(cycle, len(left)))
-        times = min(left[s] // n for s, n in q.items())
-        if times:
-            add(q, times)
-        if left:
-            add({s: min(n, left[s]) for s, n in q.items() if s in left}, 1)
-    return kinds
-
-
-def earliest_deadline_first(shares: list[tuple[str, int]]) -> Iterator[tuple[str, int, int, int, int]]:
-    """One cycle's service: (source, block of the cycle, slot, release, deadline)."""
-    length = sum(n for _, n in shares)
-    waiting = [(0, i, 0) for i in range(len(shares))]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int, int]] = []
-    for slot in range(length):
-        while waiting and waiting[0][0] <= slot:
-            release, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * length // shares[i][1]), i, k, release))
-        deadline, i, k, release = heapq.heappop(ready)
-        yield shares[i][0], k, slot, release, deadline
-        if k + 1 < shares[i][1]:
-            heapq.heappush(waiting, ((k + 1) * length // shares[i][1], i, k + 1))
-
-
 def whole_shares(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the ratio of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -124,15 +66,13 @@ def schedule(sources: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, in
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
-                source_col: str = "source", block_rows: int = 32, cycle: int = 1024,
-                power: float = 0.7) -> DataFrame:
+                source_col: str = "source", block_rows: int = 32, power: float = 0.7) -> DataFrame:
     """The place of every row in the mix.
 
     Returns one row per input row: ``(id, source, weight, block, release,
     deadline, slot, row_in_block)``; reading by ``(slot, row_in_block)`` gives
     the mix, and every prefix of whole blocks holds each source to within less
-    than one block of its share (``weight``) while no source has ended; ``cycle``
-    is kept for callers, the schedule has no cycles.  ``weights`` maps
+    than one block of its share (``weight``) while no source has ended.  ``weights`` maps
     every source to its target weight (default: its number of rows to the
     ``power``, which lifts small sources).  A source's rows come in a hash order
     of their ids.  All rows are placed, each once; a null source is a source of
@@ -181,21 +121,17 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, id_col: str =
           source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, all columns, laid out in the order of the mix: range
     partitions of slots, sorted inside, so files written from it read as the mix.
-    Rows equal in id, source and text are interchangeable."""
-    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    marked = df.withColumn("__key", key)
-    same = Window.partitionBy("__key").orderBy(id_col)
-    light = marked.select(id_col, source_col, "__key")
+    Rows equal in id, source and text are interchangeable; nulls and the empty
+    table are as in :func:`mix_sources`."""
+    marked = whole_rows(df, id=df[id_col], source=df[source_col],
+                        key=F.xxhash64(df[id_col], df[source_col], df[text_col]))
+    same = Window.partitionBy("key").orderBy("id")
+    light = marked.select("id", "source", "key")
     # several rows may share an id: the schedule numbers rows, not ids
-    light = light.withColumn("__copy", F.row_number().over(same))
-    tagged = light.select(F.struct("__key", "__copy").alias("__row"), source_col, id_col)
-    plan = mix_sources(
-        tagged.select(F.to_json("__row").alias("__id"), F.col(source_col).alias("__source")),
-        weights, "__id", "__source", **options)
-    plan = plan.select(F.from_json("__id", "__key long, __copy int").alias("r"), "slot", "row_in_block") \
-        .select(F.col("r.__key").alias("__key"), F.col("r.__copy").alias("__nth"),
-                F.col("slot").alias("__slot"), F.col("row_in_block").alias("__place"))
-    rows = marked.withColumn("__copy", F.row_number().over(same))
-    placed = rows.join(plan, (rows["__key"] == plan["__key"]) & (rows["__copy"] - plan["__nth"] == 0))
-    return (placed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place")
-            .select(*[rows[c] for c in df.columns]))
+    light = light.withColumn("copy", F.row_number().over(same))
+    plan = mix_sources(light.select(F.to_json(F.struct("key", "copy")).alias("id"), "source"), weights, "id", "source", **options)
+    plan = plan.select(F.from_json("id", "key long, copy int").alias("r"), "slot", "row_in_block") \
+        .select(F.col("r.key").alias("of"), F.col("r.copy").alias("nth"), "slot", "row_in_block")
+    rows = marked.withColumn("copy", F.row_number().over(same))
+    placed = rows.join(plan, (F.col("key") == F.col("of")) & (F.col("copy") - F.col("nth") == 0))
+    return placed.repartitionByRange("slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("row.*")

@@ -35,6 +35,7 @@ from confluo.llm.common import (
     release,
     separators_space,
     text_slices,
+    whole_rows,
     word_hashes,
     written,
 )
@@ -328,11 +329,11 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     the one with the smallest id, and of rows repeating that id one.  Rows without
     n-grams stay unless they repeat an id; rows without an id all stay."""
     groups = jaccard_components(df, id_col, text_col, width, percent)
-    keep = written(groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__keep")).count(),
+    keep = written(groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("keep")).count(),
                    "join-keep")
-    out = df.join(keep.select("__keep"), F.col(id_col) == F.col("__keep"), "left").where(
-        F.col("__keep").isNotNull() | F.col(id_col).isNull())
+    rows = whole_rows(df, id=df[id_col], tie=F.xxhash64(df[text_col]))
+    out = rows.join(keep.select("keep"), F.col("id") == F.col("keep"), "left").where("keep is not null or id is null")
     if keep.where("count > 1").limit(1).count():  # rows repeating an id: one of them
-        order = Window.partitionBy("__keep").orderBy(F.xxhash64(text_col))
-        out = out.withColumn("__nth", F.row_number().over(order)).where("__keep is null or __nth = 1")
-    return out.select(*df.columns)
+        order = Window.partitionBy("keep").orderBy("tie")
+        out = out.withColumn("nth", F.row_number().over(order)).where("keep is null or nth = 1")
+    return out.select("row.*")

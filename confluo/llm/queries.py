@@ -39,11 +39,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def is_held_out(id_col: str) -> F.Column:
-    """Rows whose labels are never learned from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows whose labels are never learned from; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity_weights(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
+def toxicity_weights(docs: DataFrame, labels: DataFrame) -> dict[int | None, float]:
     """The classifier of the query and the pipeline, from rows not held out."""
     return toxicity.fit(docs.where(~is_held_out("doc_id")), labels.where(~is_held_out("doc_id")))
 

@@ -3,7 +3,9 @@
 import random
 
 #: Columns whose names the operators also return or use inside.
-CLASHES = ["shard", "slot", "keep_id", "score", "n", "sig", "block", "text_sha256", "uid", "kind", "weight", "source"]
+CLASHES = ["shard", "slot", "keep_id", "score", "n", "sig", "block", "text_sha256", "uid", "kind", "weight", "source",
+           "__key", "__copy", "__keep", "__hits", "__score", "row", "id", "key", "copy", "keep", "tie", "nth", "slot_", "words", "bucket",
+           "tree", "place", "size", "digest", "carried", "path", "group", "root", "leaf", "samples", "word"]
 SCHEMA = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES if c != "source")
 
 

@@ -16,7 +16,7 @@ from confluo.llm import toxicity
 from confluo.llm.decontaminate import contamination, decontaminated
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.licenses import scan_licenses
-from confluo.llm.mixing import cycle_kinds, earliest_deadline_first, mix_sources, mixed, quotas, schedule, whole_shares
+from confluo.llm.mixing import mix_sources, mixed, schedule, whole_shares
 from confluo.llm.ngram_join import jaccard_components, without_near_copies
 from confluo.llm.passages import align, compact_windows, near_duplicate_passages
 from confluo.llm.pii import find_pii
@@ -29,36 +29,9 @@ def empty(spark):
     return FIX.documents(spark, [])
 
 
-@pytest.mark.parametrize("shares", [[("a", 1)], [("a", 3), ("b", 1)], [("a", 500), ("b", 300), ("c", 223), ("d", 1)],
-                                    [(str(i), 1 + i * i % 17) for i in range(40)]])
-def test_pfair_deviation_is_below_one_block(shares):
-    total = sum(n for _, n in shares)
-    served = dict.fromkeys(dict(shares), 0)
-    for t, (s, k, slot, release, deadline) in enumerate(earliest_deadline_first(shares), 1):
-        assert (slot, k) == (t - 1, served[s]) and release <= slot < deadline
-        served[s] += 1
-        assert all(abs(served[x] - n * t / total) < 1 for x, n in shares)
-    assert served == dict(shares)
-
-
-def test_cycles_serve_every_block_once():
-    blocks = {"a": 1000, "b": 7, "c": 90, "d": 0}
-    kinds = cycle_kinds(blocks, {"a": 1.0, "b": 2.0, "c": 3.0, "d": 1.0}, 64)
-    served = collections.Counter()
-    slot = 0
-    for k in kinds:
-        assert k["slot"] == slot
-        for s, quota, first in k["sources"]:
-            assert served[s] == first
-            served[s] += quota * k["times"]
-        slot += k["times"] * k["length"]
-    assert served == {"a": 1000, "b": 7, "c": 90}
-    assert sum(quotas({"a": 0.9, "b": 0.1}, 10).values()) == 10
-
-
 @pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 2 / 3}, dict.fromkeys("abcdefghijklmnopqrst", 1.0),
                                      {"a": 0.35004, "b": 0.0002, "c": 0.64976}, {"a": 1e-9, "b": 0.1, "c": 1e6}])
-def test_schedule_follows_the_weights_over_many_cycles(weights):
+def test_schedule_deviates_by_less_than_one_block(weights):
     total, served = sum(weights.values()), dict.fromkeys(weights, 0)
     sources = [(s, n, 1 << 40) for s, n in whole_shares(weights).items()]
     for t, (s, k, release, deadline, slot) in enumerate(itertools.islice(schedule(sources), 40_000), 1):
@@ -91,7 +64,7 @@ def test_mix_places_every_row_and_follows_the_weights(spark):
     rows = [(i, "t", "big" if i % 3 else "mid" if i % 2 else "low") for i in range(3000)]
     weights = {"big": 0.2, "mid": 0.3, "low": 0.5}
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mix_sources(df, weights, block_rows=4, cycle=100).collect()
+    out = mix_sources(df, weights, block_rows=4).collect()
     assert sorted(r.doc_id for r in out) == list(range(3000))
     assert {r.doc_id: r.source for r in out} == {i: s for i, _, s in rows}
     at = {}
@@ -137,11 +110,65 @@ def test_held_out_toxicity(spark):
     assert r.tp / r.p > 0.95 and r.tp / r.t > 0.75  # a tenth of what a cluster run learns from
 
 
-def test_toxicity_without_labels(spark):
-    df = FIX.hard(spark)
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    weights = toxicity.fit(df, none)
-    assert df.select(toxicity.score(weights, F.col("text")).alias("s")).where("s >= 0.5").count() == 0
+def toxic_texts(n=300, share=0.2, seed=3):
+    """(doc_id, text, toxic): toxic texts hold some of ten telling words."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(150)}" for _ in range(30)]
+        toxic = rng.random() < share
+        rows.append((i, " ".join(words + [f"bad{rng.randrange(4)}" for _ in range(3 * toxic)]), int(toxic)))
+    return rows
+
+
+def scores(df, weights):
+    return {r.doc_id: r.s for r in df.select("doc_id", toxicity.score(weights, F.col("text")).alias("s")).collect()}
+
+
+NO_LESSON = {"none": [], "null": [(None, 1), (1, None)], "absent ids": [(i, i % 2) for i in range(10_000, 10_020)],
+             "negative only": [(i, 0) for i in range(20)], "absent positives": [(i, 0) for i in range(20)] + [(20_000, 1)]}
+
+
+@pytest.mark.parametrize("labels", NO_LESSON)
+def test_labels_that_teach_nothing_leave_every_text_clean(spark, labels):
+    df = FIX.documents(spark, [(i, t, None) for i, t, _ in toxic_texts(40)])
+    weights = toxicity.fit(df, spark.createDataFrame(NO_LESSON[labels], "doc_id long, toxic int"))
+    assert weights == toxicity.NOTHING and max(scores(df, weights).values()) < 1e-9
+
+
+def test_all_rows_confirmed_leave_nothing_to_tell_apart(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert toxicity.fit(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) == toxicity.NOTHING
+
+
+@pytest.mark.parametrize("kind", ["both kinds", "positive only"])
+def test_toxicity_from_labels_of_both_kinds_and_of_one(spark, kind):
+    rows = toxic_texts(900)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = [(i, y) for i, _, y in rows if i % 2 and (y or kind == "both kinds")]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    got = scores(df, toxicity.fit(df, labels, prior=None if kind == "both kinds" else 0.2))
+    right = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i % 2 == 0]
+    assert np.mean(right) > 0.97
+
+
+def test_toxicity_of_awkward_rows(spark):
+    """Nulls in every column, repeated rows and labels, empty and very long texts, clashing names."""
+    rows = [(i, t, None) for i, t, _ in toxic_texts(400)] + [(None, None, None), (None, "bad1 bad2", None), (1000, None, None),
+            (1001, "", None), (1002, "bad1 " * 300_000 + "bad2 bad3", None), (1003, "w1 " * 400_000, None)]
+    df = FIX.documents(spark, rows + rows[:50])
+    labels = spark.createDataFrame([(i, y) for i, _, y in toxic_texts(400) for _ in range(2)] + [(None, 1), (3, None)],
+                                   "doc_id long, toxic int")
+    weights = toxicity.fit(df, labels)
+    out = df.select("doc_id", "text", toxicity.score(weights, F.col("text")).alias("s")).collect()
+    assert len(out) == len(rows) + 50 and all(0 <= r.s <= 1 for r in out)
+    by_text = {}
+    for r in out:
+        assert by_text.setdefault(r.text or "", r.s) == r.s  # equal texts, null and empty ones too, score alike
+    # a word counts once, however often it stands
+    assert by_text["bad1 " * 300_000 + "bad2 bad3"] == by_text.get("bad1 bad2 bad3", by_text["bad1 " * 300_000 + "bad2 bad3"]) >= 0.5
+    assert by_text["w1 " * 400_000] < 0.5 and by_text[""] < 0.5
+    assert df.limit(0).select(toxicity.score(weights, F.col("text"))).count() == 0
 
 
 @pytest.mark.parametrize("shared", [40, 50])
@@ -270,6 +297,21 @@ def test_pipeline_stages_keep_the_columns(spark):
         docs = out
 
 
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path_factory):
+    """Clashing columns, nulls and repeated rows go through every stage; no rows give no rows."""
+    for name, df in (("hard", FIX.hard(spark)), ("empty", FIX.documents(spark, []))):
+        sf = str(tmp_path_factory.mktemp(name))
+        df.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(10, 1), (11, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == df.columns
+        assert corpus_pipeline.run(spark, sf).count() == docs.count()
+        assert docs.count() > 30 if name == "hard" else docs.count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage's decisions over what its predecessor kept."""
     from confluo.llm.queries import op4_toxicity
