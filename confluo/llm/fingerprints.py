@@ -10,7 +10,8 @@ their generalised Jaccard similarity, sum(min(w, w')) / sum(max(w, w')).
 
 From uniform u1, u2 come r = -ln(u1 u2) and b = ln u2 / ln(u1 u2), which are
 independent, Gamma(2, 1) and uniform.  Then r (1 - b) = -ln u1, so that
-a = c u1 (u1 u2) ** t, and a term that occurs once has t = 0: one logarithm.
+a = c u1 (u1 u2) ** t, where t = 0 just for u1 < 1 / w: always for a term that
+occurs once, which takes one logarithm.
 
 The smallest key itself stands for the sample (term, t): it is a function of
 both, and distinct samples have distinct keys but for chance.  DataFrame
@@ -45,7 +46,8 @@ def sample_key(term: Column, n: Column, place: Column) -> Column:
     u1, u2 = _uniform(first, 0, 32), _uniform(first, 32, 32)
     c = -F.ln(_uniform(second, 0, 32) * _uniform(second, 32, 32))
     t = F.floor((F.ln(u2) - F.ln(n)) / F.ln(u1 * u2))
-    return c * u1 * F.when(n == 1, F.lit(1.0)).otherwise(F.pow(u1 * u2, t.cast("double")))
+    # t is 0 just where -ln u1 > ln n
+    return c * u1 * F.when(u1 * n < 1.0, F.lit(1.0)).otherwise(F.pow(u1 * u2, t.cast("double")))
 
 
 def weighted_samples(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -115,7 +117,12 @@ def _buckets(df: DataFrame, bucket_rows: int, most_cuts: int) -> tuple[Column, C
     by_tie = (F.lit(1.0) - F.col("tie") / F.lit(2.0 ** 63)) / 2
     span = max([parts, *(k + parts for _, k in repeated), 1 + nulls // bucket_rows]) + 1
     tie_part = lambda k: F.least(F.floor(by_tie * k), F.lit(k - 1))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>"), lambda c: c > F.col("id")))
+    # the cell, counted from the greatest ids, by a look at every step-th cut and at the cuts of one step
+    step = math.isqrt(len(cuts)) + 1
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    not_above = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("id")))
+    steps = not_above(array(cuts[step::step])) * step
+    cell = len(cuts) - steps - not_above(F.slice(array(cuts), steps + 1, step))
     part = F.lit(0)
     if parts > 1:
         ends = F.array(*map(F.lit, [cuts[-1] + 1, *reversed(cuts)]))
