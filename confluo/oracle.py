@@ -363,8 +363,9 @@ ORACLE = {
                      + ", ".join(f"({_q(f)})" for f in SESSION_FILES.values()) + ") x(file)",
     "session_columns": session_catalogue_sql(),
     "session_homogenize": SESSION_HOMOGENIZE_SQL,
-    "session_homogenize_row_id": f"SELECT source_file, count(*) AS n_rows, count(*) AS n_ids FROM ({SESSION_HOMOGENIZE_SQL}) "
-                                 "GROUP BY source_file",
+    "session_homogenize_row_id": "SELECT 'customer list.csv' AS source_file, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, "
+        "c_name AS name FROM customer UNION ALL SELECT 'supplier_combined.csv', row_number() OVER (ORDER BY s_suppkey) - 1, s_name "
+        "FROM supplier UNION ALL SELECT 'part.csv', row_number() OVER (ORDER BY p_partkey) - 1, p_brand || ' ' || p_name FROM part",
     "session_recommend_names": name_recommendations_sql(70, session_catalogue_sql()),
     "session_recommend_values": tfidf_sql(_BY_FILE, False, 0.3, SESSION_FILES),
     "session_report_nulls": null_profile_sql(HOMOGENIZE_SQL, COMBINED),

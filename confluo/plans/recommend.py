@@ -7,30 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from confluo.operators.names import RECOMMEND_THRESHOLD, name_recommendations
 from confluo.operators.sampling import DEFAULT_SEED, hash_sample
 from confluo.operators.values import SIMILARITY_THRESHOLD, column_similarity
-from confluo.sources.catalogue import header_catalogue
-from confluo.sources.csv import read_session, refuse_broken_records, session_files
+from confluo.errors import NoTablesError
+from confluo.session import run_concurrently
+from confluo.sources.csv import session_files
+from confluo.sources.headers import session_headers
+from confluo.sources.records import scan_csv
 
 
-def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECOMMEND_THRESHOLD,
-                    multi_line: bool = False) -> DataFrame:
+def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECOMMEND_THRESHOLD) -> DataFrame:
     """Name-based recommendations; only headers are read (no data scan)."""
-    tables = read_session(spark, session_dir, multi_line)
-    return name_recommendations(header_catalogue(spark, tables), threshold)
+    return name_recommendations(session_headers(spark, session_dir), threshold)
 
 
 def recommend_values(spark: SparkSession, session_dir: str, threshold: float = SIMILARITY_THRESHOLD,
                      sample_fraction: float | None = None, seed: int = DEFAULT_SEED,
-                     normalize: bool = False, multi_line: bool = False) -> DataFrame:
+                     normalize: bool = False) -> DataFrame:
     """Value-based recommendations over all column pairs of different files.
 
     All rows are compared; ``sample_fraction`` asks for a sample by row hash
-    instead (the same rows on every run and partitioning).  Files are read
-    single-line (splittable) unless ``multi_line``; a file with quoted newlines
-    is then refused.
+    instead (the same rows on every run and partitioning).  Files are read in
+    parallel within, records over several lines included.
     """
-    if not multi_line:
-        refuse_broken_records(spark, [p for _, p in session_files(spark, session_dir)])
-    tables = read_session(spark, session_dir, multi_line)
+    files = session_files(spark, session_dir)
+    if not files:
+        raise NoTablesError(f"no CSV files in {session_dir}")
+    read = run_concurrently(lambda f: scan_csv(spark, f[1]), files)
+    tables = {f: df for (f, _), df in zip(files, read)}
     if sample_fraction is not None:
         tables = {f: hash_sample(df, None, sample_fraction, seed) for f, df in tables.items()}
     return column_similarity(tables, None, threshold, normalize)

@@ -19,7 +19,9 @@ from confluo.sources.catalogue import header_catalogue
 from confluo.plans.homogenize import combine_session, homogenize_session
 from confluo.plans.recommend import recommend_names, recommend_values
 from confluo.plans.session import preview_file, report_for_file
-from confluo.sources.csv import find_file, list_csv_files, read_csv, read_session
+from confluo.sources.csv import find_file, list_csv_files, read_csv
+from confluo.sources.headers import session_headers
+from confluo.sources.records import scan_csv
 from confluo.sources.sinks import preview, write_csv, write_csv_file
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -245,8 +247,7 @@ def q_distinct_headers(spark, sf_dir):
 def q_csv_multiline_documents(spark, sf_dir):
     """Whole document texts (with newlines and quotes) through CSV and back."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    path = write_csv(docs, scratch_path(spark, "documents-csv"))
-    return read_csv(spark, path, multi_line=True, escape='"')
+    return scan_csv(spark, write_csv_file(docs, scratch_path(spark, "documents.csv")))
 
 
 def q_csv_single_line(spark, sf_dir):
@@ -275,7 +276,7 @@ def q_session_files(spark, sf_dir):
 
 
 def q_session_columns(spark, sf_dir):
-    return header_catalogue(spark, read_session(spark, _session(spark, sf_dir)))
+    return session_headers(spark, _session(spark, sf_dir))
 
 
 def q_session_homogenize(spark, sf_dir):
@@ -284,8 +285,7 @@ def q_session_homogenize(spark, sf_dir):
 
 def q_session_homogenize_row_id(spark, sf_dir):
     combined = combine_session(spark, _session(spark, sf_dir), SESSION_MAPPING, source_col="source_file", row_id_col="row_id")
-    return combined.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_file", "row_id").alias("n_ids"))
+    return combined.repartition("name").select("source_file", "row_id", "name")
 
 
 def q_session_recommend_names(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 Every column is read as ``string`` (no inference).  ``multi_line=True``
 honours quoted newlines but makes a file one split; ``multi_line=False`` is
-splittable and parallel within a file — use it for large clean files.
+splittable, for files without them.  ``records.scan_csv`` does both.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.errors import (AmbiguousFileError, BrokenRecordError, FileNotFound, HeaderCollisionError,
-                            NoTablesError)
+from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionError, NoTablesError
 from confluo.session import run_concurrently
 
 
@@ -75,19 +74,6 @@ def source_file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def refuse_broken_records(spark: SparkSession, paths: list[str]) -> None:
-    """Raises :class:`BrokenRecordError` where a single-line read would cut a
-    record in two: a line with an odd number of quotes opens a quoted field
-    that goes on in the next line.  One scan of the text, no shuffle."""
-    if not paths:
-        return
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    bad = (spark.read.text(paths).where(quotes % 2 == 1)
-           .select(source_file_name().alias("file")).limit(1).collect())
-    if bad:
-        raise BrokenRecordError(f"{bad[0].file} has records over several lines: read it with multi_line=True")
-
-
 def find_file(spark: SparkSession, root: str, filename: str) -> str:
     """A5: the one file under ``root`` (recursive) whose path ends with ``filename``."""
     hits = (list_csv_files(spark, root, recursive=True)

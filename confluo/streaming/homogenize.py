@@ -15,9 +15,12 @@ from confluo.sources.csv import csv_options
 
 
 def csv_stream(spark: SparkSession, source_dir: str, header: list[str],
-               max_files_per_trigger: int | None = None) -> DataFrame:
+               max_files_per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
+    """The rows of CSV files as they arrive.  Records may go over several lines;
+    a file is one task then, so large files without such records are better
+    read with ``multi_line=False``, which cuts records at every line end."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    r = spark.readStream.schema(schema).options(**csv_options(multi_line=False)).option("pathGlobFilter", "*.csv")
+    r = spark.readStream.schema(schema).options(**csv_options(multi_line)).option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.csv(source_dir)

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionError, InlineTableError
+from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionError, InlineTableError, NoTablesError
 from confluo.sources.catalogue import columns_by_file, header_catalogue
 from confluo.sources.csv import find_file, list_csv_files, read_csv, read_session, sanitize_headers
 from confluo.sources.inline import inline_table
@@ -77,15 +77,19 @@ def test_session_keeps_every_csv(spark, tmpdir_csv):
     assert list(read_session(spark, tmpdir_csv)) == ["a.csv", "sales_combined.csv"]
 
 
-def test_single_line_sessions_refuse_broken_records(spark, tmpdir_csv):
-    from confluo.errors import BrokenRecordError
-    from confluo.plans.homogenize import combine_session
-    write(os.path.join(tmpdir_csv, "my +file.csv"), 'k,v\n"x\ny",1\n')
+def test_sessions_read_records_over_several_lines(spark, tmpdir_csv):
+    from confluo.plans.homogenize import combine_session, homogenize_session
+    from confluo.plans.session import report_for_file
+    write(os.path.join(tmpdir_csv, "my +file.csv"), 'k,v\n"x\ny",1\n"1,5"" pipe",2\n1.5" pipe,3\n')
     mapping = {"k": {"my +file.csv": ["k"]}}
-    with pytest.raises(BrokenRecordError, match=r"my \+file.csv"):
-        combine_session(spark, tmpdir_csv, mapping)
-    out = combine_session(spark, tmpdir_csv, mapping, multi_line=True, source_col="src")
-    assert [tuple(r) for r in out.collect()] == [("x\ny", "my +file.csv")]
+    out = combine_session(spark, tmpdir_csv, mapping, source_col="src", row_id_col="row")
+    assert sorted(map(tuple, out.collect())) == [('1,5" pipe', "my +file.csv", 1), ('1.5" pipe', "my +file.csv", 2),
+                                                 ("x\ny", "my +file.csv", 0)]
+    path = homogenize_session(spark, tmpdir_csv, mapping, os.path.join(tmpdir_csv, "out"), row_id_col="row")
+    assert sorted(r.row for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    # a newline in a value makes no null of the next column
+    report = report_for_file(spark, write(os.path.join(tmpdir_csv, "c.csv"), 'id,v\n1,"x\ny"\n2,3\n'), exact=True)
+    assert report["nulls"].count() == 0
 
 
 def test_quote_all_and_round_trip(spark, tmpdir_csv):
@@ -105,3 +109,27 @@ def test_rfc4180_quotes_round_trip(spark, tmpdir_csv):
     assert rows == [('say "hi"\nthere', "x\\y")]
     out = write_csv(read_csv(spark, p), os.path.join(tmpdir_csv, "q_out"))
     assert [tuple(r) for r in read_csv(spark, out).collect()] == rows
+
+
+def test_session_headers_are_read_in_one_job(spark, tmpdir_csv):
+    from confluo.sources.headers import column_names, session_headers
+    headers = ["a,b", "a,A,,a", '"x\ny",z', ' "q" ,w', '"p ""1""",q"2', "one"]
+    for i, h in enumerate(headers):
+        write(os.path.join(tmpdir_csv, f"f {i}+.csv"), ("\n" if i == 1 else "") + h + "\n" + "1,2\n" * 50_000)
+    write(os.path.join(tmpdir_csv, "empty.csv"), "")
+    write(os.path.join(tmpdir_csv, "other.txt"), "no\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    got = session_headers(spark, tmpdir_csv).orderBy("file_idx", "ordinal").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for i in range(len(headers)):
+        rows = [r for r in got if r.file_idx == i]
+        assert {r.file for r in rows} == {f"f {i}+.csv"} and [r.ordinal for r in rows] == list(range(1, len(rows) + 1))
+        assert [r.column_name for r in rows] == read_csv(spark, os.path.join(tmpdir_csv, f"f {i}+.csv")).columns
+    assert {r.file_idx for r in got} == set(range(len(headers))) and column_names("") == []
+    with pytest.raises(FileNotFound):
+        session_headers(spark, os.path.join(tmpdir_csv, "none"))
+    os.mkdir(os.path.join(tmpdir_csv, "no_csv"))
+    write(os.path.join(tmpdir_csv, "no_csv", "x.txt"), "x")
+    with pytest.raises(NoTablesError):
+        session_headers(spark, os.path.join(tmpdir_csv, "no_csv"))
