@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.fuzzy import name_key, name_ratio
-from confluo.session import reliable_checkpoint
+from confluo.session import reliable_checkpoint, written_table
 
 
 # A name recommendation needs a score of 90, a name group 80.
@@ -113,21 +113,102 @@ def name_pairs(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
                           for s in "lr" for c in side[:-1]], "score")
 
 
+def _names(cat: DataFrame) -> DataFrame:
+    """``(name, files)``: each distinct name with all its places in the
+    catalogue, in order: the factored form of the catalogue, one row a name."""
+    place = F.struct(F.col("file_idx").cast("int").alias("file_idx"), F.col("ordinal").cast("int").alias("ordinal"), "file")
+    return cat.groupBy(F.col("column_name").alias("name")).agg(F.array_sort(F.collect_list(place)).alias("files"))
+
+
 def equal_names(cat: DataFrame) -> DataFrame:
     """``(column_name, files)`` of the names that several files have: one row a
     name, where the pairs of its files would be files²."""
-    return (cat.groupBy("column_name").agg(F.array_sort(F.collect_set("file")).alias("files"))
-               .where(F.size("files") > 1))
+    files = F.array_sort(F.array_distinct("files.file"))
+    return _names(cat).select(F.col("name").alias("column_name"), files.alias("files")).where(F.size("files") > 1)
 
 
-def _directed(pairs: DataFrame) -> DataFrame:
-    """Both directions of each pair, as (query x in file k) → (choice y in file j)."""
-    cols = ["file", "file_idx", "ordinal", "column"]
-    fwd = pairs.select(*[F.col(f"{c}_l").alias(f"{c}_x") for c in cols],
-                       *[F.col(f"{c}_r").alias(f"{c}_y") for c in cols], "score")
-    bwd = pairs.select(*[F.col(f"{c}_r").alias(f"{c}_x") for c in cols],
-                       *[F.col(f"{c}_l").alias(f"{c}_y") for c in cols], "score")
-    return fwd.unionByName(bwd)
+def similar_names(names: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b, score)``: both directions of all pairs of different names
+    (``names (name)``, distinct) that score ≥ threshold."""
+    theta = (threshold - 0.5) / 100.0
+    keyed = reliable_checkpoint(names.select("name", name_key(F.col("name")).alias("key")).withColumn("klen", F.length("key")))
+    scored = (candidate_keys(keyed.select("key", "klen").distinct(), theta)
+              .withColumn("score", name_ratio("key_a", "key_b")).where(F.col("score") >= threshold))
+    a = keyed.select(F.col("name").alias("a"), F.col("key").alias("key_a"))
+    b = keyed.select(F.col("name").alias("b"), F.col("key").alias("key_b"))
+    one = scored.join(a, "key_a").join(b, "key_b").select("a", "b", F.col("score").cast("int").alias("score"))
+    alike = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b"))).select("a", "b", F.lit(100).alias("score"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(alike)
+
+
+def factored_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -> DataFrame:
+    """The recommendations without pairs of files: rows linear in the catalogue.
+
+    ``(column, files, file_right, file_right_idx, kind, similar)``.  ``files``:
+    the places of ``column`` as an array of ``(file_idx, ordinal, file)``, in
+    order.  Kind ``single`` or ``multi``: ``similar``, ``(rank, column, score)``,
+    are the differently named similar columns of the file ``file_right``; the
+    row stands for a recommendation of each place whose file is not before that
+    one.  Kind ``equal``: a name of several files, one row; it stands for one
+    recommendation for each two of them (``file_right`` is null).
+
+    A single match is left out when the reversed pair of names is emitted
+    first.  Which direction is first needs one event of each: that of the
+    column's last file with the last fitting file on the right.
+    """
+    names = reliable_checkpoint(_names(cat))
+    ends = names.select("name", F.element_at("files", -1)["file_idx"].alias("last"))
+    places = cat.select(F.col("column_name").alias("b"), F.col("file_idx").cast("int").alias("right_idx"), F.col("ordinal").alias("right_at"),
+                        F.col("file").alias("right"))
+    met = similar_names(names.select("name"), threshold).join(places, "b").join(ends.withColumnRenamed("name", "a"), "a")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("right_at").alias("at"), F.col("b").alias("column"))))
+    found = reliable_checkpoint(
+        met.where("right_idx <= last").groupBy("a", "right_idx", "right").agg(ranked.alias("r"))
+        .withColumn("kind", F.when(F.size("r") == 1, "single").otherwise("multi")))
+    # the first single event of each direction of a pair of names
+    single = found.where("kind = 'single'").select("a", F.col("r")[0]["column"].alias("b"), "right_idx")
+    first = single.groupBy("a", "b").agg(F.max("right_idx").alias("j")).join(names.withColumnRenamed("name", "a"), "a")
+    last = F.element_at("files", -1)["file_idx"]
+    ordinal = F.array_min(F.transform(F.filter("files", lambda f: f["file_idx"] == last), lambda f: f["ordinal"]))
+    event = F.struct((-last).alias("k"), (-F.col("j")).alias("j"), ordinal.alias("at"), F.col("a").alias("a"))
+    winner = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), event.alias("event")) \
+        .groupBy("x", "y").agg(F.min("event")["a"].alias("winner"))
+    kept = single.select("a", "b").distinct().join(
+        winner, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).where("a = winner").select("a", F.col("b").alias("of"))
+    singles = found.where("kind = 'single'").withColumn("of", F.col("r")[0]["column"]).join(kept, ["a", "of"]).drop("of")
+    events = singles.unionByName(found.where("kind <> 'single'"))
+    similar = F.transform("r", lambda x, i: F.struct(i.alias("rank"), x["column"].alias("column"), (-x["o"]).alias("score")))
+    differently = events.join(names.withColumnRenamed("name", "a"), "a").select(
+        F.col("a").alias("column"), "files", F.col("right").alias("file_right"), F.col("right_idx").alias("file_right_idx"), "kind",
+        similar.alias("similar"))
+    several = F.element_at("files", -1)["file_idx"] > F.element_at("files", 1)["file_idx"]
+    equal = names.where(several).select(
+        F.col("name").alias("column"), "files", F.lit(None).cast("string").alias("file_right"),
+        F.lit(None).cast("int").alias("file_right_idx"), F.lit("equal").alias("kind"),
+        F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("column"), F.lit(100).alias("score"))).alias("similar"))
+    return differently.unionByName(equal)
+
+
+def expand_recommendations(factored: DataFrame) -> DataFrame:
+    """Every recommendation of :func:`factored_recommendations`, numbered in
+    emission order, one row per recommended column (files² rows for names that
+    all files have): ``(rec_no, file_left, column, file_right, kind, rank,
+    similar, score)``."""
+    places = "array<struct<idx:int,at:int,file:string>>"
+    one = F.array(F.struct("file_right_idx", F.lit(0).alias("at"), "file_right"))
+    right = F.when(F.col("kind") == "equal", F.col("files").cast(places)).otherwise(one.cast(places))
+    each = factored.select("column", "kind", "similar", F.explode("files").alias("left"), right.alias("rights"))
+    each = each.select("column", "kind", "similar", "left", F.explode("rights").alias("right")).where(
+        F.when(F.col("kind") == "equal", F.col("right.idx") < F.col("left.file_idx")).otherwise(F.col("right.idx") <= F.col("left.file_idx")))
+    # emission order: left file descending, right file descending, column order, equal names last
+    heads = each.select("column", "kind", "similar", "left", "right", F.col("left.file_idx").alias("k"), F.col("right.idx").alias("j"),
+                        F.col("left.ordinal").alias("at"), (F.col("kind") == "equal").alias("e"), F.col("right.at").alias("at_j"))
+    kept = _numbered(heads, [F.desc("k"), F.desc("j"), F.asc("at"), F.asc("e"), F.asc("at_j")], "rec_no")
+    marked = F.when((F.col("k") == F.col("j")) | F.col("e"), F.concat("left.file", F.lit("_"))).otherwise(F.col("left.file"))
+    return kept.select("rec_no", marked.alias("file_left"), "column", F.col("right.file").alias("file_right"), "kind",
+                       F.explode("similar").alias("s")).select(
+        "rec_no", "file_left", "column", "file_right", "kind", F.col("s.rank").alias("rank"), F.col("s.column").alias("similar"),
+        F.col("s.score").alias("score"))
 
 
 def name_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -> DataFrame:
@@ -138,39 +219,11 @@ def name_recommendations(cat: DataFrame, threshold: int = RECOMMEND_THRESHOLD) -
     for a column of file k ≥ j, k = j included) or ``equal`` (same name in an
     earlier, different file).  A single match is dropped when the reversed
     name pair was emitted before; ``file_left`` gets ``_`` appended when k = j
-    or for ``equal``.  Files are indexed by ``file_idx`` (ascending).
+    or for ``equal``.  Files are indexed by ``file_idx`` (ascending).  The
+    expansion of :func:`factored_recommendations`, whose rows grow with the
+    files and not with their pairs.
     """
-    # both directions and the emission rules read the pairs: compute them once
-    pairs = reliable_checkpoint(name_pairs(cat, threshold))
-    d = _directed(pairs).where(F.col("file_idx_x") >= F.col("file_idx_y"))
-    grp = ["file_x", "file_idx_x", "ordinal_x", "column_x", "file_y", "file_idx_y"]
-    diff = d.where(F.col("column_x") != F.col("column_y"))
-    rank_w = Window.partitionBy(*grp).orderBy(F.desc("score"), "ordinal_y")
-    diff = (diff.withColumn("rank", F.row_number().over(rank_w) - 1)
-                .withColumn("n_similar", F.count(F.lit(1)).over(Window.partitionBy(*grp)))
-                .withColumn("kind", F.when(F.col("n_similar") == 1, "single").otherwise("multi"))
-                .withColumn("kind_rank", F.lit(0)))
-    equal = (d.where((F.col("column_x") == F.col("column_y")) & (F.col("file_idx_x") != F.col("file_idx_y")))
-              .withColumn("rank", F.lit(0)).withColumn("n_similar", F.lit(1).cast("bigint"))
-              .withColumn("kind", F.lit("equal")).withColumn("kind_rank", F.lit(1)))
-    ev = diff.unionByName(equal)
-    # emission sequence of the reference's loops: k desc, j desc, column order
-    seq = [F.desc("file_idx_x"), F.desc("file_idx_y"), F.asc("ordinal_x"), F.asc("kind_rank")]
-    heads = ev.where(F.col("rank") == 0)
-    singles = heads.where(F.col("kind") == "single")
-    pair_w = Window.partitionBy(F.least("column_x", "column_y"), F.greatest("column_x", "column_y")) \
-                   .orderBy(*seq)
-    singles = singles.withColumn("first_x", F.first("column_x").over(pair_w)) \
-                     .where(F.col("column_x") == F.col("first_x")).drop("first_x")
-    kept = singles.unionByName(heads.where(F.col("kind") != "single"))
-    kept = _numbered(kept, seq, "rec_no")
-    recs = kept.select("rec_no", *grp, "kind")
-    rows = ev.join(recs, grp + ["kind"])
-    file_left = F.when((F.col("file_idx_x") == F.col("file_idx_y")) | (F.col("kind") == "equal"),
-                       F.concat(F.col("file_x"), F.lit("_"))).otherwise(F.col("file_x"))
-    return rows.select("rec_no", file_left.alias("file_left"), F.col("column_x").alias("column"),
-                       F.col("file_y").alias("file_right"), "kind", F.col("rank").cast("int").alias("rank"),
-                       F.col("column_y").alias("similar"), F.col("score").cast("int").alias("score"))
+    return expand_recommendations(factored_recommendations(cat, threshold))
 
 
 def _numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
@@ -190,52 +243,65 @@ def _numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
                  .drop("__part")
 
 
+def first_leaders(nodes: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``(x, lead)``: which nodes the greedy walk makes leaders.
+
+    ``nodes (x)``; ``earlier (x, e)``: e is a neighbour of x that comes before
+    it.  A node leads if none of its earlier neighbours does: the
+    lexicographic-first independent set.  Every round keeps only undecided nodes
+    and, for each, what still has to hold, rows ``(x, e, s)``: e must not lead
+    (s = 0), or must lead (s = 1).
+
+    - A row whose e is decided goes, or covers x; a node without rows leads; one
+      with both rows for an e is covered.
+    - A node with a single row is its e or the opposite of it.  Rows that name
+      such a node name its e instead, so chains halve with every round.
+    """
+    # the first round's decisions need no join: nodes without earlier neighbours lead
+    has = earlier.select("x").distinct()
+    known = written_table(nodes.join(has, "x", "left_anti").select("x", F.lit(True).alias("lead")), "leaders")
+    left = written_table(earlier.select("x", "e", F.lit(0).alias("s")).distinct(), "leaders-left")
+    decided = [known]
+    while not left.isEmpty():
+        seen = left.join(known.select(F.col("x").alias("e"), "lead"), "e", "left")
+        holds = F.col("lead") == (F.col("s") == 1)
+        state = written_table(seen.groupBy("x").agg(
+            F.coalesce(F.bool_or(~holds), F.lit(False)).alias("covered"), F.count_if(F.col("lead").isNull()).alias("open"),
+            F.count_distinct(F.when(F.col("lead").isNull(), F.col("e"))).alias("of"),
+            F.min(F.when(F.col("lead").isNull(), F.struct("e", "s"))).alias("one")), "leaders-state")
+        covered = F.col("covered") | (F.col("of") < F.col("open"))
+        known = state.where(covered | (F.col("open") == 0)).select("x", (~covered).alias("lead"))
+        decided.append(known)
+        undecided = state.where(~covered & (F.col("open") > 0))
+        alias = undecided.where("open = 1").select(F.col("x").alias("e"), F.col("one.e").alias("f"), F.col("one.s").alias("u"))
+        rest = seen.where("lead is null").select("x", "e", "s").join(undecided.select("x"), "x").join(alias, "e", "left")
+        left = written_table(rest.select(
+            "x", F.coalesce("f", "e").alias("e"), F.when(F.col("f").isNull(), F.col("s")).otherwise(1 - F.col("s").bitwiseXOR(F.col("u")))
+            .cast("int").alias("s")).distinct(), "leaders-left")
+    out = decided[0]
+    for k in decided[1:]:
+        out = out.unionByName(k)
+    return out
+
+
 def similar_name_groups(cat: DataFrame, threshold: int = GROUP_THRESHOLD) -> DataFrame:
     """Greedy groups of similar names, decided by rounds (no sequential loop).
 
     Names in catalogue order ``(file_idx, ordinal)``.  Walking that order, a
     name not yet used leads a group of every differently named similar entry
-    (score desc, then order) plus itself, and all of them become used.  As
-    rounds: a name whose earlier similar names include a leader is covered; one
-    whose earlier similar names are all covered leads.  Returns
-    ``(leader, member_rank, member)``, leader last.
+    (score desc, then order) plus itself, and all of them become used; the
+    leaders come from :func:`first_leaders`.  Returns ``(leader, member_rank,
+    member)``, leader last.
     """
     pos = cat.select("column_name", (F.shiftleft(F.col("file_idx").cast("bigint"), 32)
                                      + F.col("ordinal")).alias("pos"))
-    first = pos.groupBy("column_name").agg(F.min("pos").alias("pos"))
-    dcat = first.select(F.lit("_").alias("file"), F.lit(0).alias("file_idx"),
-                        F.col("pos").alias("ordinal"), "column_name")
-    p = name_pairs(dcat, threshold).where(F.col("column_l") != F.col("column_r"))
-    p = reliable_checkpoint(p.select(F.col("column_l").alias("a"), F.col("ordinal_l").alias("pa"),
-                                     F.col("column_r").alias("b"), F.col("ordinal_r").alias("pb"), "score"))
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("pb").alias("pa"),
-                                  F.col("a").alias("b"), F.col("pa").alias("pb"), "score"))
-    earlier = both.where(F.col("pb") < F.col("pa")).select(F.col("a").alias("x"), F.col("b").alias("e"))
-    nodes = both.select(F.col("a").alias("x")).distinct()
-    # status: 1 leader, 2 covered, 0 undecided
-    status = nodes.join(earlier.select("x").distinct().withColumn("has", F.lit(1)), "x", "left") \
-                  .select("x", F.when(F.col("has").isNull(), 1).otherwise(0).alias("st"))
-    status = reliable_checkpoint(status)
-    last = None
-    while True:
-        # the earliest undecided name is always decided in the next round,
-        # so this terminates after at most one round per name
-        undecided = status.where(F.col("st") == 0).count()
-        if undecided == 0:
-            break
-        if last is not None and undecided >= last:
-            raise RuntimeError("name groups made no progress")   # cannot happen by construction
-        last = undecided
-        ev = (earlier.join(status.select(F.col("x").alias("e"), F.col("st").alias("st_e")), "e")
-                     .groupBy("x").agg(F.max(F.when(F.col("st_e") == 1, 1).otherwise(0)).alias("any_leader"),
-                                       F.min(F.when(F.col("st_e") == 0, 0).otherwise(1)).alias("all_decided")))
-        status = reliable_checkpoint(
-            status.join(ev, "x", "left").select(
-                "x", F.when(F.col("st") != 0, F.col("st"))
-                      .when(F.col("any_leader") == 1, 2)
-                      .when(F.col("all_decided") == 1, 1)
-                      .otherwise(0).alias("st")))
-    leaders = status.where(F.col("st") == 1).select(F.col("x").alias("leader"))
+    first = reliable_checkpoint(pos.groupBy("column_name").agg(F.min("pos").alias("pos")))
+    both = similar_names(first.select(F.col("column_name").alias("name")), threshold)
+    at = lambda c: first.select(F.col("column_name").alias(c), F.col("pos").alias(f"p{c}"))
+    both = reliable_checkpoint(both.join(at("a"), "a").join(at("b"), "b"))
+    earlier = both.where("pb < pa").select(F.col("a").alias("x"), F.col("b").alias("e"))
+    status = first_leaders(both.select(F.col("a").alias("x")).distinct(), earlier)
+    leaders = status.where("lead").select(F.col("x").alias("leader"))
     # members: every catalogue entry whose name is similar to the leader
     sim = both.select(F.col("a").alias("leader"), F.col("b").alias("member_name"), "score")
     members = (leaders.join(sim, "leader")

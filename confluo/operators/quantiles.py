@@ -5,31 +5,32 @@
 aggregation, memory bounded by the accuracy, not by the data.
 
 *Exact* (``percentile_disc``: the smallest value whose cumulative count reaches
-⌈p·N⌉) by bracketing and refining, since Spark's own ``percentile_disc`` keeps
-every distinct value of a group in one task:
-
-1. one wide pass counts each column and brackets every target rank between two
-   approximate quantiles whose guaranteed rank error keeps it inside;
-2. while a bracket may hold more than ``most_inside`` rows, the same pass
-   inside the brackets narrows them (each time by the sketch's accuracy);
-3. one pass counts what lies below each bracket and groups the values inside
-   it; only those few groups are shuffled, ranked and read.
-
-Two scans of the data for up to ``most_inside * accuracy / 8`` rows, and one
-more for each further factor of about ``accuracy / 8``.
+⌈p·N⌉) by radix selection, since Spark's own ``percentile_disc`` keeps every
+distinct value of a group in one task.  A digit is a function that never falls
+as the value rises, so the digit's counts say which digit the wanted rank has:
+
+1. the first digit is a value's sign and sixteenth of an octave; one scan counts
+   all columns' digits, with the least and the greatest value of each;
+2. the values of the digit found are divided into :data:`BINS` equal parts
+   between their least and greatest, which are the next digit's values, and so
+   on until these two are one value.
+
+A sixteenth of an octave holds 2⁴⁸ doubles, so there are five scans at most, for
+all columns and ranks together, and one or two for values that repeat.  Counts
+are combined before the shuffle: what moves is a row a digit.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.nulls import as_double, col_ref
 
-# Accuracy of the bracketing sketches: rank error at most rows / ACCURACY.
-ACCURACY = 10_000
+#: Digits of every scan after the first.
+BINS = 4096
+#: More than any first digit of a finite value.
+_INFINITE = 100_000
 
 
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,55 +59,51 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(columns)}
 
 
-def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float],
-                       accuracy: int = ACCURACY, most_inside: int = 2_000_000) -> DataFrame:
-    """``(column, p, value)`` with ``percentile_disc`` semantics, distributed."""
-    spark, schema = df.sparkSession, "column string, p double, value double"
-    values = _values(df, columns)
-    pairs = [(i, float(p)) for i in range(len(columns)) for p in probs]
-
-    def ends(v, at: float):
-        reach = (max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy))
-        return F.percentile_approx(v, F.array(*map(F.lit, reach)), accuracy)
-
-    row = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-                     *[ends(F.col(f"v{i}"), p).alias(f"q{j}") for j, (i, p) in enumerate(pairs)]).first()
-    # (column number, p) -> target rank, bracket, rows that it may hold
-    targets = {}
-    for j, (i, p) in enumerate(pairs):
-        if n := row[f"n{i}"]:
-            lo, hi = row[f"q{j}"]
-            targets[i, p] = {"rank": max(1, math.ceil(p * n)), "lo": lo, "hi": hi,
-                             "inside": min(n, 8 * n // accuracy + 1)}
-    while wide := [k for k, t in targets.items() if t["inside"] > most_inside and t["lo"] < t["hi"]]:
-        within = [F.when(F.col(f"v{k[0]}").between(targets[k]["lo"], targets[k]["hi"]), F.col(f"v{k[0]}")) for k in wide]
-        row = values.agg(*[F.count(v).alias(f"c{j}") for j, v in enumerate(within)],
-                         *[F.count_if(F.col(f"v{k[0]}") < F.lit(targets[k]["lo"])).alias(f"b{j}")
-                           for j, k in enumerate(wide)]).first()
-        inside = [row[f"c{j}"] for j in range(len(wide))]
-        at = [(targets[k]["rank"] - row[f"b{j}"]) / inside[j] for j, k in enumerate(wide)]
-        row = values.agg(*[ends(v, x).alias(f"q{j}") for j, (v, x) in enumerate(zip(within, at))]).first()
-        for j, k in enumerate(wide):
-            t, (lo, hi) = targets[k], row[f"q{j}"]
-            # no narrower bracket: few values repeated often, which collapse below
-            t["inside"] = 0 if (lo, hi) == (t["lo"], t["hi"]) else 8 * inside[j] // accuracy + 1
-            t["lo"], t["hi"] = lo, hi
-    if not targets:
-        return spark.createDataFrame([], schema)
-    # null: a value below the bracket (all of them are one group)
-    cells = []
-    for (i, p), t in targets.items():
-        v = F.col(f"v{i}")
-        cells.append(F.when(v <= F.lit(t["hi"]), F.struct(
-            F.lit(columns[i]).alias("column"), F.lit(p).alias("p"), F.lit(t["rank"]).cast("long").alias("rank"),
-            F.when(v >= F.lit(t["lo"]), v).alias("v"))))
-    groups = (values.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
-              .groupBy("column", "p", "rank", "v").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("column", "p").orderBy(F.asc_nulls_first("v")) \
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (groups.withColumn("upto", F.sum("n").over(w))
-                  .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-                  .select("column", "p", F.col("v").alias("value")))
+def _first_digit(v: Column) -> Column:
+    """Sign and sixteenth of an octave, as an integer that rises with ``v``."""
+    octave = (F.floor(F.log2(F.abs(v)) * 16) + 20_000).cast("int")
+    size = F.when(v == 0, 0).when(F.abs(v) == F.lit(float("inf")), _INFINITE).otherwise(octave)
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def _counted(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """``(at, digit, n, least, most)`` of cells ``(at, digit, v)`` without nulls."""
+    return (df.select(F.inline(F.array(*cells))).where("digit is not null").groupBy("at", "digit")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
+
+
+def exact_quantiles_df(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """``(column, p, value)`` with ``percentile_disc`` semantics; columns
+    without a value have no row.  A row a column and probability reaches the
+    driver with every scan."""
+    spark, values = df.sparkSession, _values(df, columns)
+    upto = Window.partitionBy("at").orderBy("digit")
+
+    def cell(at: int, digit: Column, v: Column) -> Column:
+        return F.struct(F.lit(at).alias("at"), digit.alias("digit"), v.alias("v"))
+
+    vs = [F.col(f"v{i}") for i in range(len(columns))]
+    found = _counted(values, [cell(i, _first_digit(v), v) for i, v in enumerate(vs)])
+    found = found.withColumn("all", F.sum("n").over(Window.partitionBy("at"))).withColumn("upto", F.sum("n").over(upto))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    found = found.select("*", wanted).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("all"))))
+    hit = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))
+    rest = F.col("rank") - F.col("upto") + F.col("n")
+    open_ = [(r["at"], r.p, r["rest"], r.least, r.most)
+             for r in found.where(hit).select("at", "p", rest.alias("rest"), "least", "most").collect()]
+    done = []
+    while open_:
+        done += [t for t in open_ if t[3] == t[4]]
+        open_ = [t for t in open_ if t[3] < t[4]]
+        if not open_:
+            break
+        cells = [cell(j, F.when(vs[i].between(lo, hi), F.floor((vs[i] - F.lit(lo)) / F.lit(hi - lo) * BINS).cast("int")), vs[i])
+                 for j, (i, _, _, lo, hi) in enumerate(open_)]
+        ranks = F.element_at(F.array(*[F.lit(t[2]) for t in open_]).cast("array<bigint>"), F.col("at") + 1)
+        found = _counted(values, cells).withColumn("upto", F.sum("n").over(upto)).withColumn("rank", ranks)
+        open_ = [(*open_[r["at"]][:2], r["rest"], r.least, r.most)
+                 for r in found.where(hit).select("at", rest.alias("rest"), "least", "most").collect()]
+    return spark.createDataFrame([(columns[i], p, lo) for i, p, _, lo, _ in done], "column string, p double, value double")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float] | None]:

@@ -92,6 +92,15 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def written_table(df, name: str = "table"):
+    """``df`` written to the shared folder and read again.  Unlike a checkpoint,
+    which hands on the plan's size estimates (in a loop of joins their product
+    grows without end), the table is planned by the size of its files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Jobs submitted at the same time by :func:`run_concurrently`.
 MOST_CONCURRENT = 8
 

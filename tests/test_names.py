@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -180,3 +182,51 @@ def test_reference_shapes(spark):
                  "Recommendation1": {"b.csv_": "qty", "a.csv": ["qty"]}}
     g = groups_dict(similar_name_groups(catalogue_from_names(spark, ["order date", "date order", "qty"]), 80))
     assert g == {"order date": ["date order", "order date"]}
+
+
+def test_recommendations_of_many_files_stay_factored(spark):
+    """A name that all files have is one row, however many files there are."""
+    from confluo.operators.names import expand_recommendations, factored_recommendations
+    cat = spark.createDataFrame([(f"f{i:03d}", i, j + 1, c) for i in range(60)
+                                 for j, c in enumerate(["customer_id", "customer_ids" if i % 7 == 3 else f"x{i}y", "amount"])],
+                                "file string, file_idx int, ordinal int, column_name string")
+    rows = factored_recommendations(cat, 90)
+    got = rows.collect()
+    equal = {r.column: len(r.files) for r in got if r.kind == "equal"}
+    assert equal == {"customer_id": 60, "amount": 60, "customer_ids": 9}
+    assert len(got) < 60 * 3
+    assert expand_recommendations(rows).where("kind = 'equal'").count() == 2 * 60 * 59 // 2 + 9 * 8 // 2
+
+
+def _greedy(nodes, earlier):
+    lead = {}
+    for x in sorted(nodes):
+        lead[x] = not any(lead[e] for e in earlier.get(x, ()))
+    return lead
+
+
+def test_leaders_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from confluo.operators import names
+    n, rounds, keep = 10_000, [], names.written_table
+    monkeypatch.setattr(names, "written_table", lambda df, name: rounds.append(1) or keep(df, name))
+    nodes, earlier = spark.range(n).toDF("x"), spark.range(1, n).selectExpr("id as x", "id - 1 as e")
+    got = {r.x: r.lead for r in names.first_leaders(nodes, earlier).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+    assert len(rounds) <= 2 + 2 * 16  # two written tables a round, log2 of the chain
+
+
+@pytest.mark.parametrize("seed, degree", [(1, 1), (2, 3), (3, 8)])
+def test_leaders_of_random_graphs(spark, seed, degree):
+    from confluo.operators.names import first_leaders
+    rnd = random.Random(seed)
+    earlier = {x: {rnd.randrange(max(0, x - 12), x) for _ in range(rnd.randrange(degree + 1))} for x in range(1, 120)}
+    rows = [(x, e) for x, es in earlier.items() for e in es]
+    got = first_leaders(spark.range(120).toDF("x"), spark.createDataFrame(rows, "x long, e long"))
+    assert {r.x: r.lead for r in got.collect()} == _greedy(range(120), earlier)
+
+
+def test_no_edges_and_no_nodes(spark):
+    from confluo.operators.names import first_leaders
+    none = spark.createDataFrame([], "x long, e long")
+    assert first_leaders(spark.range(3).toDF("x"), none).where("lead").count() == 3
+    assert first_leaders(spark.range(0).toDF("x"), none).count() == 0

@@ -121,17 +121,34 @@ def test_exact_quantiles_property(spark, vals, parts):
         assert got == [_disc(vals, 0.25), _disc(vals, 0.75)]
 
 
-@pytest.mark.parametrize("inside", [2_000_000, 30, 1])
-def test_exact_quantiles_through_narrowing_brackets(spark, inside):
-    from confluo.operators.quantiles import exact_quantiles_df
-    rnd = random.Random(inside)
-    a = [float(rnd.randint(0, 400)) for _ in range(4000)]
-    b = [rnd.random() * 1000 for _ in range(4000)]
-    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
-    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    got = {(r.column, r.p): r.value for r in exact_quantiles_df(df, ["a", "b"], probs, accuracy=20, most_inside=inside).collect()}
-    for name, vals in (("a", a), ("b", b)):
-        assert [got[(name, p)] for p in probs] == [_disc(vals, p) for p in probs]
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+def test_exact_quantiles_by_digits_of_any_size(spark, monkeypatch, bins):
+    from confluo.operators import quantiles
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    rnd = random.Random(bins)
+    a = [float(rnd.randint(0, 400)) for _ in range(3000)]
+    b = [rnd.random() * 1000 for _ in range(3000)]
+    c = [rnd.choice([1, -1]) * 10.0 ** rnd.uniform(-320, 308) for _ in range(3000)]
+    d = [rnd.choice([0.0, math.inf, -math.inf, math.nan, 5e-324, -5e-324, 1.7e308, math.nextafter(1, 2), 1.0]) for _ in range(3000)]
+    df = spark.createDataFrame(list(zip(a, b, c, d)), "a double, b double, c double, d double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], probs)
+    for name, vals in (("a", a), ("b", b), ("c", c), ("d", [x for x in d if not math.isnan(x)])):
+        assert got[name] == [_disc(vals, p) for p in probs]
+
+
+def test_exact_quantiles_take_a_fixed_number_of_scans(spark, monkeypatch):
+    """Neighbouring doubles among far ones: the last digit is found after five scans."""
+    from confluo.operators import quantiles
+    scans, keep = [], quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda df, cells: scans.append(len(cells)) or keep(df, cells))
+    near = [1.0]
+    for _ in range(500):
+        near.append(math.nextafter(near[-1], 2))
+    vals = near + [1.04, 1e-300, 1e300] * 100
+    df = spark.createDataFrame([(v, -v) for v in vals], "v double, w double")
+    assert exact_quantiles(df, ["v", "w"], [0.5]) == {"v": [_disc(vals, 0.5)], "w": [_disc([-v for v in vals], 0.5)]}
+    assert len(scans) <= 5
 
 
 def test_infinities_have_no_bin(spark):
