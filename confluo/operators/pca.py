@@ -43,17 +43,22 @@ def assemble(df: DataFrame, columns: list[str], output: str = "features", skip_i
 def pca_variance(df: DataFrame, columns: list[str] | None = None, vector_col: str | None = None,
                  standardize: bool = True, skip_invalid: bool = False) -> DataFrame:
     """``(k, explained_variance, cumulative_variance)`` for k = 1 … n.  Every row
-    counts; ``skip_invalid`` leaves out the rows that hold a null or NaN."""
+    counts; ``skip_invalid`` leaves out the rows that hold a null or NaN.  A table
+    without rows has no curve: no rows."""
     spark = df.sparkSession
     if vector_col is not None:
         dtype = df.schema[vector_col].dataType
         v = array_to_vector(col_ref(vector_col)) if isinstance(dtype, T.ArrayType) else col_ref(vector_col)
         feats = _refuse_or_skip(df.select(col_ref(vector_col).alias("v"), v.alias("features")),
                                 F.col("v").isNull(), skip_invalid).select("features")
-        n = len(feats.first()["features"])
+        one = feats.first()
+        n = len(one["features"]) if one else 0
     else:
         feats = assemble(df, columns, skip_invalid=skip_invalid)
         n = len(columns)
+    schema = "k int, explained_variance double, cumulative_variance double"
+    if not n or feats.isEmpty():
+        return spark.createDataFrame([], schema)
     if standardize:
         feats = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True) \
             .fit(feats).transform(feats).select(F.col("scaled").alias("features"))
@@ -63,7 +68,7 @@ def pca_variance(df: DataFrame, columns: list[str] | None = None, vector_col: st
     for k, e in enumerate(ev, 1):
         acc += e
         rows.append((k, e, acc))
-    return spark.createDataFrame(rows, "k int, explained_variance double, cumulative_variance double")
+    return spark.createDataFrame(rows, schema)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -40,6 +40,13 @@ def _string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table whose scan has fewer splits than the cluster has cores, dealt out
+    to all of them before its text is taken apart; others are read in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def column_terms(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None,
                  normalize: bool = False) -> DataFrame:
     """``(table, tidx, column, token, tf)`` over the chosen (default: string) columns."""
@@ -50,7 +57,7 @@ def column_terms(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str
             continue
         cells = F.array(*[F.struct(F.lit(c).alias("column"), col_ref(c).cast("string").alias("value"))
                           for c in cols])
-        long = df.select(
+        long = _spread(df.select(*map(col_ref, cols))).select(
             F.lit(name).alias("table"), F.lit(tidx).alias("tidx"), F.inline(cells))
         v = F.col("value")
         if normalize:

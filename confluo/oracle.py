@@ -341,6 +341,62 @@ FROM b JOIN v ON v."column" = b."column" GROUP BY b."column", q1, q3, lower, upp
 """
 
 
+EMBEDDING_SIZE = 64
+PCA_MATRIX = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, corr({a}::DOUBLE, {b}::DOUBLE) AS r FROM lineitem"
+                                for i, a in enumerate(PCA_LINEITEM, 1) for j, b in enumerate(PCA_LINEITEM, 1))
+
+
+def pca_curve_sql(n: int, matrix: str, more: str = "", sweeps: int = 9) -> str:
+    """Eigenvalues of a symmetric matrix ``(i, j, r)`` by Jacobi rotations, in
+    rounds of disjoint pairs (a round-robin), as shares of their sum."""
+    at = lambda r, c: f"m[({r} - 1) * {n} + {c}]"
+    return f"""
+WITH RECURSIVE {more}
+first AS (SELECT list(r ORDER BY i, j) AS m FROM ({matrix})),
+seats AS (SELECT t, p, CASE WHEN p = 1 THEN 1 ELSE (p - 2 + t) % {n - 1} + 2 END AS who
+          FROM (SELECT unnest(range({n - 1})) AS t), (SELECT unnest(range(1, {n} + 1)) AS p)),
+pairs AS (SELECT a.t, least(a.who, b.who) AS p, greatest(a.who, b.who) AS q
+          FROM seats a JOIN seats b ON a.t = b.t AND a.p + b.p = {n + 1} AND a.p < b.p),
+partner AS (SELECT t, list(o ORDER BY w) AS other FROM (SELECT t, p AS w, q AS o FROM pairs UNION ALL SELECT t, q, p FROM pairs) GROUP BY t),
+steps(k, m) AS (
+  SELECT 0, m FROM first
+  UNION ALL
+  SELECT k + 1, list_transform(range({n} * {n}), lambda e:
+      c[e // {n} + 1] * c[e % {n} + 1] * m[e + 1]
+    + s[e // {n} + 1] * c[e % {n} + 1] * m[(other[e // {n} + 1] - 1) * {n} + e % {n} + 1]
+    + c[e // {n} + 1] * s[e % {n} + 1] * m[e // {n} * {n} + other[e % {n} + 1]]
+    + s[e // {n} + 1] * s[e % {n} + 1] * m[(other[e // {n} + 1] - 1) * {n} + other[e % {n} + 1]])
+  FROM (
+    SELECT k, m, other, list_transform(a, lambda x: cos(x)) AS c,
+      list_transform(range(1, {n} + 1), lambda i: CASE WHEN i < other[i] THEN -sin(a[i]) ELSE sin(a[i]) END) AS s
+    FROM (
+      SELECT k, m, other, list_transform(range(1, {n} + 1), lambda i: 0.5::DOUBLE * atan2(
+        2 * {at('least(i, other[i])', 'greatest(i, other[i])')},
+        {at('greatest(i, other[i])', 'greatest(i, other[i])')} - {at('least(i, other[i])', 'least(i, other[i])')})) AS a
+      FROM steps JOIN partner ON t = k % {n - 1} WHERE k < {sweeps * (n - 1)}))),
+roots AS (SELECT unnest(list_transform(range(1, {n} + 1), lambda i: {at('i', 'i')})) AS v FROM (SELECT m FROM steps ORDER BY k DESC LIMIT 1))
+SELECT row_number() OVER w::INTEGER AS k, round(v / sum(v) OVER (), 6) AS explained_variance,
+  round(sum(v) OVER w / sum(v) OVER (), 6) AS cumulative_variance
+FROM roots WINDOW w AS (ORDER BY v DESC ROWS UNBOUNDED PRECEDING)
+"""
+
+
+def factored_sql(threshold: int = 90) -> str:
+    """From the expanded recommendations and the catalogue: a row a column and
+    right file; names of several files."""
+    return f"""
+WITH cat AS ({catalogue_sql()}),
+places AS (SELECT column_name, string_agg(file, ',' ORDER BY file_idx) AS files, count(DISTINCT file) AS n FROM cat GROUP BY column_name),
+recs AS ({name_recommendations_sql(threshold)})
+SELECT "column", kind, file_right, files, "similar" FROM (
+  SELECT "column", kind, file_right, string_agg("similar", ',' ORDER BY rank) AS "similar" FROM (
+    SELECT DISTINCT "column", kind, file_right, rank, "similar" FROM recs WHERE kind <> 'equal') GROUP BY "column", kind, file_right)
+JOIN places ON column_name = "column"
+UNION ALL
+SELECT column_name, 'equal', NULL, files, column_name FROM places WHERE n > 1
+"""
+
+
 SESSION_HOMOGENIZE_SQL = HOMOGENIZE_SQL.replace(
     "AS category FROM customer", "AS category, 'customer list.csv' AS source_file FROM customer").replace(
     "'' FROM supplier", "'', 'supplier_combined.csv' FROM supplier").replace(
@@ -351,14 +407,14 @@ ORACLE = {
     "iqr_fences_approx": " UNION ALL ".join(
         f"SELECT 'lineitem' AS \"table\", {_q(c)} AS \"column\", {p}::DOUBLE AS p, count(*) > 0 AS within FROM lineitem"
         for c in FENCE_TARGETS[2][1] for p in (0.25, 0.75)),
-    "sample_bernoulli": "SELECT * FROM lineitem WHERE ('0x' || substr(md5(concat_ws('|', '7', l_orderkey::VARCHAR, "
-        "l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR)), 1, 8))::BIGINT < round(0.05 * 4294967296)",
-    # eigenvalues of a matrix sum to its trace, their squares to the sum of its squared entries
-    "pca_variance": "SELECT 4::BIGINT AS n, 1.0::DOUBLE AS total, round(sum(r * r) / 16, 6) AS squares FROM ("
-        + " UNION ALL ".join(f"SELECT corr({a}::DOUBLE, {b}::DOUBLE) AS r FROM lineitem" for a in PCA_LINEITEM for b in PCA_LINEITEM) + ")",
-    "pca_variance_embeddings": "WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v "
-        "FROM embeddings), c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i) "
-        "SELECT max(i)::BIGINT AS n, 1.0::DOUBLE AS total, round(sum(c * c) / pow(sum(c) FILTER (i = j), 2), 6) AS squares FROM c",
+    # rows of a single file come in their order
+    "sample_bernoulli": "SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER () - 1 AS i FROM lineitem) "
+        "WHERE substr(md5('274|lineitem.parquet|' || i), 1, 8) < '0ccccccd'",
+    "pca_variance": pca_curve_sql(4, f"SELECT i, j, r FROM ({PCA_MATRIX})"),
+    "pca_variance_embeddings": pca_curve_sql(EMBEDDING_SIZE,
+        "SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS r FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i",
+        "x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),"),
+    "name_recommendations_factored": factored_sql(),
     "session_files": "SELECT file, file LIKE '%list.csv' AS found FROM (VALUES "
                      + ", ".join(f"({_q(f)})" for f in SESSION_FILES.values()) + ") x(file)",
     "session_columns": session_catalogue_sql(),

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from confluo.operators import quality as Q
 from confluo.operators.align import align_union
 from confluo.operators.homogenize import homogenize
-from confluo.operators.names import name_pairs, name_recommendations, similar_name_groups
+from confluo.operators.names import factored_recommendations, name_pairs, name_recommendations, similar_name_groups
 from confluo.operators.pca import pca_variance
 from confluo.operators.profile import pattern_conformance, value_shapes
-from confluo.operators.sampling import DEFAULT_FRACTION, hash_sample
+from confluo.operators.sampling import bernoulli_sample, hash_sample
 from confluo.operators.values import column_similarity
 from confluo.functions.text import normalize_text
 from confluo.session import run_concurrently, scratch_path
@@ -175,6 +175,13 @@ def q_name_recommendations(spark, sf_dir):
     return name_recommendations(_catalogue(spark, sf_dir), 90)
 
 
+def q_name_recommendations_factored(spark, sf_dir):
+    """One row a column and file on the right, and one for a name that several files have."""
+    rows = factored_recommendations(_catalogue(spark, sf_dir), 90)
+    names = lambda xs, f: F.array_join(F.transform(xs, lambda x: x[f]), ",")
+    return rows.select("column", "kind", "file_right", names("files", "file").alias("files"), names("similar", "column").alias("similar"))
+
+
 def q_similar_name_groups(spark, sf_dir):
     return similar_name_groups(_catalogue(spark, sf_dir), 80)
 
@@ -203,19 +210,16 @@ def q_sample_hash(spark, sf_dir):
 
 
 def q_sample_bernoulli(spark, sf_dir):
-    """The Bernoulli sample that any partitioning and engine repeats: by key hash."""
-    return hash_sample(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
-                       DEFAULT_FRACTION, seed=7)
+    return bernoulli_sample(load(spark, sf_dir, "lineitem"))
 
 
-def _moments(curve):
-    """What SQL can say of the curve: the shares' sum and the sum of their squares."""
-    return curve.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("explained_variance"), 6).alias("total"),
-                     F.round(F.sum(F.pow("explained_variance", F.lit(2))), 6).alias("squares"))
+def _rounded_curve(curve):
+    return curve.select("k", F.round("explained_variance", 6).alias("explained_variance"),
+                        F.round("cumulative_variance", 6).alias("cumulative_variance"))
 
 
 def q_pca_variance(spark, sf_dir):
-    return _moments(pca_variance(load(spark, sf_dir, "lineitem"), PCA_LINEITEM, standardize=True))
+    return _rounded_curve(pca_variance(load(spark, sf_dir, "lineitem"), PCA_LINEITEM, standardize=True))
 
 
 def q_pca_correlation(spark, sf_dir):
@@ -225,7 +229,7 @@ def q_pca_correlation(spark, sf_dir):
 
 
 def q_pca_variance_embeddings(spark, sf_dir):
-    return _moments(pca_variance(load(spark, sf_dir, "embeddings"), vector_col="embedding", standardize=False))
+    return _rounded_curve(pca_variance(load(spark, sf_dir, "embeddings"), vector_col="embedding", standardize=False))
 
 
 def q_csv_round_trip(spark, sf_dir):
@@ -386,6 +390,7 @@ QUERIES = {
     "column_tfidf_normalized": q_column_tfidf_normalized,
     "name_pairs": q_name_pairs,
     "name_recommendations": q_name_recommendations,
+    "name_recommendations_factored": q_name_recommendations_factored,
     "similar_name_groups": q_similar_name_groups,
     "normalize_text": q_normalize_text,
     "normalize_pages": q_normalize_pages,

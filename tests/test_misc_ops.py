@@ -71,3 +71,33 @@ def test_hash_sample_without_keys_uses_whole_row(spark):
     a = {r.a for r in hash_sample(df, None, 0.2).collect()}
     b = {r.a for r in hash_sample(df.repartition(3), ["a", "b"], 0.2).collect()}
     assert a == b and 300 < len(a) < 500
+
+
+def test_bernoulli_sample_goes_by_a_rows_place(spark, tmp_path):
+    from confluo.operators.sampling import bernoulli_sample
+    path = str(tmp_path / "t.parquet")
+    # equal rows: each has its own chance
+    spark.range(20_000).selectExpr("1 as v").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    n = bernoulli_sample(df, 0.1, 5).count()
+    assert abs(n - 2000) < 5 * (20_000 * 0.09) ** 0.5
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")  # other splits, the same rows
+    assert bernoulli_sample(spark.read.parquet(path), 0.1, 5).count() == n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert bernoulli_sample(df, 0.1, 6).count() != n and bernoulli_sample(df, 1.0).count() == 20_000
+    assert bernoulli_sample(df, 0.1, 5).columns == ["v"]
+
+
+def test_bernoulli_sample_of_other_rows(spark):
+    from confluo.operators.sampling import bernoulli_sample
+    df = spark.range(5000).selectExpr("'f' as file", "id as row")
+    by_place = bernoulli_sample(df, 0.2, 1, place=["file", "row"])
+    assert sorted(r.row for r in by_place.collect()) == sorted(r.row for r in bernoulli_sample(df.repartition(7), 0.2, 1, ["file", "row"]).collect())
+    assert 0 < bernoulli_sample(df, 0.2, 1).count() < 5000  # no file: Spark's own sample
+
+
+def test_pca_of_an_empty_table(spark):
+    from confluo.operators.pca import pca_variance
+    assert pca_variance(spark.createDataFrame([], "a double, b double"), ["a", "b"]).count() == 0
+    assert pca_variance(spark.createDataFrame([], "v array<double>"), vector_col="v").count() == 0
