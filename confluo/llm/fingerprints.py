@@ -144,7 +144,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     Texts move once, to buckets of neighbouring ids; a bucket also gets the
     first row of the bucket behind it, as ``extra`` row.  ``(bucket, number)``
     tells rows apart.  The rows lie partitioned by ``bucket``, about
-    ``task_rows`` in a partition (more where that took over ``most_tasks``).
+    ``task_rows`` in a partition (fewer in a small table, which takes the
+    session's number of partitions; more where that took over ``most_tasks``).
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -161,7 +162,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
         F.first("shown_in").alias("bucket"), F.first("id").alias("id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
     both = rows.select("bucket", "id", "tie", "text", F.lit(0).alias("extra")).unionByName(
         shown.select("bucket", "id", "tie", "text", F.lit(1).alias("extra")))
-    tasks = max(1, min(most_tasks, df.count() // task_rows))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(most_tasks, df.count() // task_rows))
     both = both.repartition(tasks, "bucket")
     along = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), F.desc("tie"))
     return both.select("bucket", F.row_number().over(along).alias("number"), "extra", "id", "text",

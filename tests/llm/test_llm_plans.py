@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op2_licenses", "op6_exact_dedup", "op8_pii"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op2_licenses", "op6_exact_dedup", "op8_pii", "op13_fingerprints"])
 def test_native_operators_run_no_python(spark, name):
     text = plan(QUERIES[name](spark, SF_SMALL))
     assert not any(x in text for x in ("Python", "Arrow", "Pandas", "MapIn"))
