@@ -30,7 +30,9 @@ from confluo.llm.common import written
 #: Places of a fingerprint.  The likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
 #: Places whose smallest keys one row of the aggregation holds.
-LANES = 8
+LANES = 16
+#: Sets the places' hashes of a term apart (odd; times a place it stays a long).
+STRIDE = 0x9E3779B97F4A7
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -41,8 +43,9 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 def sample_key(term: Column, n: Column, place: Column) -> Column:
     """The key a of a term (a 64-bit hash) that occurs n times, at a place."""
-    first = F.xxhash64(term, place * 2)
-    second = F.xxhash64(term, place * 2 + 1)
+    number = place.cast("long") * 2
+    first = F.xxhash64(term.bitwiseXOR(number * STRIDE))
+    second = F.xxhash64(term.bitwiseXOR((number + 1) * STRIDE))
     u1, u2 = _uniform(first, 0, 32), _uniform(first, 32, 32)
     c = -F.ln(_uniform(second, 0, 32) * _uniform(second, 32, 32))
     t = F.floor((F.ln(u2) - F.ln(n)) / F.ln(u1 * u2))

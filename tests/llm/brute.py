@@ -238,10 +238,9 @@ def sample_keys(text, samples):
     part = lambda bits, shift: ((bits >> shift & 0xFFFFFFFF) + 0.5) * 2.0 ** -32
     for word, n in weights(text).items():
         term = xxhash.xxh64_intdigest(word.encode(), 42)
-        seed = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), 42)
         keys = []
         for k in range(samples):
-            first, second = (xxhash.xxh64_intdigest((2 * k + i).to_bytes(4, "little"), seed) for i in (0, 1))
+            first, second = (xxhash.xxh64_intdigest((term ^ (2 * k + i) * 0x9E3779B97F4A7).to_bytes(8, "little"), 42) for i in (0, 1))
             u1, u2 = part(first, 0), part(first, 32)
             r, b = -math.log(u1 * u2), math.log(u2) / math.log(u1 * u2)
             c = -math.log(part(second, 0) * part(second, 32))
