@@ -6,7 +6,7 @@ from confluo.errors import AmbiguousFileError, FileNotFound, HeaderCollisionErro
 from confluo.sources.catalogue import columns_by_file, header_catalogue
 from confluo.sources.csv import find_file, list_csv_files, read_csv, read_session, sanitize_headers
 from confluo.sources.inline import inline_table
-from confluo.sources.sinks import preview_records, write_csv
+from confluo.sources.sinks import preview_records, write_csv, write_csv_file
 
 from conftest import write
 
@@ -133,3 +133,22 @@ def test_session_headers_are_read_in_one_job(spark, tmpdir_csv):
     write(os.path.join(tmpdir_csv, "no_csv", "x.txt"), "x")
     with pytest.raises(NoTablesError):
         session_headers(spark, os.path.join(tmpdir_csv, "no_csv"))
+
+
+def test_one_file_is_written_in_parts(spark, tmpdir_csv):
+    rows = [(i, None if i % 7 == 0 else f'v {i}, "q"\n{"x" * (i % 50 + 1)}') for i in range(5000)]
+    df = spark.createDataFrame(rows, 'id long, `a "b", c` string').repartitionByRange(7, "id").sortWithinPartitions("id")
+    for quote_all in (False, True):
+        path = write_csv_file(df, os.path.join(tmpdir_csv, "one +file.csv"), quote_all)
+        one = write_csv(df, os.path.join(tmpdir_csv, "folder"), quote_all, single_file=True)
+        part = [f for f in os.listdir(one) if f.startswith("part-")]
+        with open(path, "rb") as a, open(os.path.join(one, part[0]), "rb") as b:
+            assert a.read() == b.read()  # what one task writes, byte by byte
+        back = read_csv(spark, path)
+        assert back.columns == df.columns and sorted((int(r[0]), r[1]) for r in back.collect()) == sorted(rows)
+    assert sorted(os.listdir(tmpdir_csv)) == ["folder", "one +file.csv"]
+    # written again, shorter: nothing of the old file stays; a table without rows leaves its header
+    write_csv_file(df.limit(3), path)
+    assert read_csv(spark, path).count() == 3
+    write_csv_file(df.limit(0), path)
+    assert read_csv(spark, path).columns == df.columns and read_csv(spark, path).count() == 0
