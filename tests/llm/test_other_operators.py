@@ -326,3 +326,14 @@ def test_pipeline_against_brute_force(spark):
     out = corpus_pipeline.run(spark, SF_CHECK).collect()
     want = brute.shards(rows, 40)
     assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.grown_shard) for r in out} == want and len(out) == len(want)
+
+
+def test_passages_longer_than_a_small_window(spark):
+    """A passage of more n-grams than a window's short form holds is found whole."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, front, back = words(150_000), words(100), words(100)
+    rows = [(1, " ".join(passage + back)), (2, " ".join(front + passage)), (3, " ".join(words(300)))]
+    out = near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.last_word, r.other_id, r.other_first, r.other_last, r.jaccard) for r in out} == {
+        (2, 100, 150_099, 1, 0, 149_999, 1.0)}
