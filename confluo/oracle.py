@@ -448,6 +448,7 @@ ORACLE = {
     "null_profile_combined": null_profile_sql(HOMOGENIZE_SQL, COMBINED),
     "numeric_columns": castable_sql("orders", "SELECT * FROM orders", TYPES["orders"]) + " UNION ALL " +
                        castable_sql("combined", HOMOGENIZE_SQL, COMBINED),
+    "categorical_columns": "SELECT p_name, p_brand, p_type FROM part",
     "iqr_fences": fences_sql(),
     "final_report_outliers": FINAL_REPORT_OUTLIERS_SQL,
     "iqr_outliers": outliers_rows_sql(),

@@ -9,7 +9,7 @@ from confluo.operators.sampling import DEFAULT_SEED, hash_sample
 from confluo.operators.values import SIMILARITY_THRESHOLD, column_similarity
 from confluo.errors import NoTablesError
 from confluo.session import run_concurrently
-from confluo.sources.csv import session_files
+from confluo.sources.csv import sanitize_headers, session_files
 from confluo.sources.headers import session_headers
 from confluo.sources.records import scan_csv
 
@@ -21,9 +21,12 @@ def recommend_names(spark: SparkSession, session_dir: str, threshold: int = RECO
 
 def recommend_values(spark: SparkSession, session_dir: str, threshold: float = SIMILARITY_THRESHOLD,
                      sample_fraction: float | None = None, seed: int = DEFAULT_SEED,
-                     normalize: bool = False) -> DataFrame:
+                     normalize: bool = False, sanitize: bool = True) -> DataFrame:
     """Value-based recommendations over all column pairs of different files.
 
+    Columns go by their sanitised headers (C10; headers of one file that become
+    equal raise HeaderCollisionError), or as they stand with ``sanitize=False``.
+
     All rows are compared; ``sample_fraction`` asks for a sample by row hash
     instead (the same rows on every run and partitioning).  Files are read in
     parallel within, records over several lines included.
@@ -32,7 +35,7 @@ def recommend_values(spark: SparkSession, session_dir: str, threshold: float = S
     if not files:
         raise NoTablesError(f"no CSV files in {session_dir}")
     read = run_concurrently(lambda f: scan_csv(spark, f[1]), files)
-    tables = {f: df for (f, _), df in zip(files, read)}
+    tables = {f: sanitize_headers(df) if sanitize else df for (f, _), df in zip(files, read)}
     if sample_fraction is not None:
         tables = {f: hash_sample(df, None, sample_fraction, seed) for f, df in tables.items()}
     return column_similarity(tables, None, threshold, normalize)

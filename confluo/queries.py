@@ -100,6 +100,10 @@ def q_numeric_columns(spark, sf_dir):
             .unionByName(combined.select(F.lit("combined").alias("table"), "*")))
 
 
+def q_categorical_columns(spark, sf_dir):
+    return Q.categorical_columns(Q.as_string_table(load(spark, sf_dir, "part")))
+
+
 def _per_table(spark, sf_dir, targets, fn):
     """One result per table, labelled and unioned; the tables' eager
     statistics jobs run concurrently (they are independent)."""
@@ -380,6 +384,7 @@ QUERIES = {
     "null_profile": q_null_profile,
     "null_profile_combined": q_null_profile_combined,
     "numeric_columns": q_numeric_columns,
+    "categorical_columns": q_categorical_columns,
     "iqr_fences": q_iqr_fences,
     "final_report_outliers": q_final_report_outliers,
     "iqr_fences_approx": q_iqr_fences_approx,

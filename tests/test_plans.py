@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+
+from confluo.errors import HeaderCollisionError
 from confluo.plans.homogenize import homogenize_session
 from confluo.plans.recommend import recommend_names, recommend_values
 from confluo.plans.report import final_report
@@ -87,3 +90,13 @@ def test_same_layout_files_share_one_scan(spark, tmpdir_csv):
     got = sorted(map(tuple, df.collect()))
     assert got == sorted([(f"{d}{i}", str(i), f"day{d}.csv") for d in range(3) for i in (1, 2)]
                          + [("9", "9", "other.csv")])
+
+
+def test_value_recommendations_go_by_sanitised_headers(spark, tmpdir_csv):
+    write(os.path.join(tmpdir_csv, "a.csv"), "x...y ,k\nred green,1\nblue,2\n")
+    write(os.path.join(tmpdir_csv, "b.csv"), "colour\nred green\nblue\n")
+    pairs = lambda **how: {(r.column_df1, r.column_df2) for r in recommend_values(spark, tmpdir_csv, **how).collect()}
+    assert pairs() == {("x_%&%_y", "colour")} and pairs(sanitize=False) == {("x...y ", "colour")}
+    write(os.path.join(tmpdir_csv, "c.csv"), "v, v\n1,2\n")
+    with pytest.raises(HeaderCollisionError):
+        recommend_values(spark, tmpdir_csv)
