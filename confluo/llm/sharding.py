@@ -78,7 +78,7 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
-               grown: int | None = None) -> DataFrame:
+               grown: int | None = None, place: tuple[Column, Column] | None = None) -> DataFrame:
     """Every row's shard and its place there.
 
     Returns ``(id, size, text_crc32, law, shard, slot, grown_shard)``.  The law
@@ -88,17 +88,19 @@ def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
     id counts as the empty text.  ``slot`` runs from 0 without gaps in each
     shard, in a hash order; ``grown_shard`` is the shard among ``grown``
     (default one more).  Rows are numbered in 4096 hash buckets of each shard,
-    so no task holds a shard; only id, size and crc32 are shuffled.  Columns of
-    ``df`` other than the two named are not read.  An empty table gives an
-    empty result.
+    so no task holds a shard; only id, size and crc32 are shuffled.  With
+    ``place``, slots follow an order of the rows instead: ``(part, within)``, a
+    part of limited size and the rows' order in it.  Columns of ``df`` other
+    than those named are not read.  An empty table gives an empty result.
     """
     grown = shards + 1 if grown is None else grown
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
+    bucket, within = place or (
+        F.substring(F.md5(F.concat_ws(":", key_digest(key), F.crc32(text.cast("binary")))), 1, 3), F.lit(0))
     rows = df.select(
         key, (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         jump_shard(key, shards).alias("shard"), jump_shard(key, grown).alias("grown_shard"),
-        F.substring(F.md5(F.concat_ws(":", key_digest(key), F.crc32(text.cast("binary")))), 1, 3)
-        .alias("__bucket"))
-    out = number_within(rows, "shard", "__bucket", [id_col, "text_crc32", "size"], "slot")
+        bucket.alias("__bucket"), within.alias("__within"))
+    out = number_within(rows, "shard", "__bucket", ["__within", id_col, "text_crc32", "size"], "slot")
     return out.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

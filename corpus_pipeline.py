@@ -8,7 +8,8 @@ again) and, but for the last, returns the columns of ``documents``:
    more) the document with the smallest id stays;
 3. decontamination: documents holding a window of a benchmark item go;
 4. mixing: the rows are laid out in the order of the source mix;
-5. sharding: every row's shard and place, by jump consistent hashing.
+5. sharding: every row's shard, by jump consistent hashing, and its slot there in
+   the order of the mix: each shard, read by slot, is a part of the mix in order.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.llm import toxicity
-from confluo.llm.common import table, written
+from confluo.llm.common import table, written, written_order
 from confluo.llm.decontaminate import decontaminated
 from confluo.llm.mixing import mixed
 from confluo.llm.ngram_join import without_near_copies
@@ -55,8 +56,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and place for every row; null ids are one key, a null text has no bytes."""
-    return shard_rows(docs, SHARDS)
+    """A shard for every row and its slot there, in the order that the rows of
+    ``docs`` have in its files; null ids are one key, a null text has no bytes."""
+    return shard_rows(docs, SHARDS, place=written_order(docs))
 
 
 STAGES = [
